@@ -208,10 +208,6 @@ def part_of_edges(found: DataFrame) -> DataFrame:
 # -- API description ---------------------------------------------------------
 
 
-def _spec_key(order: str) -> Column:
-    return F.lpad(F.col(order).cast("string"), 12, "0")
-
-
 def with_api_names(definitions: DataFrame) -> DataFrame:
     """Definitions with their name parts as struct column ``api``."""
     return definitions.withColumn("api", t.split_api_name(F.col("name")))
@@ -232,7 +228,7 @@ def api_object_nodes(definitions: DataFrame, version: str = "unknown") -> DataFr
                     fields=F.slice("keys", 1, MAX_FIELDS), field_count=F.size("keys"),
                     def_name=F.col("name")),
         prov=s.provenance(F.lit(SPEC_SOURCE), quote=F.col("name")),
-        ord=s.ordinal(s.PHASE_API_OBJECT, _spec_key("def_ord")),
+        ord=s.ordinal(s.PHASE_API_OBJECT, s.sortable("def_ord")),
     )
 
 
@@ -272,7 +268,7 @@ def api_path_nodes(paths: DataFrame, version: str = "unknown") -> DataFrame:
         meta=s.meta(method=F.col("method"), path=F.col("path"),
                     operation_id=F.col("operation_id"), kind=F.col("kind")),
         prov=s.provenance(F.lit(SPEC_SOURCE), quote=F.col("path")),
-        ord=s.ordinal(s.PHASE_API_PATH, _spec_key("path_ord"), F.col("op_ord")),
+        ord=s.ordinal(s.PHASE_API_PATH, s.sortable("path_ord"), F.col("op_ord")),
     )
 
 
@@ -284,7 +280,7 @@ def path_exposes_edges(paths: DataFrame, kinds: DataFrame, salts: int = 8) -> Da
         from_id=F.col("id"), to_id=F.concat(F.lit("api:"), F.col("kind")),
         type=F.lit("related_to"), label=F.lit("exposes API object"),
         prov=s.provenance(F.lit(SPEC_SOURCE), quote=F.col("path")),
-        ord=s.ordinal(s.PHASE_API_PATH, _spec_key("path_ord"), F.col("op_ord")),
+        ord=s.ordinal(s.PHASE_API_PATH, s.sortable("path_ord"), F.col("op_ord")),
     )
 
 
@@ -329,7 +325,7 @@ def type_ref_edges(definitions: DataFrame, kinds: DataFrame, salts: int = 8) ->
         to_id=F.concat(F.lit("api:"), F.col("kind")),
         type=F.lit("related_to"), label=F.lit("references type"),
         prov=s.provenance(F.lit(SPEC_SOURCE), quote=F.col("ref")),
-        ord=s.ordinal(s.PHASE_TYPE_REF, _spec_key("def_ord"), F.col("pos")),
+        ord=s.ordinal(s.PHASE_TYPE_REF, s.sortable("def_ord"), F.col("pos")),
     )
 
 

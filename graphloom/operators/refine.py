@@ -28,7 +28,8 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 
     Label and weight come from the first edge, confidence is the maximum, and
     ``derived_by`` belongs to the first edge that reached it. Works on candidates
-    and on merged edges alike; merging twice changes nothing.
+    and on merged edges alike; merging twice changes nothing. When two merged
+    parts tie on confidence, the part that starts first gives ``derived_by``.
     """
     o = F.col("ord")
     best = F.struct(-F.col("confidence"), o)

@@ -22,10 +22,6 @@ APPLY_SOURCE = "kubernetes/website:reference/kubectl/apply"
 SITE_SOURCE = "kubernetes/website"
 
 
-def _rule_key() -> Column:
-    return F.lpad(F.col("rule_ord").cast("string"), 12, "0")
-
-
 def objects_by_title(nodes: DataFrame, title: Column | None = None) -> DataFrame:
     """(key, id, title) of the API objects, the last one of a title winning."""
     key = F.col("title") if title is None else title
@@ -51,7 +47,7 @@ def ownership_edges(objects: DataFrame, chain: DataFrame, salts: int = 8) -> Dat
         prov=s.provenance(F.lit(ARCHITECTURE_SOURCE), quote=F.concat(
             F.lit("owner references: "), "parent", F.lit(" manages "), "child",
             F.lit(" lifecycle"))),
-        ord=s.ordinal(s.PHASE_OWNERSHIP, _rule_key()),
+        ord=s.ordinal(s.PHASE_OWNERSHIP, s.sortable("rule_ord")),
     )
 
 
@@ -69,7 +65,7 @@ def rbac_roles(seed: DataFrame) -> DataFrame:
         prov=s.provenance(F.lit(RBAC_SOURCE), quote=F.concat(
             F.lit("resource '"), F.col("resource"), F.lit("' permits "),
             F.array_join("verbs", ","))),
-        ord=s.ordinal(s.PHASE_ROLE, _rule_key()),
+        ord=s.ordinal(s.PHASE_ROLE, s.sortable("rule_ord")),
     )
 
 
@@ -93,7 +89,7 @@ def requires_edges(seed: DataFrame, objects: DataFrame) -> DataFrame:
         label=F.concat(F.lit("required to manage "), F.col("o.title")),
         prov=s.provenance(F.lit(RBAC_SOURCE), quote=F.concat(
             F.col("o.title"), F.lit(" requires "), F.col("resource"), F.lit(" permissions"))),
-        ord=s.ordinal(s.PHASE_ROLE, _rule_key()),
+        ord=s.ordinal(s.PHASE_ROLE, s.sortable("rule_ord")),
     )
 
 
@@ -107,7 +103,7 @@ def component_nodes(seed: DataFrame, version: str = "unknown") -> DataFrame:
         version=F.lit(version), tags=F.array(F.lit("control-plane")),
         prov=s.provenance(F.lit(ARCHITECTURE_SOURCE), quote=F.concat(
             F.lit("control plane component "), "component")),
-        ord=s.ordinal(s.PHASE_COMPONENT, _rule_key()),
+        ord=s.ordinal(s.PHASE_COMPONENT, s.sortable("rule_ord")),
     )
 
 
@@ -121,7 +117,7 @@ def component_edges(seed: DataFrame, hub: str = CONTROLLED_BY, salts: int = 8) -
         type=F.when(F.col("target") == hub, "controls").otherwise("links_to"),
         label=F.col("label"),
         prov=s.provenance(F.lit(ARCHITECTURE_SOURCE), quote=F.col("label")),
-        ord=s.ordinal(s.PHASE_COMPONENT, _rule_key()),
+        ord=s.ordinal(s.PHASE_COMPONENT, s.sortable("rule_ord")),
     )
 
 
@@ -164,7 +160,7 @@ def flow_nodes(steps: DataFrame, version: str = "unknown",
         title=F.concat(F.lit(title_prefix), F.col("actor")), summary=F.col("description"),
         version=F.lit(version), tags=F.array(F.lit("kubectl"), F.lit("flow")),
         prov=s.provenance(F.lit(source), quote=F.col("description")),
-        ord=s.ordinal(s.PHASE_FLOW, F.lpad(F.col("step").cast("string"), 12, "0")),
+        ord=s.ordinal(s.PHASE_FLOW, s.sortable("step")),
     )
 
 

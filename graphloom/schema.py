@@ -145,6 +145,11 @@ class Graph:
         return replace(self, **changes)
 
 
+def sortable(number: Column | str) -> Column:
+    """A non-negative integer as text that sorts like the number."""
+    return F.lpad((F.col(number) if isinstance(number, str) else number).cast("string"), 19, "0")
+
+
 def ordinal(phase: int, doc: Column | str, pos: Column | int = 0) -> Column:
     doc = F.col(doc) if isinstance(doc, str) else doc
     pos = F.lit(pos) if isinstance(pos, int) else pos
