@@ -1,0 +1,194 @@
+"""Versions, hashes, manifests and incremental ingestion."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as t
+from graphloom.harness.base import Tables, as_facts, entity_edges, entity_nodes, query, text_id
+from graphloom.operators import check, manifest, refine
+from graphloom.schema import Graph
+from graphloom.session import checkpoint_dir
+from graphloom.streaming import ingest
+
+
+def _versions(spark, sf_dir):
+    """Orders before 2000 against orders after 1995, with another title for some."""
+    orders = Tables(spark, sf_dir).orders
+    rows = orders.select(
+        text_id("order:", "o_orderkey").alias("id"), F.lit("api_path").alias("type"),
+        F.col("o_orderpriority").alias("title"), "o_orderdate", "o_orderkey")
+    old = rows.filter(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    new = rows.filter(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
+    title = F.when(F.col("o_orderkey") % 10 == 0, "other").otherwise(F.col("title"))
+    return old, new.withColumn("title", title)
+
+
+VERSIONS_SQL = """
+o AS (SELECT o_orderkey, 'order:' || o_orderkey AS id, o_orderpriority AS title FROM orders
+      WHERE o_orderdate < TIMESTAMP '2000-01-01'),
+v AS (SELECT o_orderkey, 'order:' || o_orderkey AS id,
+        CASE WHEN o_orderkey % 10 = 0 THEN 'other' ELSE o_orderpriority END AS title FROM orders
+      WHERE o_orderdate >= TIMESTAMP '1995-01-01'),
+d AS (SELECT coalesce(o.id, v.id) AS id,
+        CASE WHEN o.id IS NULL THEN 'added' WHEN v.id IS NULL THEN 'removed'
+             WHEN o.title <> v.title THEN 'changed' END AS status
+      FROM o FULL JOIN v ON o.id = v.id)"""
+
+
+@query("diff_versions", f"""
+WITH {VERSIONS_SQL} SELECT id, status FROM d WHERE status IN ('added', 'removed')""")
+def diff_versions(spark, sf_dir) -> DataFrame:
+    return check.diff(*_versions(spark, sf_dir))
+
+
+@query("diff_changed", f"WITH {VERSIONS_SQL} SELECT id, status FROM d WHERE status IS NOT NULL")
+def diff_changed(spark, sf_dir) -> DataFrame:
+    return check.diff(*_versions(spark, sf_dir), compare=["title", "type"])
+
+
+@query("diff_counts", f"""
+WITH {VERSIONS_SQL}
+SELECT (SELECT count(*) FROM o)::BIGINT AS old_rows, (SELECT count(*) FROM v)::BIGINT AS new_rows,
+       count(*) FILTER (WHERE status = 'added')::BIGINT AS added,
+       count(*) FILTER (WHERE status = 'removed')::BIGINT AS removed,
+       count(*) FILTER (WHERE status = 'changed')::BIGINT AS changed FROM d""")
+def diff_counts(spark, sf_dir) -> DataFrame:
+    old, new = _versions(spark, sf_dir)
+    return check.diff_counts(old, new, check.diff(old, new, compare=["title", "type"]))
+
+
+@query("diff_report", f"""
+WITH {VERSIONS_SQL}, r AS (
+  SELECT id, status, row_number() OVER (PARTITION BY status ORDER BY id)::INT AS rank FROM d
+  WHERE status IN ('added', 'removed'))
+SELECT status, rank, r.id, 'api_path' AS type, coalesce(v.title, o.title) AS title
+FROM r LEFT JOIN o ON r.status = 'removed' AND o.id = r.id
+LEFT JOIN v ON r.status = 'added' AND v.id = r.id WHERE rank <= 40""")
+def diff_report(spark, sf_dir) -> DataFrame:
+    old, new = _versions(spark, sf_dir)
+    return check.diff_report(old, new, check.diff(old, new))
+
+
+@query("diff_edges", """
+WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O'),
+b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F')
+SELECT 'part:' || l_partkey AS from_id, 'related_to' AS type, 'supplier:' || l_suppkey AS to_id,
+       'added' AS status FROM (FROM b EXCEPT FROM a)
+UNION ALL SELECT 'part:' || l_partkey, 'related_to', 'supplier:' || l_suppkey, 'removed'
+FROM (FROM a EXCEPT FROM b)""")
+def diff_edges(spark, sf_dir) -> DataFrame:
+    lines = Tables(spark, sf_dir).lineitem
+
+    def pairs(status):
+        return lines.filter(F.col("l_linestatus") == status).select(
+            text_id("part:", "l_partkey").alias("from_id"), F.lit("related_to").alias("type"),
+            text_id("supplier:", "l_suppkey").alias("to_id")).distinct()
+
+    return check.diff(pairs("O"), pairs("F"), keys=["from_id", "type", "to_id"])
+
+
+@query("version_edges", f"""
+WITH {VERSIONS_SQL}
+SELECT id || '@v1' AS from_id, id || '@v2' AS to_id, 'version_of' AS type
+FROM o SEMI JOIN v USING (id)""")
+def version_edges(spark, sf_dir) -> DataFrame:
+    old, new = _versions(spark, sf_dir)
+    return check.version_edges(old, new, "v1", "v2").select("from_id", "to_id", "type")
+
+
+_LIMBS_SQL = " || ',' || ".join(
+    f"sum(('0x' || h[{1 + 8 * i}:{8 + 8 * i}])::BIGINT)::HUGEINT::VARCHAR" for i in range(8))
+
+
+@query("corpus_hash", f"""
+SELECT sha256({_LIMBS_SQL} || ',' || count(*)) AS corpus_hash, count(*)::BIGINT AS n
+FROM (SELECT sha256(lang || '/' || doc_id || '|' || sha256(text)) AS h FROM documents)""")
+def corpus_hash(spark, sf_dir) -> DataFrame:
+    docs = Tables(spark, sf_dir).documents.select(
+        F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("rel_path"),
+        t.content_hash(F.col("text")).alias("content_hash"))
+    return manifest.corpus_hash(docs)
+
+
+def _graph(spark, sf_dir):
+    tables = Tables(spark, sf_dir)
+    candidates = entity_nodes(tables, candidates=True)
+    return Graph(
+        nodes=as_facts(candidates), edges=entity_edges(tables),
+        node_evidence=refine.node_evidence(candidates),
+        edge_evidence=refine.edge_evidence(
+            tables.lineitem.select(
+                text_id("part:", "l_partkey").alias("from_id"), F.lit("related_to").alias("type"),
+                text_id("supplier:", "l_suppkey").alias("to_id"), F.lit(None).alias("ord"),
+                F.struct(F.lit("lineitem").alias("source"),
+                         F.col("l_orderkey").cast("string").alias("quote")).alias("prov"))),
+        meta={"version": "v1"})
+
+
+@query("graph_hash")
+def graph_hash(spark, sf_dir) -> DataFrame:
+    """Rows only: the hash covers Spark's JSON text of every row."""
+    return manifest.graph_hash(_graph(spark, sf_dir))
+
+
+@query("manifest", """
+SELECT ((SELECT count(*) FROM part) + (SELECT count(*) FROM region)
+        + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer)
+        + (SELECT count(*) FROM orders) + (SELECT count(*) FROM supplier))::BIGINT AS node_count,
+       (2 * ((SELECT count(*) FROM nation) + (SELECT count(*) FROM customer)
+             + (SELECT count(*) FROM orders) + (SELECT count(*) FROM supplier))
+        + (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)))::BIGINT
+       AS edge_count, 'v1' AS version, 'graphloom' AS generator, 64 AS hash_length""")
+def build_manifest(spark, sf_dir) -> DataFrame:
+    docs = Tables(spark, sf_dir).documents.select(
+        text_id("doc:", "doc_id").alias("rel_path"),
+        t.content_hash(F.col("text")).alias("content_hash"))
+    row = manifest.build_manifest(_graph(spark, sf_dir), docs)
+    return row.withColumn("hash_length", F.length("ir_hash")).drop("ir_hash", "corpus_hash")
+
+
+def _edited(docs):
+    """A hundredth of the documents edited; every fiftieth is new."""
+    text = F.when(F.col("doc_id") % 100 == 3, F.concat("text", F.lit("!"))).otherwise(
+        F.col("text"))
+    before = docs.filter(F.col("doc_id") % 50 != 7)
+    return before, docs.withColumn("text", text)
+
+
+def _hashed(docs):
+    return docs.select(F.col("doc_id").cast("string").alias("rel_path"),
+                       t.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("changed_docs", """
+SELECT doc_id::VARCHAR AS rel_path,
+       sha256(CASE WHEN doc_id % 100 = 3 THEN text || '!' ELSE text END) AS content_hash
+FROM documents WHERE doc_id % 100 = 3 OR doc_id % 50 = 7""")
+def changed_docs(spark, sf_dir) -> DataFrame:
+    before, after = _edited(Tables(spark, sf_dir).documents)
+    return manifest.changed_docs(manifest.document_manifest(_hashed(before)), _hashed(after))
+
+
+@query("stream_ingest", """
+SELECT doc_id::VARCHAR AS rel_path, lang AS section,
+       sha256(CASE WHEN doc_id % 100 = 3 THEN text || '!' ELSE text END) AS content_hash
+FROM documents""")
+def stream_ingest(spark, sf_dir) -> DataFrame:
+    """Two runs of the stream: all documents, then the same ones with some edited."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    docs = Tables(spark, sf_dir).documents
+    before, after = _edited(docs)
+    columns = ["rel_path STRING", "text STRING", "url STRING", "section STRING"]
+    for version in (before, after):
+        version.select(
+            F.col("doc_id").cast("string").alias("rel_path"), "text",
+            F.lit(None).cast("string").alias("url"), F.col("lang").alias("section"),
+        ).write.mode("append").parquet(f"{base}/in")
+        texts = spark.readStream.schema(", ".join(columns)).parquet(f"{base}/in")
+        ingest.ingest_stream(texts, f"{base}/out", f"{base}/progress").awaitTermination()
+    latest = ingest.read_latest_docs(spark, f"{base}/out")
+    return latest.select("rel_path", "section", "content_hash")
