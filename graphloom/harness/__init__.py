@@ -2,6 +2,7 @@
 
 from graphloom.harness import (  # noqa: F401  (importing registers the queries)
     build_queries,
+    flagship,
     graph_queries,
     model_queries,
     search_queries,
