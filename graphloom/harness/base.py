@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from graphloom import schema as s
 from graphloom.functions import text as t
 from graphloom.operators.refine import merge_edges
+from graphloom.operators.skew import spread
 from graphloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """A table for CPU-heavy work; small inputs use all cores."""
+        table = getattr(self, name)
+        return spread(table.select(*columns) if columns else table)
+
 
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -86,7 +92,7 @@ def entity_nodes(tables: Tables, candidates: bool = False) -> DataFrame:
 
     c = F.col
     rows = union([
-        part(tables.part, 1, "part:", "p_partkey", "glossary", c("p_name"), "supply",
+        part(tables.part, 7, "part:", "p_partkey", "glossary", c("p_name"), "supply",
              F.concat_ws(" ", "p_type", "p_brand"), F.array("p_brand", "p_type")),
         part(tables.region, 2, "region:", "r_regionkey", "page", c("r_name"), "geo"),
         part(tables.nation, 3, "nation:", "n_nationkey", "concept", c("n_name"), "geo"),
@@ -111,7 +117,7 @@ ENTITY_NODES_SQL = """
 n AS (
   SELECT 'part:' || p_partkey AS id, 'glossary' AS type, p_name AS title,
          p_type || ' ' || p_brand AS summary, 'supply' AS section, [p_brand, p_type] AS tags,
-         NULL::VARCHAR AS meta_group, 1 AS phase, p_partkey AS pos FROM part
+         NULL::VARCHAR AS meta_group, 7 AS phase, p_partkey AS pos FROM part
   UNION ALL SELECT 'region:' || r_regionkey, 'page', r_name, '', 'geo', ['geo'], NULL, 2,
          r_regionkey FROM region
   UNION ALL SELECT 'nation:' || n_nationkey, 'concept', n_name, '', 'geo', ['geo'], NULL, 3,
@@ -144,7 +150,8 @@ def part_of_candidates(tables: Tables) -> DataFrame:
 def supply_candidates(tables: Tables) -> DataFrame:
     """part -> supplier, one candidate per order line."""
     return s.edge_candidates(
-        tables.lineitem,
+        tables.spread("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                      "l_quantity", "l_discount", "l_returnflag", "l_linestatus"),
         from_id=text_id("part:", "l_partkey"), to_id=text_id("supplier:", "l_suppkey"),
         type=F.lit("related_to"), label=F.col("l_returnflag"), weight=F.col("l_quantity"),
         confidence=F.lit(1.0) - F.col("l_discount"),
@@ -227,12 +234,13 @@ def web_docs(tables: Tables) -> DataFrame:
         F.regexp_extract("url", URL_SECTION, 1).alias("section"))
 
 
-def web_terms(docs: DataFrame, min_pages: int = 20) -> DataFrame:
-    """(term_id, term_node): the terms named on at least ``min_pages`` pages."""
+def web_terms(docs: DataFrame, max_length: int = 4) -> DataFrame:
+    """(term_id, term_node): the short terms that several pages name."""
     named = docs.select("rel_path", F.explode(
         F.array_distinct(F.transform("refs", lambda r: r["term_id"]))).alias("term_id"))
     often = named.groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
-    return often.filter(F.col("n") >= min_pages).select(
+    kept = (F.col("n") >= 2) & (F.length("term_id") <= max_length)
+    return often.filter(kept).select(
         "term_id", F.concat(F.lit("gloss:"), "term_id").alias("term_node"))
 
 
@@ -243,7 +251,7 @@ links AS (
   FROM pages
 ),
 terms AS (
-  SELECT term FROM links GROUP BY term HAVING count(DISTINCT page_id) >= 20
+  SELECT term FROM links WHERE length(term) <= 4 GROUP BY term HAVING count(DISTINCT page_id) >= 2
 )"""
 
 

@@ -83,15 +83,15 @@ def define_edges(spark, sf_dir) -> DataFrame:
 def _link_docs(spark, sf_dir):
     key = F.col("doc_id")
     body = F.concat(
-        F.lit("[x](/docs/"), ((key * 7) % 2000).cast("string"), F.lit("/) [y](/docs/"),
+        F.lit("[x](/docs/"), (key * 3).cast("string"), F.lit("/) [y](/docs/"),
         F.floor(key / 3).cast("string"), F.lit(".md#part) "), F.col("text"))
     return _linked_docs(spark, sf_dir, body)
 
 
 LINKS_SQL = """
 l AS (
-  SELECT doc_id, 0 AS pos, '/docs/' || ((doc_id * 7) % 2000) || '/' AS target,
-         (doc_id * 7) % 2000 AS goal FROM documents
+  SELECT doc_id, 0 AS pos, '/docs/' || (doc_id * 3) || '/' AS target,
+         doc_id * 3 AS goal FROM documents
   UNION ALL SELECT doc_id, 1, '/docs/' || (doc_id // 3) || '.md', doc_id // 3 FROM documents
 )"""
 
@@ -575,7 +575,7 @@ def document_corpus(spark, sf_dir) -> DataFrame:
 
     Every source gets one glossary document, its first; the others are pages.
     """
-    docs = Tables(spark, sf_dir).documents
+    docs = Tables(spark, sf_dir).spread("documents")
     first = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id")).withColumn(
         "is_term", F.lit(True))
     marked = docs.join(first.drop("source"), "doc_id", "left")

@@ -52,7 +52,7 @@ SELECT doc_id, 'T' || doc_id AS title, 'd' || doc_id AS fm_id, (n_chars % 100)::
        'From ' || source || chr(10) AS description, lang || ',' || source AS tags, sha256(text) AS body_hash
 FROM documents""")
 def front_matter(spark, sf_dir) -> DataFrame:
-    docs = Tables(spark, sf_dir).documents
+    docs = Tables(spark, sf_dir).spread("documents")
     parts = docs.select("doc_id", t.split_front_matter(_front_matter_text()).alias("p"))
     fields = parts.select("doc_id", "p.body", front_matter_fields(F.col("p.front_matter")).alias("f"))
     return fields.select(
@@ -77,7 +77,7 @@ SELECT doc_id,
        || chr(10) || chr(10) || '![' || source || '](a.png) — c' || chr(10) || 'end x' AS body
 FROM documents""")
 def shortcode_norm(spark, sf_dir) -> DataFrame:
-    docs = Tables(spark, sf_dir).documents
+    docs = Tables(spark, sf_dir).spread("documents")
     return docs.select("doc_id", t.normalize_shortcodes(_shortcode_text()).alias("body"))
 
 
@@ -106,7 +106,7 @@ SELECT doc_id, 0 AS pos, 'glossary_tooltip' AS kind, source AS term_id, lang AS
 FROM documents
 UNION ALL SELECT doc_id, 1, 'glossary_definition', lang, NULL FROM documents""")
 def shortcode_refs(spark, sf_dir) -> DataFrame:
-    docs = Tables(spark, sf_dir).documents
+    docs = Tables(spark, sf_dir).spread("documents")
     refs = docs.select("doc_id", F.posexplode(t.extract_refs(_shortcode_text())).alias("pos", "r"))
     return refs.select("doc_id", "pos", "r.kind", "r.term_id", F.col("r.text").alias("ref_text"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom import schema as s
 from graphloom.functions import text as t
 from graphloom.functions.front_matter import front_matter_fields
-from graphloom.operators.skew import salted_join, substring_pairs
+from graphloom.operators.skew import skewed_join, substring_pairs
 
 # The path mark of glossary documents and the spec's source name.
 GLOSSARY_MARK = "reference/glossary"
@@ -99,11 +99,11 @@ def term_mentions(docs: DataFrame, kind: str) -> DataFrame:
 
 def _known_terms(mentions: DataFrame, terms: DataFrame, salts: int) -> DataFrame:
     """Mentions whose term exists; ``terms`` is unique by term_id."""
-    return salted_join(mentions, terms.select("term_id", "term_node"), "term_id", "inner",
+    return skewed_join(mentions, terms.select("term_id", "term_node"), "term_id", "inner",
                        salts, ["rel_path", "pos"])
 
 
-def reference_edges(docs: DataFrame, terms: DataFrame, salts: int = 8) -> DataFrame:
+def reference_edges(docs: DataFrame, terms: DataFrame, salts: int | None = None) -> DataFrame:
     """page -> term candidates for tooltips; ``terms`` has (term_id, term_node)."""
     known = _known_terms(term_mentions(docs, "glossary_tooltip"), terms, salts)
     return s.edge_candidates(
@@ -115,7 +115,7 @@ def reference_edges(docs: DataFrame, terms: DataFrame, salts: int = 8) -> DataFr
     )
 
 
-def define_edges(docs: DataFrame, terms: DataFrame, salts: int = 8) -> DataFrame:
+def define_edges(docs: DataFrame, terms: DataFrame, salts: int | None = None) -> DataFrame:
     """page -> term candidates for inlined definitions."""
     known = _known_terms(term_mentions(docs, "glossary_definition"), terms, salts)
     return s.edge_candidates(
@@ -133,10 +133,10 @@ def doc_links(docs: DataFrame) -> DataFrame:
     return links.withColumn("target_path", t.link_rel_path(F.col("target")))
 
 
-def link_edges(docs: DataFrame, pages: DataFrame, salts: int = 8) -> DataFrame:
+def link_edges(docs: DataFrame, pages: DataFrame, salts: int | None = None) -> DataFrame:
     """page -> page candidates for resolvable links; ``pages`` has (rel_path)."""
     targets = pages.select(F.col("rel_path").alias("target_path"))
-    resolved = salted_join(doc_links(docs), targets, "target_path", "left_semi",
+    resolved = skewed_join(doc_links(docs), targets, "target_path", "left_semi",
                            salts, ["rel_path", "pos"])
     return s.edge_candidates(
         resolved,
@@ -147,18 +147,18 @@ def link_edges(docs: DataFrame, pages: DataFrame, salts: int = 8) -> DataFrame:
     )
 
 
-def dangling_links(docs: DataFrame, pages: DataFrame, salts: int = 8) -> DataFrame:
+def dangling_links(docs: DataFrame, pages: DataFrame, salts: int | None = None) -> DataFrame:
     """Links whose target document does not exist."""
     targets = pages.select(F.col("rel_path").alias("target_path"))
-    return salted_join(doc_links(docs), targets, "target_path", "left_anti",
+    return skewed_join(doc_links(docs), targets, "target_path", "left_anti",
                        salts, ["rel_path", "pos"])
 
 
-def dangling_terms(docs: DataFrame, terms: DataFrame, salts: int = 8) -> DataFrame:
+def dangling_terms(docs: DataFrame, terms: DataFrame, salts: int | None = None) -> DataFrame:
     """Tooltip and definition references to terms that do not exist."""
     both = term_mentions(docs, "glossary_tooltip").unionByName(
         term_mentions(docs, "glossary_definition"))
-    return salted_join(both, terms.select("term_id"), "term_id", "left_anti",
+    return skewed_join(both, terms.select("term_id"), "term_id", "left_anti",
                        salts, ["rel_path", "pos"])
 
 
@@ -272,9 +272,9 @@ def api_path_nodes(paths: DataFrame, version: str = "unknown") -> DataFrame:
     )
 
 
-def path_exposes_edges(paths: DataFrame, kinds: DataFrame, salts: int = 8) -> DataFrame:
+def path_exposes_edges(paths: DataFrame, kinds: DataFrame, salts: int | None = None) -> DataFrame:
     """api_path -> api_object candidates where the inferred kind exists."""
-    known = salted_join(paths, kinds.select("kind"), "kind", "left_semi", salts, ["id"])
+    known = skewed_join(paths, kinds.select("kind"), "kind", "left_semi", salts, ["id"])
     return s.edge_candidates(
         known,
         from_id=F.col("id"), to_id=F.concat(F.lit("api:"), F.col("kind")),
@@ -308,7 +308,7 @@ def api_for_edges(pages: DataFrame, kinds: DataFrame) -> DataFrame:
     )
 
 
-def type_ref_edges(definitions: DataFrame, kinds: DataFrame, salts: int = 8) -> DataFrame:
+def type_ref_edges(definitions: DataFrame, kinds: DataFrame, salts: int | None = None) -> DataFrame:
     """api_object -> api_object candidates for each distinct ``$ref`` of a definition."""
     target = r'"\$ref"\s*:\s*"(?:[^"]*/)?([^"/]+)"'
     refs = with_api_names(definitions).select(
@@ -317,7 +317,7 @@ def type_ref_edges(definitions: DataFrame, kinds: DataFrame, salts: int = 8) ->
             F.regexp_extract_all("definition", F.lit(target), 1))).alias("pos", "ref"),
     ).withColumn("kind", F.substring_index("ref", ".", -1))
     others = refs.filter(F.col("kind") != F.col("src"))
-    known = salted_join(others, kinds.select("kind"), "kind", "left_semi",
+    known = skewed_join(others, kinds.select("kind"), "kind", "left_semi",
                         salts, ["def_ord", "pos"])
     return s.edge_candidates(
         known,
@@ -333,7 +333,7 @@ def type_ref_edges(definitions: DataFrame, kinds: DataFrame, salts: int = 8) ->
 
 
 def before_you_begin_edges(docs: DataFrame, terms: DataFrame, pages: DataFrame,
-                           salts: int = 8) -> DataFrame:
+                           salts: int | None = None) -> DataFrame:
     """Prerequisite candidates from the section of that name.
 
     Each term reference or document link inside the section, up to the next
@@ -347,7 +347,7 @@ def before_you_begin_edges(docs: DataFrame, terms: DataFrame, pages: DataFrame,
         term_mentions(sliced, "glossary_tooltip"), terms, salts
     ).select("rel_path", "url", "pos", F.col("term_node").alias("needed"))
     targets = pages.select(F.col("rel_path").alias("target_path"))
-    by_link = salted_join(doc_links(sliced), targets, "target_path", "left_semi",
+    by_link = skewed_join(doc_links(sliced), targets, "target_path", "left_semi",
                           salts, ["rel_path", "pos"]).select(
         "rel_path", "url", "pos", page_id(F.col("target_path")).alias("needed"))
     return s.edge_candidates(

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from graphloom import schema as s
 from graphloom.functions.text import row_hash
-from graphloom.operators.skew import salted_join, top_per_group
+from graphloom.operators.skew import skewed_join, top_per_group
 
 
 def _edge_key() -> Column:
     return F.concat_ws("|", "from_id", "type", "to_id")
 
 
-def validate(nodes: DataFrame, edges: DataFrame, salts: int = 8) -> DataFrame:
+def validate(nodes: DataFrame, edges: DataFrame, salts: int | None = None) -> DataFrame:
     """Violations as rows (rule, item, occurrences); empty when the graph is valid."""
     one = F.lit(1).cast("bigint").alias("occurrences")
 
@@ -36,7 +36,7 @@ def validate(nodes: DataFrame, edges: DataFrame, salts: int = 8) -> DataFrame:
     ]
     ids = nodes.select("id").distinct()
     for end, rule in (("from_id", "edge_from_unknown"), ("to_id", "edge_to_unknown")):
-        unknown = salted_join(edges.select(*s.EDGE_KEY), ids.withColumnRenamed("id", end), end,
+        unknown = skewed_join(edges.select(*s.EDGE_KEY), ids.withColumnRenamed("id", end), end,
                               "left_anti", salts, s.EDGE_KEY)
         parts.append(flat(unknown, rule, _edge_key()))
     violations = parts[0]

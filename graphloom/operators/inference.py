@@ -17,7 +17,7 @@ from graphloom import schema as s
 from graphloom.functions.render import grounded_context, render_card
 from graphloom.operators.refine import edge_evidence, merge_edges
 from graphloom.operators.select import with_evidence
-from graphloom.operators.skew import exact_rank, salted_join
+from graphloom.operators.skew import exact_rank, skewed_join
 from graphloom.schema import Graph
 from graphloom.seeds import CLUSTER_LABELS
 
@@ -191,7 +191,7 @@ def prerequisite_requests(nodes: DataFrame, model: str, max_nodes: int = 200,
 
 
 def prerequisite_suggestions(answers: DataFrame, nodes: DataFrame, model: str,
-                             salts: int = 8) -> DataFrame:
+                             salts: int | None = None) -> DataFrame:
     """prerequisite -> term candidates from answers (id, prerequisites).
 
     Only known glossary terms other than the node itself count.
@@ -201,7 +201,7 @@ def prerequisite_suggestions(answers: DataFrame, nodes: DataFrame, model: str,
         "id", "title", F.posexplode("prerequisites").alias("pos", "term_id"))
     known = terms.select(F.regexp_replace("id", "^[^:]*:", "").alias("term_id"),
                          F.col("id").alias("term_node"))
-    linked = salted_join(wanted, known, "term_id", "inner", salts, ["id", "pos"])
+    linked = skewed_join(wanted, known, "term_id", "inner", salts, ["id", "pos"])
     return s.edge_candidates(
         linked.filter(F.col("term_node") != F.col("id")),
         from_id=F.col("term_node"), to_id=F.col("id"), type=F.lit("prerequisite_of"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom import schema as s
 from graphloom.functions import text as t
-from graphloom.operators.skew import salted_join
+from graphloom.operators.skew import skewed_join
 
 
 def _n_prov(df: DataFrame) -> Column:
@@ -71,11 +71,11 @@ def dedupe_nodes(nodes: DataFrame) -> DataFrame:
     return first.select(*columns, "duplicates")
 
 
-def drop_dangling_edges(edges: DataFrame, nodes: DataFrame, salts: int = 8) -> DataFrame:
+def drop_dangling_edges(edges: DataFrame, nodes: DataFrame, salts: int | None = None) -> DataFrame:
     """Edges whose both ends exist. ``nodes`` must be unique by id."""
     ids = nodes.select("id")
     for end in ("from_id", "to_id"):
-        edges = salted_join(edges, ids.withColumnRenamed("id", end), end, "left_semi",
+        edges = skewed_join(edges, ids.withColumnRenamed("id", end), end, "left_semi",
                             salts, s.EDGE_KEY)
     return edges.select(*[c for c in s.EDGES.fieldNames() if c in edges.columns])
 

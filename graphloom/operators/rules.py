@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import schema as s
-from graphloom.operators.skew import previous_in_order, salted_join, small
+from graphloom.operators.skew import previous_in_order, skewed_join, small
 from graphloom.seeds import CONTROLLED_BY, DOMAIN_KEYWORDS
 
 # Where the documented facts come from.
@@ -31,15 +31,15 @@ def objects_by_title(nodes: DataFrame, title: Column | None = None) -> DataFrame
     return last.select("key", "o.id", "o.title")
 
 
-def ownership_edges(objects: DataFrame, chain: DataFrame, salts: int = 8) -> DataFrame:
+def ownership_edges(objects: DataFrame, chain: DataFrame, salts: int | None = None) -> DataFrame:
     """child -> parent candidates where both kinds exist.
 
     ``objects`` has (key = title, id); ``chain`` has (rule_ord, child, parent).
     """
     children = objects.select(F.col("key").alias("child"), F.col("id").alias("child_id"))
     parents = objects.select(F.col("key").alias("parent"), F.col("id").alias("parent_id"))
-    linked = salted_join(chain, children, "child", "inner", salts)
-    linked = salted_join(linked, parents, "parent", "inner", salts)
+    linked = skewed_join(chain, children, "child", "inner", salts)
+    linked = skewed_join(linked, parents, "parent", "inner", salts)
     return s.edge_candidates(
         linked,
         from_id=F.col("child_id"), to_id=F.col("parent_id"), type=F.lit("owns"),
@@ -107,10 +107,10 @@ def component_nodes(seed: DataFrame, version: str = "unknown") -> DataFrame:
     )
 
 
-def component_edges(seed: DataFrame, hub: str = CONTROLLED_BY, salts: int = 8) -> DataFrame:
+def component_edges(seed: DataFrame, hub: str = CONTROLLED_BY, salts: int | None = None) -> DataFrame:
     """Edges between components; talking to ``hub`` means controlling."""
     known = seed.select(F.col("component").alias("target")).distinct()
-    linked = salted_join(seed, known, "target", "left_semi", salts, ["component"])
+    linked = skewed_join(seed, known, "target", "left_semi", salts, ["component"])
     return s.edge_candidates(
         linked,
         from_id=F.concat(F.lit("ctrl:"), "component"), to_id=F.concat(F.lit("ctrl:"), "target"),

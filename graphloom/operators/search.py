@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.select import (
     both_directions, edge_view, edges_of_types, neighbors, nodes_by_type, priority,
     relation_priority)
-from graphloom.operators.skew import salted_join, small, substring_pairs, top_per_group
+from graphloom.operators.skew import skewed_join, small, substring_pairs, top_per_group
 from graphloom.seeds import (
     DEPENDENT_TYPES, MATCH_TYPE_ORDER, QUESTION_STOP_WORDS, WALK_TYPE_ORDER)
 
@@ -142,7 +142,7 @@ def keyword_walk(nodes: DataFrame, edges: DataFrame, questions: DataFrame, hits:
                         [F.desc("confidence"), F.asc("other_id"), F.asc("type"),
                          F.asc("direction")], k)
     titles = nodes.select(F.col("id").alias("other_id"), F.col("title").alias("other_title"))
-    return salted_join(top, titles, "other_id", "inner", salt_by=["question_id", "rank"]).select(
+    return skewed_join(top, titles, "other_id", "inner", salt_by=["question_id", "rank"]).select(
         "question_id", "rank", "id", "hit_title", "direction", "type", "other_id",
         "other_title", "label", "confidence")
 
@@ -200,7 +200,7 @@ def search_expanded(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame
     """(id, via): the hits of a search plus the nodes one edge away from a hit."""
     hits = search_hits(nodes, query).select("id")
     seen = both_directions(edges).select("id", "other_id")
-    near = salted_join(seen, hits, "id", "left_semi", salt_by=["other_id"]).select(
+    near = skewed_join(seen, hits, "id", "left_semi", salt_by=["other_id"]).select(
         F.col("other_id").alias("id")).distinct()
     known = near.join(nodes.select("id"), "id", "left_semi").join(hits, "id", "left_anti")
     return hits.withColumn("via", F.lit("match")).unionByName(

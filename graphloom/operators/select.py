@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import schema as s
 from graphloom.functions import text as t
-from graphloom.operators.skew import exact_rank, salted_join, small, top_per_group
+from graphloom.operators.skew import exact_rank, skewed_join, small, top_per_group
 from graphloom.operators.stats import degree_counts
 from graphloom.seeds import (
     FLOW_ORDER, RELATION_ORDER, SITE_ROUTES, SITE_SECTIONS, TYPE_SECTION)
@@ -61,12 +61,12 @@ def confidence_out_of_range(facts: DataFrame) -> DataFrame:
 # -- joins to titles ---------------------------------------------------------
 
 
-def edge_view(edges: DataFrame, nodes: DataFrame, salts: int = 8) -> DataFrame:
+def edge_view(edges: DataFrame, nodes: DataFrame, salts: int | None = None) -> DataFrame:
     """Edges with the titles of both ends; edges without an end are left out."""
     titles = nodes.select("id", "title")
     view = edges
     for end, name in (("from_id", "from_title"), ("to_id", "to_title")):
-        view = salted_join(view, titles.withColumnsRenamed({"id": end, "title": name}),
+        view = skewed_join(view, titles.withColumnsRenamed({"id": end, "title": name}),
                            end, "inner", salts, s.EDGE_KEY)
     return view.select(
         "from_id", "from_title", "to_id", "to_title", "type", "label", "confidence")
@@ -111,7 +111,7 @@ def relation_priority(column: Column) -> Column:
 
 
 def node_pages(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, k: int = 25,
-               sources: int = 4, salts: int = 8) -> DataFrame:
+               sources: int = 4, salts: int | None = None) -> DataFrame:
     """Everything a page per node shows, one row per (node, related edge).
 
     Nodes without edges keep one row with NULL relation columns. ``sources`` is a
@@ -119,7 +119,7 @@ def node_pages(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, k: int =
     """
     top = related_topk(edges, k)
     titles = nodes.select(F.col("id").alias("other_id"), F.col("title").alias("other_title"))
-    named = salted_join(top, titles, "other_id", "left", salts, ["id", "rank"])
+    named = skewed_join(top, titles, "other_id", "left", salts, ["id", "rank"])
     cited = first_evidence(evidence, sources).select("id", F.array_join(F.transform(
         "provenance", lambda p: F.concat_ws(" — ", p["source"], F.substring(p["quote"], 1, 240))
     ), " | ").alias("sources"))
@@ -162,7 +162,7 @@ def unlocks(edges: DataFrame, nodes: DataFrame, node_id: str) -> DataFrame:
 
 
 def prerequisite_pairs(edges: DataFrame, nodes: DataFrame, types: Sequence[str] = ("glossary",),
-                       salts: int = 8) -> DataFrame:
+                       salts: int | None = None) -> DataFrame:
     """(id, title, direction, other_id, other_title) over prerequisite edges.
 
     One row per pair, so a term that unlocks millions of others stays in rows.
@@ -173,8 +173,8 @@ def prerequisite_pairs(edges: DataFrame, nodes: DataFrame, types: Sequence[str]
         F.when(F.col("direction") == "in", "prerequisite").otherwise("unlocks").alias("direction"))
     mine = nodes.filter(F.col("type").isin(list(types))).select("id", "title")
     others = nodes.select(F.col("id").alias("other_id"), F.col("title").alias("other_title"))
-    pairs = salted_join(named, mine, "id", "inner", salts, ["other_id", "direction"])
-    pairs = salted_join(pairs, others, "other_id", "inner", salts, ["id", "direction"])
+    pairs = skewed_join(named, mine, "id", "inner", salts, ["other_id", "direction"])
+    pairs = skewed_join(pairs, others, "other_id", "inner", salts, ["id", "direction"])
     return pairs.select("id", "title", "direction", "other_id", "other_title")
 
 
@@ -234,7 +234,7 @@ def section_for(node_type: Column) -> Column:
     return F.coalesce(known, F.lit(SITE_SECTIONS[0]))
 
 
-def node_slugs(nodes: DataFrame, salts: int = 8) -> DataFrame:
+def node_slugs(nodes: DataFrame, salts: int | None = None) -> DataFrame:
     """(id, type, slug): the URL slug of every node, unique per node.
 
     The first node of a slug keeps it; the others get ``-1``, ``-2``, ... in
@@ -245,7 +245,7 @@ def node_slugs(nodes: DataFrame, salts: int = 8) -> DataFrame:
     shared = slugs.groupBy("slug").agg(
         F.min_by("id", order).alias("_first"), F.count(F.lit(1)).alias("_n"),
     ).filter(F.col("_n") > 1).drop("_n")
-    marked = salted_join(slugs, shared, "slug", "left", salts, ["id"])
+    marked = skewed_join(slugs, shared, "slug", "left", salts, ["id"])
     again = F.col("_first").isNotNull() & (F.col("_first") != F.col("id"))
     unique = marked.filter(~again).select("id", "type", "slug")
     ranked = exact_rank(marked.filter(again).drop("_first"), ["slug"], ["ord", "id"], "_rank")
@@ -254,7 +254,7 @@ def node_slugs(nodes: DataFrame, salts: int = 8) -> DataFrame:
     return unique.unionByName(suffixed)
 
 
-def hrefs(nodes: DataFrame, salts: int = 8) -> DataFrame:
+def hrefs(nodes: DataFrame, salts: int | None = None) -> DataFrame:
     """(id, type, section, slug, href) of every node's page."""
     routed = node_slugs(nodes, salts).withColumn("section", section_for(F.col("type")))
     href = F.concat(F.lit("/"), F.col("section"), F.lit("/"), F.col("slug"), F.lit("/"))
@@ -267,7 +267,7 @@ def ids_for_section(nodes: DataFrame, section: str) -> DataFrame:
     return nodes_by_type(nodes, *types).select("id", "ord").orderBy("ord", "id").select("id")
 
 
-def sitemap_urls(nodes: DataFrame, base_url: str, salts: int = 8) -> DataFrame:
+def sitemap_urls(nodes: DataFrame, base_url: str, salts: int | None = None) -> DataFrame:
     """(url): the fixed routes and one URL per node of a listed type."""
     base = base_url.rstrip("/")
     listed = hrefs(nodes.filter(F.col("type").isin(list(TYPE_SECTION))), salts)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import checkpoint
 
 BROADCAST_ROWS = 100_000
+DEFAULT_SALTS = 8
 
 
 def row_bound(df: DataFrame) -> int | None:
@@ -34,27 +35,61 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if bound is not None and bound <= max_rows else df
 
 
-def salted_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner",
-                salts: int = 8, salt_by: Sequence[str] = ()) -> DataFrame:
-    """Equi-join of a skewed ``fact`` with a ``dim`` that is unique on ``on``.
+def splits_hot_partitions(spark: SparkSession) -> bool:
+    """Whether AQE splits oversized join partitions at run time."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(spark.conf.get(name, "true").lower() == "true" for name in names)
 
-    A side that is proven small is broadcast, which needs no shuffle. Otherwise
-    the fact rows of a key are spread over ``salts`` partitions by a hash of
-    ``salt_by`` and each dim row is replicated once per salt.
+
+def skewed_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner",
+                salts: int | None = None, salt_by: Sequence[str] = ()) -> DataFrame:
+    """Equi-join of a ``fact`` side with hot keys and a ``dim`` unique on ``on``.
+
+    * A side that is proven small is broadcast, which needs no shuffle.
+    * Otherwise, with AQE's skew join on, the join is left to it: from measured
+      sizes it splits the fact's hot partitions, replicating only their dim rows.
+    * Without it, or with ``salts`` given, the fact rows of a key are spread over
+      ``salts`` partitions by a hash of ``salt_by`` and each dim row is replicated
+      once per salt.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
+    keys = [on] if isinstance(on, str) else list(on)
     dim_hinted = small(dim)
     fact_hinted = small(fact) if how == "inner" else fact
+    if salts is None:
+        salts = 1 if splits_hot_partitions(fact.sparkSession) else DEFAULT_SALTS
     if dim_hinted is not dim or fact_hinted is not fact or salts <= 1:
-        return fact_hinted.join(dim_hinted, on if isinstance(on, str) else list(on), how)
+        return fact_hinted.join(dim_hinted, keys, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in (salt_by or fact.columns)]), F.lit(salts))
     left = fact.withColumn("_salt", salt.cast("int"))
     right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keys = [on] if isinstance(on, str) else list(on)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a small input whose few splits would leave cores idle.
+
+    Inputs larger than one split per core are returned as they are: they have
+    work for every core, and shuffling them would only cost.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # a remote session exposes no plan
+        return df
+    return df.repartition(cores) if size < cores * _bytes(split) else df
+
+
+def _bytes(text: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+             "g": 1 << 30, "gb": 1 << 30}
+    digits = text.rstrip("bBkKmMgG")
+    return int(digits) * units.get(text[len(digits):].lower(), 1)
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
                   rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of every group with their 1-based rank.

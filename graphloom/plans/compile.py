@@ -13,7 +13,7 @@ from graphloom import seeds
 from graphloom.operators import builders as b
 from graphloom.operators import refine, rules
 from graphloom.operators.inference import PassRegistry
-from graphloom.operators.skew import salted_join
+from graphloom.operators.skew import skewed_join
 from graphloom.schema import Graph
 from graphloom.session import stage
 from graphloom.sources.api_spec import spec_definitions, spec_operations
@@ -122,8 +122,8 @@ def prune(graph: Graph, body_max: int = 4000) -> Graph:
     return graph.with_(
         nodes=kept,
         edges=edges,
-        node_evidence=salted_join(graph.node_evidence, kept.select("id"), "id", "left_semi",
+        node_evidence=skewed_join(graph.node_evidence, kept.select("id"), "id", "left_semi",
                                   salt_by=["ord", "quote"]),
-        edge_evidence=salted_join(graph.edge_evidence, edges.select(*s.EDGE_KEY), s.EDGE_KEY,
+        edge_evidence=skewed_join(graph.edge_evidence, edges.select(*s.EDGE_KEY), s.EDGE_KEY,
                                   "left_semi", salt_by=["ord", "quote"]),
     )

@@ -152,12 +152,8 @@ def sortable(number: Column | str) -> Column:
 
 def ordinal(phase: int, doc: Column | str, pos: Column | int = 0) -> Column:
     doc = F.col(doc) if isinstance(doc, str) else doc
-    pos = F.lit(pos) if isinstance(pos, int) else pos
-    return F.struct(
-        F.lit(phase).cast("int").alias("phase"),
-        doc.cast("string").alias("doc"),
-        pos.cast("bigint").alias("pos"),
-    )
+    place = F.expr(f"{pos}L AS pos") if isinstance(pos, int) else pos.cast("bigint").alias("pos")
+    return F.struct(F.expr(f"{phase} AS phase"), doc.alias("doc"), place)
 
 
 def provenance(
@@ -166,16 +162,15 @@ def provenance(
     line_start: Column | None = None,
     quote: Column | None = None,
 ) -> Column:
-    def cell(value: Column | None, dtype: str) -> Column:
-        return (F.lit(None) if value is None else value).cast(dtype)
+    values = {"source": source, "url": url, "line_start": line_start, "quote": quote}
+    return F.struct(*[_member(f, values.get(f.name)) for f in PROVENANCE.fields])
 
-    return F.struct(
-        cell(source, "string").alias("source"),
-        cell(url, "string").alias("url"),
-        cell(line_start, "int").alias("line_start"),
-        cell(None, "int").alias("line_end"),
-        cell(quote, "string").alias("quote"),
-    )
+
+def _member(f: T.StructField, value: Column | None) -> Column:
+    """A struct member; the NULL ones are written as SQL to keep planning cheap."""
+    if value is None:
+        return F.expr(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}")
+    return value.cast(f.dataType.simpleString()).alias(f.name)
 
 
 def meta(**values: Column) -> Column:
@@ -183,41 +178,46 @@ def meta(**values: Column) -> Column:
     unknown = set(values) - set(META.fieldNames())
     if unknown:
         raise ValueError(f"unknown meta fields: {sorted(unknown)}")
-    return F.struct(*[
-        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in META.fields
-    ])
+    return F.struct(*[_member(f, values.get(f.name)) for f in META.fields])
 
 
 def empty_array() -> Column:
     return F.array().cast("array<string>")
 
 
-def _fill(df: DataFrame, schema: T.StructType, defaults: dict[str, Column],
+# SQL of the columns a builder leaves out; any other one is NULL.
+_NODE_DEFAULTS = {
+    "summary": "''", "body": "''", "body_trimmed": "false", "version": "'unknown'",
+    "tags": "CAST(array() AS array<string>)", "aliases": "CAST(array() AS array<string>)",
+    "confidence": "1.0D", "derived_by": "'deterministic'",
+}
+_EDGE_DEFAULTS = {
+    "label": "''", "weight": "1.0D", "confidence": "1.0D", "derived_by": "'deterministic'",
+}
+
+
+def _fill(df: DataFrame, schema: T.StructType, defaults: dict[str, str],
           values: dict[str, Column]) -> DataFrame:
     unknown = set(values) - set(schema.fieldNames())
     if unknown:
         raise ValueError(f"unknown columns: {sorted(unknown)}")
     columns = []
     for f in schema.fields:
-        value = values.get(f.name, defaults.get(f.name, F.lit(None)))
-        columns.append(value.cast(f.dataType).alias(f.name))
+        value = values.get(f.name)
+        if value is None and f.name in defaults:
+            columns.append(F.expr(f"{defaults[f.name]} AS {f.name}"))
+        elif value is not None and isinstance(f.dataType, (T.StructType, T.ArrayType)):
+            columns.append(value.alias(f.name))
+        else:
+            columns.append(_member(f, value))
     return df.select(*columns)
 
 
 def node_candidates(df: DataFrame, **values: Column) -> DataFrame:
     """Project ``df`` onto the node candidate layout, filling the defaults."""
-    defaults = {
-        "summary": F.lit(""), "body": F.lit(""), "body_trimmed": F.lit(False),
-        "version": F.lit("unknown"), "tags": empty_array(), "aliases": empty_array(),
-        "confidence": F.lit(1.0), "derived_by": F.lit("deterministic"),
-    }
-    return _fill(df, NODE_CANDIDATES, defaults, values)
+    return _fill(df, NODE_CANDIDATES, _NODE_DEFAULTS, values)
 
 
 def edge_candidates(df: DataFrame, **values: Column) -> DataFrame:
     """Project ``df`` onto the edge candidate layout, filling the defaults."""
-    defaults = {
-        "label": F.lit(""), "weight": F.lit(1.0), "confidence": F.lit(1.0),
-        "derived_by": F.lit("deterministic"),
-    }
-    return _fill(df, EDGE_CANDIDATES, defaults, values)
+    return _fill(df, EDGE_CANDIDATES, _EDGE_DEFAULTS, values)
