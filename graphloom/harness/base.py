@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom import schema as s
 from graphloom.functions import text as t
@@ -24,6 +25,7 @@ from graphloom.session import configure
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -49,7 +51,14 @@ class Tables:
         self._dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        path = f"{self._dir}/{name}.parquet"
+        # Resolving a file's schema is a job of its own: do it once per session.
+        known = _SCHEMAS.get(path)
+        reader = self._spark.read if known is None else self._spark.read.schema(known)
+        table = reader.parquet(path)
+        _SCHEMAS[path] = table.schema
+        setattr(self, name, table)
+        return table
 
     def spread(self, name: str, *columns: str) -> DataFrame:
         """A table for CPU-heavy work; small inputs use all cores."""
@@ -160,10 +169,9 @@ def supply_candidates(tables: Tables) -> DataFrame:
         ord=s.ordinal(5, padded("l_orderkey"), F.col("l_linenumber")))
 
 
-def prerequisite_candidates(tables: Tables) -> DataFrame:
+def reversed_prerequisites(part_of: DataFrame) -> DataFrame:
     """region -> nation -> customer -> order, and nation -> supplier."""
-    up = part_of_candidates(tables)
-    return up.withColumns({
+    return part_of.withColumns({
         "from_id": F.col("to_id"), "to_id": F.col("from_id"),
         "type": F.lit("prerequisite_of"), "label": F.lit("then"),
     })
@@ -171,8 +179,8 @@ def prerequisite_candidates(tables: Tables) -> DataFrame:
 
 def entity_edges(tables: Tables) -> DataFrame:
     """All merged edges. The key-unique kinds need no merge."""
-    flat = as_facts(part_of_candidates(tables).unionByName(prerequisite_candidates(tables)))
-    return flat.unionByName(merge_edges(supply_candidates(tables)))
+    up = as_facts(part_of_candidates(tables))
+    return union([up, reversed_prerequisites(up), merge_edges(supply_candidates(tables))])
 
 
 PART_OF_SQL = """

@@ -118,9 +118,12 @@ def keyword_matches(nodes: DataFrame, questions: DataFrame, k: int = 15) -> Data
     # An empty keyword ("...") matches everything, as LIKE '%%' does.
     everything = texts.drop("_text").withColumn("keyword", F.lit("")).join(
         empty, "keyword", "left_semi")
-    hits = asked.join(pairs.unionByName(everything), "keyword").select(
-        "question_id", "id", "type", "title", "section").distinct()
     order = [F.asc("type"), F.asc("title"), F.asc("id")]
+    # The first k of a question are among the first k of its keywords, so a word
+    # that every node contains brings k rows to the questions that ask for it.
+    best = top_per_group(pairs.unionByName(everything), ["keyword"], order, k).drop("rank")
+    hits = asked.join(best, "keyword").select(
+        "question_id", "id", "type", "title", "section").distinct()
     return top_per_group(hits, ["question_id"], order, k)
 
 
@@ -137,10 +140,12 @@ def keyword_walk(nodes: DataFrame, edges: DataFrame, questions: DataFrame, hits:
         "question_id", F.col("b.id").alias("id"), F.col("b.title").alias("hit_title"))
     seen = both_directions(edges).filter(~(
         (F.col("direction") == "in") & (F.col("id") == F.col("other_id"))))
-    around = seen.join(best, "id")
-    top = top_per_group(around, ["question_id"],
-                        [F.desc("confidence"), F.asc("other_id"), F.asc("type"),
-                         F.asc("direction")], k)
+    # Cut each hit's edges to k first: many questions may share one hub.
+    hit_ids = best.select("id").distinct()
+    near = top_per_group(
+        skewed_join(seen, hit_ids, "id", "left_semi", salt_by=["other_id"]), ["id"],
+        [F.desc("confidence"), F.asc("other_id"), F.asc("type"), F.asc("direction")], k)
+    top = near.join(best, "id")
     titles = nodes.select(F.col("id").alias("other_id"), F.col("title").alias("other_title"))
     return skewed_join(top, titles, "other_id", "inner", salt_by=["question_id", "rank"]).select(
         "question_id", "rank", "id", "hit_title", "direction", "type", "other_id",

@@ -167,22 +167,28 @@ def previous_in_order(df: DataFrame, keys: Sequence[str], order: Column, bucket:
 
 
 def substring_pairs(texts: DataFrame, text: str, patterns: DataFrame, pattern: str,
-                    q: int = 3) -> DataFrame:
+                    longest: int = 64) -> DataFrame:
     """All (text row, pattern row) pairs where the pattern occurs in the text.
 
     Instead of testing every text against every pattern, texts are split into
-    their distinct q-grams and joined to the patterns on the pattern's first
-    q-gram; the hits are then verified with ``contains``. Every occurrence starts
-    with that gram, so no pair is lost. Meant for short texts such as titles.
+    their distinct substrings of the lengths that patterns have, and equi-joined
+    to the patterns. A joined row is a true match, so a prefix that many patterns
+    share costs nothing. Patterns over ``longest`` characters are joined on that
+    much of their start and then verified. Meant for short texts such as titles.
     """
-    t = F.col(text)
-    starts = F.sequence(F.lit(1), F.length(t))
-    grams = F.array_distinct(F.flatten(F.transform(
-        starts, lambda i: F.array(*[F.substring(t, i, F.lit(k)) for k in range(1, q + 1)])
-    )))
-    split = texts.filter(F.length(t) > 0).withColumn("_gram", F.explode(grams))
-    keyed = patterns.filter(F.length(pattern) > 0).withColumn(
-        "_gram", F.substring(F.col(pattern), 1, q)
-    )
-    pairs = split.join(small(keyed), "_gram").filter(F.contains(F.col(text), F.col(pattern)))
-    return pairs.drop("_gram")
+    t, p = F.col(text), F.col(pattern)
+    filled = patterns.filter(F.length(p) > 0)
+    # At most ``longest`` numbers come to the driver.
+    sizes = filled.select(F.least(F.length(p), F.lit(longest)).alias("n")).distinct().collect()
+    lengths = sorted(r["n"] for r in sizes) or [1]
+
+    def pieces(n: int) -> Column:
+        last = F.length(t) - n + 1
+        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
+
+    parts = F.array_distinct(F.concat(*[pieces(n) for n in lengths]))
+    split = texts.withColumn("_part", F.explode(parts))
+    keyed = filled.withColumn("_part", F.substring(p, 1, longest))
+    pairs = split.join(small(keyed), "_part").drop("_part")
+    return pairs.filter(F.contains(t, p)) if lengths[-1] == longest else pairs
