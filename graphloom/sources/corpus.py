@@ -74,7 +74,7 @@ def read_markdown_corpus(spark: SparkSession, root: str,
                          base_url: str | None = DOCS_BASE_URL) -> DataFrame:
     """All ``*.md`` files under ``root``, one row per file.
 
-    The section filter depends only on the file path, which lets Spark skip the
+    Files of zero bytes are not listed by Spark's file sources. The section filter depends only on the file path, which lets Spark skip the
     excluded files without opening them.
     """
     files = (
