@@ -419,7 +419,7 @@ FROM (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previo
 def flow_graph(spark, sf_dir) -> DataFrame:
     steps = Tables(spark, sf_dir).conversations.select(
         F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").alias("step"),
-        F.col("role").alias("actor"), F.substring("text", 1, 50).alias("description"))
+        F.col("role").alias("actor"), F.col("text").alias("description"))
     merged = refine.merge_edges(rules.flow_edges(steps, ["conv_id"]))
     return merged.select("from_id", "to_id", "label", "n_prov")
 
@@ -439,7 +439,7 @@ TAG_RULES = {"alpha": ["tion", "the "], "beta": ["der", "und"], "gamma": ["ción
 
 def _tag_nodes(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents
-    return docs.select("doc_id", F.substring("text", 1, 60).alias("title"),
+    return docs.select("doc_id", F.col("text").alias("title"),
                        F.col("source").alias("summary"),
                        F.array("lang", "source").alias("tags"))
 
@@ -452,7 +452,7 @@ tagged AS (
     CASE WHEN contains(x, 'ción') THEN 'gamma' END,
     CASE WHEN contains(x, 're') AND lang <> 'en' THEN 'en' END) AS tags
   FROM (SELECT doc_id, lang, source,
-          lower(text[1:60] || ' ' || source || ' ' || lang || ' ' || source) AS x FROM documents)
+          lower(text || ' ' || source || ' ' || lang || ' ' || source) AS x FROM documents)
 )"""
 
 
@@ -592,7 +592,7 @@ def document_corpus(spark, sf_dir) -> DataFrame:
         F.lit('Uses {{< glossary_tooltip text="it" term_id="'), "source",
         F.lit('" >}} and [that](/docs/'), "lang", F.lit("/"),
         F.floor(F.col("doc_id") / 2).cast("string"), F.lit("/).\n## About "), "source",
-        F.lit("\n{{% note %}}"), F.substring("text", 1, 100), F.lit("{{% /note %}}\n"), "text")
+        F.lit("\n{{% note %}}"), "source", F.lit("{{% /note %}}\n"), "text")
     return corpus_from_table(marked, path, F.concat(front, body))
 
 

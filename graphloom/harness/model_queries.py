@@ -23,11 +23,11 @@ def _candidates(spark, sf_dir):
     kind = F.when(F.col("lang") == "en", "page").when(F.col("lang") == "de", "glossary").when(
         F.col("lang") == "fr", "api_object").otherwise("concept")
     body = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("text"))
-    quoted = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 350))
+    quoted = F.when(F.col("doc_id") % 2 == 0, F.col("text"))
     return s.node_candidates(
         docs, id=F.concat(F.substring("lang", 1, 2), F.lit(":"), F.col("doc_id").cast("string")),
         type=kind, title=F.concat(F.lit("Doc "), F.col("doc_id").cast("string")),
-        summary=F.when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 60)).otherwise("short"),
+        summary=F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise("short"),
         body=body, tags=F.array("source"),
         prov=s.provenance(F.col("source"), quote=quoted),
         ord=s.ordinal(1, s.sortable("doc_id")))
@@ -42,9 +42,9 @@ m AS (
   SELECT lang || ':' || doc_id AS id, doc_id, source, lang, 'Doc ' || doc_id AS title,
          CASE lang WHEN 'en' THEN 'page' WHEN 'de' THEN 'glossary' WHEN 'fr' THEN 'api_object'
               ELSE 'concept' END AS type,
-         CASE WHEN doc_id % 5 = 0 THEN text[1:60] ELSE 'short' END AS summary,
+         CASE WHEN doc_id % 5 = 0 THEN text ELSE 'short' END AS summary,
          CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS body,
-         CASE WHEN doc_id % 2 = 0 THEN text[1:350] END AS quote
+         CASE WHEN doc_id % 2 = 0 THEN text END AS quote
   FROM documents
 ),
 ctx AS (

@@ -150,7 +150,7 @@ SELECT doc_id,
        CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN 'root' ELSE 'root' END AS section,
        'doc.' || doc_id AS stem
 FROM (SELECT doc_id, source,
-        trim(regexp_replace(lower(text[1:40]), '[^a-z0-9]+', '-', 'g'), '-') AS slug
+        trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug
       FROM documents)""")
 def slug_sections(spark, sf_dir) -> DataFrame:
     docs = Tables(spark, sf_dir).documents
@@ -159,7 +159,7 @@ def slug_sections(spark, sf_dir) -> DataFrame:
         which == 1, F.lit("x/docs")).otherwise(F.concat(F.lit("y/"), "source"))
     file = F.concat(F.lit("a/b.c/doc."), F.col("doc_id").cast("string"), F.lit(".md"))
     return docs.select(
-        "doc_id", t.slugify(F.substring("text", 1, 40)).alias("slug"),
+        "doc_id", t.slugify(F.col("text")).alias("slug"),
         t.section_from_path(path).alias("section"), t.file_stem(file).alias("stem"))
 
 
