@@ -188,7 +188,7 @@ def substring_pairs(texts: DataFrame, text: str, patterns: DataFrame, pattern: s
         return F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
 
     parts = F.array_distinct(F.concat(*[pieces(n) for n in lengths]))
-    split = texts.withColumn("_part", F.explode(parts))
+    split = spread(texts).withColumn("_part", F.explode(parts))
     keyed = filled.withColumn("_part", F.substring(p, 1, longest))
     pairs = split.join(small(keyed), "_part").drop("_part")
     return pairs.filter(F.contains(t, p)) if lengths[-1] == longest else pairs

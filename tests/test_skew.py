@@ -159,3 +159,33 @@ def test_many_questions_share_one_hub(spark):
                                   "question_id INT, question STRING")
     walk = keyword_walk(nodes, edges, asked).collect()
     assert len(walk) == 40 * 25 and {r["hit_title"] for r in walk} == {"Central"}
+
+
+def test_hot_partitions_are_split_at_run_time(spark):
+    """With thresholds scaled down to the test's size, AQE splits the hot key."""
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {name: spark.conf.get(name, None) for name in options}
+    for name, setting in options.items():
+        spark.conf.set(name, setting)
+    try:
+        key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+        fact = spark.range(0, 150_000, 1, 8).select(key.alias("k"), F.col("id").alias("o"))
+        dim = spark.range(0, 150_000, 1, 8).select(
+            F.col("id").alias("k"), (F.col("id") * 2).alias("d")).filter("d >= 0")
+        for how in ("inner", "left_semi", "left_anti"):
+            joined = skew.skewed_join(fact, dim, "k", how)
+            assert len(joined.collect()) == (0 if how == "left_anti" else 150_000)
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, setting in before.items():
+            if setting is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, setting)
