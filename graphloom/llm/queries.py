@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import language, quality
 from graphloom.llm.common import crc, prepare
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.mixing import with_copies
+from graphloom.llm.secrets import secrets_of
 from graphloom.llm.sharding import SHARDS, places
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    held_out = F.pmod(crc(F.col("doc_id")), F.lit(4)) == 2
+    model = language.learn(docs.filter(~held_out))
+    found = language.language_of(model, F.col("text"), docs)
+    return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select(
+        "doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir))
@@ -49,6 +61,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 """
 
 
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    return docs.select("doc_id", secrets_of(F.col("text")).alias("found")).select(
+        "doc_id", "found.*")
+
+
+@query
+def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir), table(spark, sf_dir, "labels")
+    held_out = F.pmod(crc(F.col("doc_id")), F.lit(4)) == 2
+    model = quality.learn(docs.filter(~held_out), labels.filter(~held_out))
+    score = quality.quality_of(model, F.col("text"), docs)
+    return docs.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir)
