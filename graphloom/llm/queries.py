@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import language, quality
 from graphloom.llm.common import crc, prepare
 from graphloom.llm.exact_dedup import exact_dedup
+from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.mixing import with_copies
 from graphloom.llm.secrets import secrets_of
 from graphloom.llm.sharding import SHARDS, places
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir))
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir)
