@@ -17,6 +17,7 @@ from graphloom.llm.common import crc, prepare
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.mixing import with_copies
+from graphloom.llm.near_dedup import near_groups
 from graphloom.llm.secrets import secrets_of
 from graphloom.llm.sharding import SHARDS, places
 
@@ -39,6 +40,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir))
 
 
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir))
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir)
