@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import language, quality
 from graphloom.llm.common import crc, prepare
 from graphloom.llm.exact_dedup import exact_dedup
+from graphloom.llm.katz import score_texts
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.mixing import with_copies
 from graphloom.llm.near_dedup import near_groups
@@ -80,6 +81,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "found.*")
 
 
+@query
+def op6_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(crc(F.col("doc_id")), F.lit(5)) == 1
+    scored = score_texts(table(spark, sf_dir), ~held_out)
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
+
+
 @query
 def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir), table(spark, sf_dir, "labels")
