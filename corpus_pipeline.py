@@ -11,11 +11,42 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm.common import prepare
+from graphloom.llm import language
+from graphloom.llm.common import broadcast_if_small, prepare
+from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.mixing import mix
+from graphloom.llm.near_dedup import near_groups
 from graphloom.llm.sharding import shard
-from graphloom.session import checkpoint_dir
+from graphloom.session import checkpoint_dir, stage
+
+#: A text goes when it has no letters, or when less than this share of its trigrams is
+#: known in the language it looks most like.
+LEAST_KNOWN = 0.3
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts in no known language; the filters are learned from the labelled rows."""
+    prepare(spark)
+    model = language.learn(docs)
+    found = language.language_of(model, F.col("text"), docs)
+    known = (F.col("_found.lang_pred") != language.UNKNOWN) & (F.col("_found.score") >= LEAST_KNOWN)
+    return docs.withColumn("_found", found).filter(known).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies, the one with the smallest id."""
+    copies = stage(near_groups(docs).filter(~F.col("kept")).select(
+        F.col("doc_id").alias("_copy")).distinct(), "copies")
+    return docs.join(broadcast_if_small(copies, row_bytes=16), F.col("doc_id") == F.col("_copy"),
+                     "left_anti")
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of the benchmark."""
+    prepare(spark)
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +62,9 @@ def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_languages),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
     ("mixing", mix_sources),
     ("sharding", cut_shards),
 ]
@@ -42,7 +76,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+    for k, (name, apply) in enumerate(STAGES):
+        apply(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import language, quality
 from graphloom.llm.common import crc, prepare
+from graphloom.llm.decontaminate import leaks
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.katz import score_texts
 from graphloom.llm.line_dedup import dedup_lines
@@ -156,3 +157,8 @@ SELECT doc_id, size, source_size, target,
             AS BIGINT) AS taken
 FROM r
 """
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
