@@ -204,9 +204,10 @@ def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFram
     per_doc = wanted.join(firsts, "hash").groupBy("doc_id").agg(
         F.collect_list(F.struct("line", "hash", "slot")).alias("wanted"))  # lines of one text
     per_doc = stage(per_doc, "line-candidates")
+    held = per_doc.agg(F.count(F.lit(1)), F.sum(F.size("wanted"))).first()
+    few = broadcast_if_small(per_doc, rows=held[0] + (held[1] or 0), row_bytes=32)
     found = stage(
-        docs.filter(F.col("text").isNotNull()).join(broadcast_if_small(per_doc, row_bytes=1024), "doc_id")
-        .select("text", "wanted")
+        docs.filter(F.col("text").isNotNull()).join(few, "doc_id").select("text", "wanted")
         .mapInArrow(candidate_lines, "hash bigint, slot int, value string"), "line-texts")
     keyed = found.mapInArrow(deletion_keys, "hash bigint, key bigint, role int").distinct()
     placed = stage(keyed.join(firsts, "hash"), "line-variants")
