@@ -365,7 +365,8 @@ def backoff(counted: DataFrame, known: Vocabulary) -> Backoff:
         discounted(np.array([r]), d)[0] * column[c] for r, c in enumerate(small, 1))
     counts[at] = taken
     if len(at):
-        weights[at] = (1 - kept / taken) / (1 - column["unigram"])
+        # Where all words were seen, nothing backs off and the weight is never used.
+        weights[at] = (1 - kept / taken) / np.maximum(1 - column["unigram"], 1e-12)
     return Backoff(counts, weights, d)
 
 
