@@ -20,6 +20,7 @@ from graphloom import schema as s
 from graphloom.functions import text as t
 from graphloom.operators.refine import merge_edges
 from graphloom.operators.skew import spread
+from graphloom.schema import as_facts  # noqa: F401  (re-exported)
 from graphloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,13 +116,6 @@ def entity_nodes(tables: Tables, candidates: bool = False) -> DataFrame:
     return rows if candidates else as_facts(rows)
 
 
-def as_facts(candidates: DataFrame) -> DataFrame:
-    """Candidates that are unique by construction, in the fact layout."""
-    return candidates.withColumn(
-        "n_prov", F.when(F.col("prov.source").isNotNull(), 1).otherwise(0).cast("bigint")
-    ).drop("prov")
-
-
 ENTITY_NODES_SQL = """
 n AS (
   SELECT 'part:' || p_partkey AS id, 'glossary' AS type, p_name AS title,
@@ -242,13 +236,12 @@ def web_docs(tables: Tables) -> DataFrame:
         F.regexp_extract("url", URL_SECTION, 1).alias("section"))
 
 
-def web_terms(docs: DataFrame, max_length: int = 4) -> DataFrame:
-    """(term_id, term_node): the short terms that several pages name."""
+def web_terms(docs: DataFrame) -> DataFrame:
+    """(term_id, term_node): the terms that several pages name."""
     named = docs.select("rel_path", F.explode(
         F.array_distinct(F.transform("refs", lambda r: r["term_id"]))).alias("term_id"))
     often = named.groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = (F.col("n") >= 2) & (F.length("term_id") <= max_length)
-    return often.filter(kept).select(
+    return often.filter(F.col("n") >= 2).select(
         "term_id", F.concat(F.lit("gloss:"), "term_id").alias("term_node"))
 
 
@@ -259,7 +252,7 @@ links AS (
   FROM pages
 ),
 terms AS (
-  SELECT term FROM links WHERE length(term) <= 4 GROUP BY term HAVING count(DISTINCT page_id) >= 2
+  SELECT term FROM links GROUP BY term HAVING count(DISTINCT page_id) >= 2
 )"""
 
 

@@ -48,10 +48,14 @@ def reference_evidence(spark, sf_dir) -> DataFrame:
 @query("dangling_terms", f"""
 WITH {WEB_SQL}
 SELECT lpad(page_id::VARCHAR, 19, '0') || '.md' AS rel_path, pos, term AS term_id
-FROM links ANTI JOIN terms USING (term)""")
+FROM links ANTI JOIN (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS term
+                      FROM pages) USING (term)""")
 def dangling_terms(spark, sf_dir) -> DataFrame:
     docs = web_docs(Tables(spark, sf_dir))
-    return b.dangling_terms(docs, web_terms(docs)).select("rel_path", "pos", "term_id")
+    # Known are the terms that some page's address has as its section.
+    known = docs.select(F.col("section").alias("term_id"),
+                        F.concat(F.lit("gloss:"), "section").alias("term_node")).distinct()
+    return b.dangling_terms(docs, known).select("rel_path", "pos", "term_id")
 
 
 def _linked_docs(spark, sf_dir, body):
@@ -481,14 +485,14 @@ def merge_edges(spark, sf_dir) -> DataFrame:
 
 @query("merge_again", f"""
 WITH {SUPPLY_SQL}
-SELECT from_id, to_id, type, label, weight, confidence, n_prov FROM m""")
+SELECT from_id, to_id, type, label, weight, confidence, derived_by, n_prov FROM m""")
 def merge_again(spark, sf_dir) -> DataFrame:
     """Two halves merged first, then merged with each other."""
     rows = supply_candidates(Tables(spark, sf_dir))
     half = F.col("ord.pos") % 2 == 0
     parts = refine.merge_edges(rows.filter(half)).unionByName(
         refine.merge_edges(rows.filter(~half)))
-    return refine.merge_edges(parts).drop("derived_by", "ord")
+    return refine.merge_edges(parts).drop("ord", "best_ord")
 
 
 @query("edge_evidence", """

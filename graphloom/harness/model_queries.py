@@ -48,10 +48,10 @@ m AS (
   FROM documents
 ),
 ctx AS (
-  SELECT *, CASE WHEN quote <> '' THEN 'Source quotes (use these; do not invent others):'
-              || chr(10) || '- "' || quote[1:300] || '"  (source: ' || source || ')'
-            WHEN body <> '' THEN 'Extracted body:' || chr(10) || body[1:1500]
-            ELSE 'Title: ' || title END AS context,
+  SELECT *, CASE WHEN quote <> '' THEN 'Passages to rely on:'
+              || chr(10) || '- "' || quote[1:300] || '" - from ' || source
+            WHEN body <> '' THEN 'Text to rely on:' || chr(10) || body[1:1500]
+            ELSE 'Only the title is known: ' || title END AS context,
          type <> 'concept' AND length(body) <= 600 AS wants
   FROM m
 )"""
@@ -68,7 +68,7 @@ def grounded(spark, sf_dir) -> DataFrame:
 def _batches(spark, sf_dir):
     rows = _candidates(spark, sf_dir)
     cited = select.with_evidence(as_facts(rows), refine.node_evidence(rows), 3)
-    return inference.synthesis_batches(cited, MODEL, batch_size=10, max_nodes=None)
+    return inference.synthesis_batches(cited, MODEL, batch_size=10)
 
 
 BATCHES_SQL = f"""
@@ -170,13 +170,20 @@ def apply_cards(spark, sf_dir) -> DataFrame:
     return nodes.select("id", "body", "summary", "confidence", "derived_by")
 
 
+ALLOWED_SQL = """
+g AS (
+  SELECT id, title, doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r
+  FROM m WHERE type = 'glossary'),
+allowed AS (
+  SELECT g.id, any_value(g.title) AS title, min_by(p.id, p.doc_id) AS first,
+         string_agg(p.doc_id::VARCHAR, ', ' ORDER BY p.doc_id) AS ids
+  FROM g JOIN g p ON p.source = g.source AND p.r BETWEEN g.r - 80 AND g.r - 1 GROUP BY g.id)"""
+
+
 @query("prereq_requests", f"""
-WITH {NODES_SQL}, g AS (
-  SELECT id, title, doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM m WHERE type = 'glossary')
+WITH {NODES_SQL}, {ALLOWED_SQL}
 SELECT id, 'Which terms must be understood before this one? At most 3.' || chr(10) || 'Concept: '
-       || title || chr(10) || 'Allowed ids: '
-       || (SELECT string_agg(doc_id::VARCHAR, ', ' ORDER BY r) FROM g WHERE r <= 80) AS prompt
-FROM g WHERE r <= 200""")
+       || title || chr(10) || 'Allowed ids: ' || ids AS prompt FROM allowed""")
 def prereq_requests(spark, sf_dir) -> DataFrame:
     return inference.prerequisite_requests(_nodes(spark, sf_dir), MODEL).select("id", "prompt")
 
@@ -206,14 +213,14 @@ LABELS = ["src1", "src2", "src3", "networking", "api"]
 WITH {NODES_SQL} SELECT id, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM m
 WHERE source NOT IN ('src1', 'src2', 'src3')""")
 def unlabelled(spark, sf_dir) -> DataFrame:
-    return inference.unlabelled(_nodes(spark, sf_dir), LABELS, None).select("id", "rank")
+    return inference.unlabelled(_nodes(spark, sf_dir), LABELS).select("id", "rank")
 
 
 @query("label_requests", f"""
 WITH {NODES_SQL}
 SELECT id, 'Assign 1 to 3 of the labels.' || chr(10) || 'Concept: ' || title || chr(10)
        || 'Labels: src1, src2, src3, networking, api' AS prompt
-FROM m WHERE source NOT IN ('src1', 'src2', 'src3') ORDER BY doc_id LIMIT 400""")
+FROM m WHERE source NOT IN ('src1', 'src2', 'src3')""")
 def label_requests(spark, sf_dir) -> DataFrame:
     return inference.label_requests(_nodes(spark, sf_dir), MODEL, LABELS).select("id", "prompt")
 
@@ -242,23 +249,38 @@ def answer_all(prompt: str) -> str | None:
     return json.dumps({"labels": ["api", "unknown"]})
 
 
-@query("model_passes", f"""
-WITH {NODES_SQL}, cand AS (SELECT id FROM ctx WHERE wants ORDER BY doc_id LIMIT 4000),
-lab AS (SELECT id FROM m ORDER BY doc_id LIMIT 400),
-g AS (SELECT id, row_number() OVER (ORDER BY doc_id) AS r FROM m WHERE type = 'glossary')
-SELECT 'node' AS item, id AS a,
-       CASE WHEN id IN (SELECT id FROM cand) THEN 'ai:stub' ELSE 'deterministic' END AS b,
-       source || CASE WHEN id IN (SELECT id FROM lab) THEN ',api' ELSE '' END AS c FROM m
-UNION ALL SELECT 'edge', (SELECT id FROM g WHERE r = 1), id, 'ai:stub' FROM g
-WHERE r BETWEEN 2 AND 200""")
+PASSES_SQL = f"""
+WITH {NODES_SQL}, {ALLOWED_SQL}
+SELECT 'node' AS item, id AS a, CASE WHEN wants THEN 'ai:stub' ELSE 'deterministic' END AS b,
+       source || ',api' AS c FROM ctx
+UNION ALL SELECT 'edge', first, id, 'ai:stub' FROM allowed"""
+
+
+@query("model_passes", PASSES_SQL)
 def model_passes(spark, sf_dir) -> DataFrame:
     """All registered passes on a graph, one after the other."""
+    return _passed(spark, sf_dir, inference.AnswerCache(spark))
+
+
+@query("model_passes_cached", PASSES_SQL)
+def model_passes_cached(spark, sf_dir) -> DataFrame:
+    """The passes again, with a model that refuses and the answers of the first run."""
+    cache = inference.AnswerCache(spark)
+    _passed(spark, sf_dir, cache)
+
+    def refuse(prompt: str) -> str | None:
+        raise ValueError("asked again")
+
+    return _passed(spark, sf_dir, inference.AnswerCache(spark, cache.rows), refuse)
+
+
+def _passed(spark, sf_dir, cache, answer=answer_all) -> DataFrame:
     rows = _candidates(spark, sf_dir)
     graph = Graph(
         nodes=as_facts(rows), edges=spark.createDataFrame([], s.EDGES),
         node_evidence=refine.node_evidence(rows),
         edge_evidence=spark.createDataFrame([], s.EDGE_EVIDENCE))
-    done = inference.model_passes(answer_all, MODEL).run(graph, enabled=True)
+    done = inference.model_passes(answer, MODEL, cache=cache).run(graph, enabled=True)
     nodes = done.nodes.select(F.lit("node").alias("item"), F.col("id").alias("a"),
                               F.col("derived_by").alias("b"), F.array_join("tags", ",").alias("c"))
     edges = done.edges.select(F.lit("edge").alias("item"), F.col("from_id").alias("a"),

@@ -10,6 +10,7 @@ from graphloom.harness.base import (
     ENTITY_EDGES_SQL, ENTITY_NODES_SQL, SEEN_SQL, WEB_NODES_SQL, Tables, as_facts, entity_edges,
     entity_nodes, query, text_id, web_nodes)
 from graphloom.operators import search
+from graphloom.operators.skew import substring_pairs
 from graphloom.seeds import QUESTION_STOP_WORDS
 
 BOTH_SQL = f"WITH {ENTITY_NODES_SQL}, {ENTITY_EDGES_SQL}"
@@ -140,6 +141,36 @@ def keyword_search(spark, sf_dir) -> DataFrame:
     return search.keyword_matches(web_nodes(Tables(spark, sf_dir)), _questions(spark, sf_dir))
 
 
+@query("keyword_fallback", """
+WITH first AS (SELECT 'part:' || p_partkey AS id, row_number() OVER (ORDER BY p_partkey)::INT AS rank
+               FROM part)
+SELECT n_nationkey AS question_id, id, rank FROM nation, first WHERE rank <= 15""")
+def keyword_fallback(spark, sf_dir) -> DataFrame:
+    """Questions that match nothing get the first glossary nodes."""
+    tables = Tables(spark, sf_dir)
+    questions = tables.nation.select(
+        F.col("n_nationkey").alias("question_id"),
+        F.concat(F.lit("zq0xj "), F.reverse("n_name"), F.lit("zq0xj")).alias("question"))
+    return search.keyword_matches(entity_nodes(tables), questions).select(
+        "question_id", "id", "rank")
+
+
+@query("keyword_documents", """
+WITH k AS (SELECT DISTINCT lower(p_type) AS word FROM part
+           UNION SELECT lower(n_name) FROM nation
+           UNION SELECT DISTINCT substr(lower(text), 1, 5) FROM benchmark)
+SELECT doc_id, word FROM documents JOIN k ON contains(lower(text), word)""")
+def keyword_documents(spark, sf_dir) -> DataFrame:
+    """Words in whole document texts."""
+    tables = Tables(spark, sf_dir)
+    words = tables.part.select(F.lower("p_type").alias("word")).union(
+        tables.nation.select(F.lower("n_name"))).union(
+        tables.benchmark.select(F.substring(F.lower("text"), 1, 5))).distinct()
+    texts = tables.spread("documents", "doc_id", "text").select(
+        "doc_id", F.lower("text").alias("_text"))
+    return substring_pairs(texts, "_text", words, "word").select("doc_id", "word")
+
+
 def _web_edges(tables):
     """Each page is followed by the next one; every page belongs to its section's first."""
     nodes = tables.pages

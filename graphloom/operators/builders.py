@@ -19,7 +19,6 @@ from graphloom.operators.skew import skewed_join, substring_pairs
 GLOSSARY_MARK = "reference/glossary"
 SPEC_SOURCE = "swagger.json"
 HTTP_METHODS = ["get", "post", "put", "delete", "patch"]
-MAX_FIELDS = 50
 
 
 def with_front_matter(docs: DataFrame) -> DataFrame:
@@ -225,7 +224,7 @@ def api_object_nodes(definitions: DataFrame, version: str = "unknown") -> DataFr
         summary=F.coalesce(F.get_json_object("definition", "$.description"), F.lit("")),
         version=F.lit(version), tags=F.array("api.group"),
         meta=s.meta(group=F.col("api.group"), api_version=F.col("api.version"),
-                    fields=F.slice("keys", 1, MAX_FIELDS), field_count=F.size("keys"),
+                    fields=F.col("keys"), field_count=F.size("keys"),
                     def_name=F.col("name")),
         prov=s.provenance(F.lit(SPEC_SOURCE), quote=F.col("name")),
         ord=s.ordinal(s.PHASE_API_OBJECT, s.sortable("def_ord")),

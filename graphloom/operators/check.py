@@ -26,7 +26,8 @@ def validate(nodes: DataFrame, edges: DataFrame, salts: int | None = None) -> Da
     missing = nodes.filter(F.col("id").isNull() | F.col("type").isNull())
     repeated = nodes.filter(F.col("id").isNotNull()).groupBy("id").agg(
         F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    in_range = F.col("confidence").between(0.0, 1.0)
+    # A missing confidence is not in range either.
+    in_range = F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False))
     parts = [
         flat(missing, "missing_id_or_type", F.coalesce("id", F.lit(""))),
         repeated.select(F.lit("duplicate_node").alias("rule"), F.col("id").alias("item"),

@@ -10,16 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import schema as s
 from graphloom.functions.render import grounded_context, render_card
 from graphloom.operators.refine import edge_evidence, merge_edges
 from graphloom.operators.select import with_evidence
-from graphloom.operators.skew import exact_rank, skewed_join
+from graphloom.operators.skew import exact_rank, skewed_join, top_per_group
 from graphloom.schema import Graph
 from graphloom.seeds import CLUSTER_LABELS
+from graphloom.session import stage
 
 # The layout of an answer and the weight of model-made facts.
 CARD = ("STRUCT<id: STRING, overview: STRING, why_it_matters: STRING, "
@@ -31,7 +32,6 @@ PREREQUISITE_CONFIDENCE = 0.7
 LONG_BODY = 600
 SHORT_SUMMARY = 40
 SUMMARY_LENGTH = 200
-SMALL_RANK = 10_000
 
 
 def wants_card(types: Sequence[str] = CARD_TYPES) -> Column:
@@ -41,13 +41,13 @@ def wants_card(types: Sequence[str] = CARD_TYPES) -> Column:
 
 
 def first_ranked(df: DataFrame, n: int | None) -> DataFrame:
-    """The first ``n`` rows by ordinal (all for None) with a 0-based ``rank``."""
-    if n is not None and n <= SMALL_RANK:
-        chosen = df.orderBy("ord", "id").limit(n)
-        numbered = F.row_number().over(Window.orderBy("ord", "id"))
-        return chosen.withColumn("rank", (numbered - 1).cast("bigint"))
-    ranked = exact_rank(df, [], ["ord", "id"]).withColumn("rank", F.col("rank") - 1)
-    return ranked if n is None else ranked.filter(F.col("rank") < n)
+    """The first ``n`` rows by ordinal (all for None) with a 0-based ``rank``.
+
+    Ids are ranked alone and then joined, so texts are not sorted. Ids are unique.
+    """
+    ranked = exact_rank(df.select("id", "ord"), [], ["ord", "id"]).select(
+        "id", (F.col("rank") - 1).alias("rank"))
+    return df.join(ranked if n is None else ranked.filter(F.col("rank") < n), "id")
 
 
 def cache_key(model: str, kind: str, prompt: Column) -> Column:
@@ -56,16 +56,18 @@ def cache_key(model: str, kind: str, prompt: Column) -> Column:
 
 
 def synthesis_batches(nodes: DataFrame, model: str, batch_size: int = 10,
-                      max_nodes: int | None = 4000) -> DataFrame:
+                      max_nodes: int | None = None, quotes: int = 3, quote_chars: int = 300,
+                      body_chars: int = 1500) -> DataFrame:
     """(batch, size, prompt, cache_key): card requests for the nodes that want one.
 
     ``nodes`` carries ``provenance`` (see :func:`select.with_evidence`). Batches
-    hold ``batch_size`` nodes in node order.
+    hold ``batch_size`` nodes in node order; the other numbers bound a prompt.
     """
     candidates = nodes.filter(wants_card()).select(
         "id", "ord", F.concat(
             F.lit("id="), F.col("id"), F.lit("\nConcept: "), F.col("title"), F.lit("\n"),
-            grounded_context(F.col("title"), F.col("body"), F.col("provenance"))).alias("item"))
+            grounded_context(F.col("title"), F.col("body"), F.col("provenance"), quotes, quote_chars,
+                             body_chars)).alias("item"))
     ranked = first_ranked(candidates, max_nodes)
     batches = ranked.groupBy(F.floor(F.col("rank") / batch_size).alias("batch")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("items"))
@@ -169,24 +171,34 @@ def apply_cards(nodes: DataFrame, cards: DataFrame, model: str) -> DataFrame:
     ])
 
 
-def prerequisite_requests(nodes: DataFrame, model: str, max_nodes: int = 200,
+def prerequisite_requests(nodes: DataFrame, model: str, max_nodes: int | None = None,
                           allowed: int = 80) -> DataFrame:
-    """(id, prompt, cache_key) for the first glossary terms.
+    """(id, prompt, cache_key) for the glossary terms that have possible prerequisites.
 
-    The prompt lists the first ``allowed`` term ids.
+    What may come before a term are the ``allowed`` terms that precede it most closely
+    among those with one of its tags; that bounds the prompt. Terms are ranked within
+    their tags over range-partitioned pieces and joined on (tag, rank), so a tag that
+    most terms have yields ``allowed`` rows per term and no list of all its terms.
     """
-    terms = nodes.filter(F.col("type") == "glossary").select("id", "title", "ord")
-    first = first_ranked(terms, max_nodes)
-    listed = first_ranked(terms, allowed).agg(
-        F.array_sort(F.collect_list(F.struct("rank", F.substring_index("id", ":", -1).alias("t"))))
-        .alias("ids"))
-    ids = F.array_join(F.transform("ids", lambda i: i["t"]), ", ")
-    named = first.withColumn("_one", F.lit(1)).join(
-        F.broadcast(listed.select(ids.alias("ids"), F.lit(1).alias("_one"))), "_one")
+    terms = nodes.filter(F.col("type") == "glossary").select("id", "title", "ord", "tags")
+    if max_nodes is not None:
+        terms = first_ranked(terms, max_nodes).drop("rank")
+    tagged = terms.select("id", "ord", F.explode(F.array_distinct("tags")).alias("tag"))
+    ranked = exact_rank(tagged, ["tag"], ["ord", "id"])
+    back = F.explode(F.sequence(F.lit(1), F.lit(allowed)))
+    wanted = ranked.select("id", "tag", "rank", back.alias("_back")).select(
+        "id", "tag", (F.col("rank") - F.col("_back")).alias("rank")).filter(F.col("rank") > 0)
+    earlier = ranked.select("tag", "rank", F.col("ord").alias("_ord"), F.col("id").alias("_term"))
+    near = wanted.join(earlier, ["tag", "rank"]).select("id", "_ord", "_term").distinct()
+    near = top_per_group(near, ["id"], [F.desc("_ord"), F.desc("_term")], allowed)
+    short = F.substring_index("_term", ":", -1)
+    listed = near.groupBy("id").agg(F.array_sort(F.collect_list(
+        F.struct("_ord", "_term", short.alias("t")))).alias("terms"))  # ``allowed`` at most
+    ids = F.array_join(F.transform("terms", lambda i: i["t"]), ", ")
     prompt = F.concat(
         F.lit("Which terms must be understood before this one? At most 3.\nConcept: "),
-        F.col("title"), F.lit("\nAllowed ids: "), F.col("ids"))
-    return named.select("id", prompt.alias("prompt")).withColumn(
+        F.col("title"), F.lit("\nAllowed ids: "), ids)
+    return terms.join(listed, "id").select("id", prompt.alias("prompt")).withColumn(
         "cache_key", cache_key(model, "prerequisites", F.col("prompt")))
 
 
@@ -213,14 +225,14 @@ def prerequisite_suggestions(answers: DataFrame, nodes: DataFrame, model: str,
 
 
 def unlabelled(nodes: DataFrame, labels: Sequence[str] = CLUSTER_LABELS,
-               max_nodes: int | None = 400) -> DataFrame:
-    """The first nodes that carry none of the topical labels."""
+               max_nodes: int | None = None) -> DataFrame:
+    """The first nodes (all for None) that carry none of the topical labels."""
     known = F.array(*[F.lit(x) for x in labels])
     return first_ranked(nodes.filter(~F.arrays_overlap("tags", known)), max_nodes)
 
 
 def label_requests(nodes: DataFrame, model: str, labels: Sequence[str] = CLUSTER_LABELS,
-                   max_nodes: int | None = 400) -> DataFrame:
+                   max_nodes: int | None = None) -> DataFrame:
     """(id, prompt, cache_key) for the nodes that have no topical label yet."""
     prompt = F.concat(F.lit("Assign 1 to 3 of the labels.\nConcept: "), F.col("title"),
                       F.lit("\nLabels: " + ", ".join(labels)))
@@ -270,37 +282,65 @@ class PassRegistry:
         return graph
 
 
-def _answers(requests: DataFrame, answer: Callable[[str], str | None],
-             layout: str) -> DataFrame:
-    asked = run_batch_inference(requests, answer)
+class AnswerCache:
+    """Answers by ``cache_key``, each asked for once.
+
+    ``rows`` (cache_key, response) may come from an earlier run and can be stored for the
+    next one. Answers are staged as soon as they are given: whatever is read from them
+    later, and however often, the model is not called again.
+    """
+
+    def __init__(self, spark: SparkSession, rows: DataFrame | None = None) -> None:
+        self.rows = spark.createDataFrame([], "cache_key string, response string") \
+            if rows is None else rows.select("cache_key", "response")
+
+    def answers(self, requests: DataFrame, answer: Callable[[str], str | None]) -> DataFrame:
+        """(cache_key, response) of all requests that have an answer."""
+        distinct = requests.select("cache_key", "prompt").dropDuplicates(["cache_key"])
+        fresh = distinct.join(self.rows.select("cache_key"), "cache_key", "left_anti")
+        asked = stage(run_batch_inference(fresh, answer), "answers")
+        # Without an answer the prompt is asked again next time.
+        self.rows = self.rows.unionByName(asked.filter(F.col("response").isNotNull()))
+        return requests.select("cache_key").distinct().join(self.rows, "cache_key")
+
+
+def _answers(requests: DataFrame, responses: DataFrame, layout: str) -> DataFrame:
     parsed = F.from_json(_json_part(F.col("response")), layout)
     return requests.select("id", "cache_key").join(
-        asked.select("cache_key", parsed.alias("a")).dropDuplicates(["cache_key"]),
-        "cache_key").select("id", "a.*")
+        responses.select("cache_key", parsed.alias("a")), "cache_key").select("id", "a.*")
+
 
+def model_passes(answer: Callable[[str], str | None], model: str, batch_size: int = 6,
+                 cache: AnswerCache | None = None, max_nodes: int | None = None,
+                 allowed: int = 80) -> PassRegistry:
+    """The three model passes around one text-completion function.
+
+    All wanting nodes are asked for unless ``max_nodes`` is given. With a ``cache`` only
+    what it lacks is asked.
+    """
+    def given(graph: Graph, requests: DataFrame) -> DataFrame:
+        nonlocal cache
+        cache = cache or AnswerCache(graph.nodes.sparkSession)
+        return cache.answers(requests, answer)
 
-def model_passes(answer: Callable[[str], str | None], model: str,
-                 batch_size: int = 6) -> PassRegistry:
-    """The three model passes around one text-completion function."""
     def synthesis(graph: Graph) -> Graph:
         nodes = with_evidence(graph.nodes, graph.node_evidence, 3)
-        batches = synthesis_batches(nodes, model, batch_size)
-        asked = run_batch_inference(batches, answer)
-        cards = parse_cards(asked).join(batches.select("cache_key", "batch"), "cache_key")
+        batches = stage(synthesis_batches(nodes, model, batch_size, max_nodes), "requests")
+        cards = parse_cards(given(graph, batches)).join(
+            batches.select("cache_key", "batch"), "cache_key")
         return graph.with_(nodes=apply_cards(graph.nodes, card_rows(cards), model))
 
     def prerequisites(graph: Graph) -> Graph:
-        requests = prerequisite_requests(graph.nodes, model)
-        answers = _answers(requests, answer, "STRUCT<prerequisites: ARRAY<STRING>>")
+        requests = stage(prerequisite_requests(graph.nodes, model, max_nodes, allowed), "requests")
+        answers = _answers(requests, given(graph, requests), "STRUCT<prerequisites: ARRAY<STRING>>")
         found = prerequisite_suggestions(answers, graph.nodes, model)
-        merged = merge_edges(graph.edges.unionByName(
-            found.withColumn("n_prov", F.lit(1).cast("bigint")).drop("prov")))
+        merged = merge_edges(graph.edges.unionByName(s.as_facts(found), allowMissingColumns=True))
         return graph.with_(
             edges=merged, edge_evidence=graph.edge_evidence.unionByName(edge_evidence(found)))
 
     def clusters(graph: Graph) -> Graph:
-        requests = label_requests(graph.nodes, model)
-        answers = _answers(requests, answer, "STRUCT<labels: ARRAY<STRING>>")
+        requests = stage(label_requests(graph.nodes, model, max_nodes=max_nodes), "requests")
+        answers = _answers(requests, given(graph, requests), "STRUCT<labels: ARRAY<STRING>>")
         return graph.with_(nodes=apply_labels(graph.nodes, answers))
 
     return PassRegistry(

@@ -31,7 +31,7 @@ def table_hash(df: DataFrame, digest: Column) -> DataFrame:
 
 def _fact_hash(df: DataFrame) -> DataFrame:
     # The ordinal is a position in the input, not content; merge counts are derived.
-    columns = sorted(c for c in df.columns if c not in ("ord", "duplicates"))
+    columns = sorted(c for c in df.columns if c not in ("ord", "best_ord", "duplicates"))
     return table_hash(df, row_hash(*columns))
 
 

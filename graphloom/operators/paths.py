@@ -82,12 +82,13 @@ def learning_levels(edges: DataFrame, edge_types: Sequence[str] = ("prerequisite
 
 
 def shortest_paths_from(edges: DataFrame, start: str, edge_types: Sequence[str] | None = None,
-                        max_hops: int = 10, directed: bool = False,
+                        max_hops: int | None = None, directed: bool = False,
                         until: str | None = None) -> DataFrame:
     """(id, hops, path): a shortest path from ``start`` to every node in reach.
 
     Among equally short paths the smallest one is kept, so every node has one
-    path. ``until`` ends the search once that node is reached.
+    path. ``until`` ends the search once that node is reached, ``max_hops`` after that
+    many hops; without either it ends where nothing new is in reach.
     """
     used = edges if edge_types is None else edges.filter(F.col("type").isin(list(edge_types)))
     steps = used.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
@@ -100,7 +101,9 @@ def shortest_paths_from(edges: DataFrame, start: str, edge_types: Sequence[str]
         F.lit(start).alias("id"), F.lit(0).alias("hops"),
         F.array(F.lit(start)).alias("path"))
     found = [frontier]
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         reached = frontier.join(steps, frontier["id"] == steps["src"]).groupBy("dst").agg(
             F.min("path").alias("path"))
         seen = _union([f.select("id") for f in found])
@@ -117,7 +120,7 @@ def shortest_paths_from(edges: DataFrame, start: str, edge_types: Sequence[str]
 
 
 def path_between(edges: DataFrame, start: str, end: str,
-                 edge_types: Sequence[str] | None = None, max_hops: int = 10,
+                 edge_types: Sequence[str] | None = None, max_hops: int | None = None,
                  directed: bool = False) -> DataFrame:
     """(id, hops, path) with the path from ``start`` to ``end``; empty if none."""
     reached = shortest_paths_from(edges, start, edge_types, max_hops, directed, until=end)

@@ -27,22 +27,25 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     """One row per (from_id, type, to_id).
 
     Label and weight come from the first edge, confidence is the maximum, and
-    ``derived_by`` belongs to the first edge that reached it. Works on candidates
-    and on merged edges alike; merging twice changes nothing. When two merged
-    parts tie on confidence, the part that starts first gives ``derived_by``.
+    ``derived_by`` belongs to the first edge that reached it. Works on candidates and
+    on merged edges alike: ``best_ord`` keeps the place of the best edge, so parts may
+    be merged in any order and grouping.
     """
     o = F.col("ord")
-    best = F.struct(-F.col("confidence"), o)
+    at = F.coalesce("best_ord", "ord") if "best_ord" in edges.columns else o
+    best = F.struct((-F.col("confidence")).alias("c"), at.alias("at"))
     merged = edges.groupBy(*s.EDGE_KEY).agg(
         F.min_by(F.struct("label", "weight"), o).alias("first"),
         F.max("confidence").alias("confidence"),
-        F.min_by("derived_by", best).alias("derived_by"),
+        F.min_by(F.struct("derived_by", at.alias("at")), best).alias("best"),
         _n_prov(edges).alias("n_prov"),
         F.min(o).alias("ord"),
     )
     return merged.select(
         "from_id", "to_id", "type", F.col("first.label").alias("label"),
-        F.col("first.weight").alias("weight"), "confidence", "derived_by", "n_prov", "ord",
+        F.col("first.weight").alias("weight"), "confidence",
+        F.col("best.derived_by").alias("derived_by"), "n_prov", "ord",
+        F.col("best.at").alias("best_ord"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.select import (
@@ -102,29 +102,48 @@ def question_keywords(question: Column, stop_words: Sequence[str] = QUESTION_STO
     return F.when(F.size(clean) > 0, clean).otherwise(F.array(F.lit(fallback)))
 
 
-def keyword_matches(nodes: DataFrame, questions: DataFrame, k: int = 15) -> DataFrame:
+def keyword_matches(nodes: DataFrame, questions: DataFrame, k: int = 15,
+                    fallback_type: str | None = "glossary") -> DataFrame:
     """The first ``k`` nodes, by type and title, that contain a question's keyword.
 
-    ``questions`` has (question_id, question). The distinct keywords are matched
-    once for all questions.
+    ``questions`` has (question_id, question). The distinct keywords are matched once for
+    all questions. A question that matches nothing gets the first nodes, by ordinal, of
+    ``fallback_type``.
     """
     asked = questions.select(
         "question_id", F.explode(question_keywords(F.col("question"))).alias("keyword"))
-    texts = nodes.select("id", "type", "title", "section", F.lower(
+    shown = ["id", "type", "title", "section"]
+    order = [F.asc("type"), F.asc("title"), F.asc("id")]
+    texts = nodes.select(*shown, F.lower(
         F.concat_ws("\n", "title", F.coalesce("summary", F.lit("")))).alias("_text"))
     words = asked.select("keyword").distinct()
-    empty = words.filter(F.col("keyword") == "")
     pairs = substring_pairs(texts, "_text", words, "keyword").drop("_text")
-    # An empty keyword ("...") matches everything, as LIKE '%%' does.
-    everything = texts.drop("_text").withColumn("keyword", F.lit("")).join(
-        empty, "keyword", "left_semi")
-    order = [F.asc("type"), F.asc("title"), F.asc("id")]
     # The first k of a question are among the first k of its keywords, so a word
     # that every node contains brings k rows to the questions that ask for it.
-    best = top_per_group(pairs.unionByName(everything), ["keyword"], order, k).drop("rank")
-    hits = asked.join(best, "keyword").select(
-        "question_id", "id", "type", "title", "section").distinct()
-    return top_per_group(hits, ["question_id"], order, k)
+    best = top_per_group(pairs, ["keyword"], order, k).drop("rank")
+    hits = asked.join(best, "keyword").select("question_id", *shown)
+    # An empty keyword ("...") matches everything, as LIKE '%%' does.
+    whole = asked.filter(F.col("keyword") == "").select("question_id")
+    hits = hits.unionByName(_with_first(whole, nodes.select(*shown), order, k)).distinct()
+    ranked = top_per_group(hits, ["question_id"], order, k)
+    if fallback_type is None:
+        return ranked
+    unmet = questions.select("question_id").join(hits, "question_id", "left_anti")
+    place = [c for c in ("ord",) if c in nodes.columns]
+    first = nodes.filter(F.col("type") == fallback_type).select(*shown, *place)
+    listed = _with_first(unmet, first, [F.asc(c) for c in (*place, "id")], k)
+    return ranked.unionByName(listed.select(
+        "question_id", *shown, F.row_number().over(
+            Window.partitionBy("question_id").orderBy(*place, "id")).alias("rank")))
+
+
+def _with_first(questions: DataFrame, nodes: DataFrame, order: Sequence[Column],
+                k: int) -> DataFrame:
+    """Every question with the same first ``k`` nodes: one short array, no join."""
+    first = nodes.orderBy(*order).limit(k).agg(
+        F.collect_list(F.struct(*nodes.columns)).alias("all")).scalar()
+    return questions.select("question_id", F.explode(first).alias("_n")).select(
+        "question_id", "_n.*")
 
 
 def keyword_walk(nodes: DataFrame, edges: DataFrame, questions: DataFrame, hits: int = 15,

@@ -167,28 +167,33 @@ def previous_in_order(df: DataFrame, keys: Sequence[str], order: Column, bucket:
 
 
 def substring_pairs(texts: DataFrame, text: str, patterns: DataFrame, pattern: str,
-                    longest: int = 64) -> DataFrame:
+                    few: int = 1_000, gram: int = 4) -> DataFrame:
     """All (text row, pattern row) pairs where the pattern occurs in the text.
 
-    Instead of testing every text against every pattern, texts are split into
-    their distinct substrings of the lengths that patterns have, and equi-joined
-    to the patterns. A joined row is a true match, so a prefix that many patterns
-    share costs nothing. Patterns over ``longest`` characters are joined on that
-    much of their start and then verified. Meant for short texts such as titles.
+    Up to ``few`` patterns (counted first, of 256 characters on average at most) go to
+    every task as one array, and each text is tested in place: linear in the text, no
+    shuffle. More patterns are joined: a text sends its distinct grams of ``gram``
+    characters, a pattern its first one, and what meets is verified. Patterns shorter
+    than that are joined on themselves.
     """
     t, p = F.col(text), F.col(pattern)
     filled = patterns.filter(F.length(p) > 0)
-    # At most ``longest`` numbers come to the driver.
-    sizes = filled.select(F.least(F.length(p), F.lit(longest)).alias("n")).distinct().collect()
-    lengths = sorted(r["n"] for r in sizes) or [1]
-
-    def pieces(n: int) -> Column:
+    size = F.least(F.length(p), F.lit(gram))
+    known = filled.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(p)).alias("chars"),
+                       F.collect_set(size).alias("sizes")).first()
+    if known["n"] <= few and (known["chars"] or 0) <= 256 * few:
+        listed = filled.agg(F.collect_list(F.struct(*patterns.columns)).alias("all")).scalar()
+        inside = F.filter("_all", lambda x: F.contains(t, x[pattern]))
+        return texts.withColumn("_all", listed).select(
+            *texts.columns, F.explode(inside).alias("_pattern")).select(
+            *texts.columns, "_pattern.*")
+
+    def grams(n: int) -> Column:
         last = F.length(t) - n + 1
         starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
 
-    parts = F.array_distinct(F.concat(*[pieces(n) for n in lengths]))
-    split = spread(texts).withColumn("_part", F.explode(parts))
-    keyed = filled.withColumn("_part", F.substring(p, 1, longest))
-    pairs = split.join(small(keyed), "_part").drop("_part")
-    return pairs.filter(F.contains(t, p)) if lengths[-1] == longest else pairs
+    parts = F.array_distinct(F.concat(*[grams(n) for n in sorted(known["sizes"])]))
+    split = texts.withColumn("_part", F.explode(parts))
+    keyed = filled.withColumn("_part", F.substring(p, 1, gram))
+    return split.join(keyed, "_part").drop("_part").filter(F.contains(t, p))

@@ -115,11 +115,13 @@ _EDGE_FACTS = [
 _PROV = T.StructField("prov", PROVENANCE)
 _ORD = T.StructField("ord", ORDINAL)
 _N_PROV = T.StructField("n_prov", T.LongType())
+#: The ordinal of the edge that gave the confidence; it makes merging associative.
+_BEST_ORD = T.StructField("best_ord", ORDINAL)
 
 NODE_CANDIDATES = T.StructType([*_NODE_FACTS, _PROV, _ORD])
 EDGE_CANDIDATES = T.StructType([*_EDGE_FACTS, _PROV, _ORD])
 NODES = T.StructType([*_NODE_FACTS, _N_PROV, _ORD])
-EDGES = T.StructType([*_EDGE_FACTS, _N_PROV, _ORD])
+EDGES = T.StructType([*_EDGE_FACTS, _N_PROV, _ORD, _BEST_ORD])
 NODE_EVIDENCE = T.StructType([T.StructField("id", T.StringType()), _ORD, *PROVENANCE.fields])
 EDGE_EVIDENCE = T.StructType([
     T.StructField("from_id", T.StringType()),
@@ -221,3 +223,11 @@ def node_candidates(df: DataFrame, **values: Column) -> DataFrame:
 def edge_candidates(df: DataFrame, **values: Column) -> DataFrame:
     """Project ``df`` onto the edge candidate layout, filling the defaults."""
     return _fill(df, EDGE_CANDIDATES, _EDGE_DEFAULTS, values)
+
+
+def as_facts(candidates: DataFrame) -> DataFrame:
+    """Candidates that are unique by construction, in the fact layout."""
+    facts = candidates.withColumn(
+        "n_prov", F.when(F.col("prov.source").isNotNull(), 1).otherwise(0).cast("bigint")
+    ).drop("prov")
+    return facts.withColumn("best_ord", F.col("ord")) if "from_id" in facts.columns else facts

@@ -89,16 +89,18 @@ def text_blocks(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def text_dumps(nodes: DataFrame, evidence: DataFrame, types: Sequence[str] = DUMP_TYPES,
-               sample_type: str = "concept", sample: int = 400,
+               sample_type: str = "concept", sample: int | None = None,
                corpus: str = "Kubernetes") -> DataFrame:
     """(type, ord, id, line): per type a header and the blocks of its nodes.
 
-    ``sample_type`` is represented by its first ``sample`` nodes; its header says
-    how many there are in all.
+    With ``sample`` given, ``sample_type`` is represented by its first nodes only and
+    its header says how many there are in all.
     """
     wanted = nodes.filter(F.col("type").isin([*types, sample_type]))
     full = wanted.filter(F.col("type") != sample_type)
-    some = sample_per_type(wanted.filter(F.col("type") == sample_type), sample).drop("rank")
+    some = wanted.filter(F.col("type") == sample_type)
+    if sample is not None:
+        some = sample_per_type(some, sample).drop("rank")
     # At most one row per listed type, hence small enough to broadcast.
     sizes = wanted.groupBy("type").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "id")).alias("first"))
@@ -107,11 +109,11 @@ def text_dumps(nodes: DataFrame, evidence: DataFrame, types: Sequence[str] = DUM
     rule = F.when(F.struct("ord", "id") == F.col("first"), F.col("block")).otherwise(
         F.concat(F.lit("\n---\n\n"), F.col("block")))
     body = marked.select("type", F.lit(1).alias("part"), "ord", "id", rule.alias("line"))
-    head = F.concat(F.lit(f"# {corpus} knowledge — "), F.when(
-        F.col("type") == sample_type,
-        F.concat(F.lit("concept headings (sample of "), F.least("n", F.lit(sample)), F.lit("/"),
-                 F.col("n"), F.lit(")\n")),
-    ).otherwise(F.concat("type", F.lit(" ("), F.col("n"), F.lit(" entries)\n"))))
+    shown = F.col("n") if sample is None else F.least("n", F.lit(sample))
+    title = F.when(F.col("type") == sample_type, F.concat(
+        F.lit("concept headings (sample of "), shown, F.lit("/"), F.col("n"), F.lit(")\n"),
+    )).otherwise(F.concat("type", F.lit(" ("), F.col("n"), F.lit(" entries)\n")))
+    head = F.concat(F.lit(f"# {corpus} knowledge — "), title)
     heads = sizes.select("type", F.lit(0).alias("part"), F.col("first.ord").alias("ord"),
                          F.col("first.id").alias("id"), head.alias("line"))
     return heads.unionByName(body)

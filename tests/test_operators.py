@@ -57,6 +57,8 @@ def test_paths(spark):
     assert (there["hops"], there["path"]) == (3, ["e", "d", "b", "a"])
     assert paths.path_between(edges, "e", "a", directed=True).isEmpty()
     assert paths.path_between(edges, "a", "e", max_hops=2).isEmpty()
+    line = edges_of(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(12)])
+    assert paths.path_between(line, "n00", "n12").first()["hops"] == 12
 
 
 def test_pruning(spark):
@@ -111,6 +113,13 @@ def test_rules_on_titles(spark):
     assert tagged.first()["tags"] == ["security", "networking"]
 
 
+def test_all_fields_of_a_definition_are_kept(spark):
+    spec = json.dumps({"properties": {f"f{i:02}": {} for i in range(60)}})
+    rows = spark.createDataFrame([(0, "io.k8s.Big", spec)], "def_ord INT, name STRING, definition STRING")
+    meta = builders.api_object_nodes(rows).first()["meta"]
+    assert len(meta["fields"]) == meta["field_count"] == 60
+
+
 def test_degrees_of_self_loop(spark):
     row = stats.degree_counts(edges_of(spark, [("a", "a")])).first()
     assert (row["prerequisites"], row["unlocks"]) == (1, 1)
@@ -147,6 +156,30 @@ def test_synthesis_skips_long_bodies(spark):
     assert (len(row["body"]), row["derived_by"]) == (900, "deterministic")
 
 
+def test_every_prompt_is_asked_once(spark, tmp_path):
+    """However often the graph is read, and not at all with the answers of an earlier run."""
+    log = str(tmp_path / "calls")
+
+    def model(prompt):
+        with open(log, "a") as out:
+            out.write(repr(prompt) + "\n")
+        return answer(prompt)
+
+    def calls():
+        with open(log) as lines:
+            return list(lines)
+
+    cache = inference.AnswerCache(spark)
+    done = inference.model_passes(model, "m", cache=cache).run(one_node_graph(spark), True)
+    for _ in range(2):
+        done.nodes.collect()
+        done.edges.collect()
+    assert len(calls()) == len(set(calls())) == 2  # a card and a label; nothing precedes the term
+    known = inference.AnswerCache(spark, cache.rows)
+    again = inference.model_passes(model, "m", cache=known).run(one_node_graph(spark), True)
+    assert again.nodes.first()["derived_by"] == "ai:m" and len(calls()) == 2
+
+
 def test_bad_answers_change_nothing(spark):
     for bad in (lambda p: None, lambda p: "{", lambda p: '{"cards": [{"id": ""}]}', lambda p: 1 / 0):
         done = inference.model_passes(bad, "m").run(one_node_graph(spark), True)

@@ -78,9 +78,9 @@ def test_substring_pairs_against_brute_force(spark):
     left = spark.createDataFrame(texts, "i INT, t STRING")
     right = spark.createDataFrame([(p,) for p in patterns], "p STRING")
     want = {(i, p) for i, t in texts for p in patterns if p in t}
-    for longest in (4, 64):
+    for how in ((1_000,), (5, 4), (5, 2)):
         got = [(r["i"], r["p"]) for r in
-               skew.substring_pairs(left, "t", right, "p", longest).collect()]
+               skew.substring_pairs(left, "t", right, "p", *how).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -135,6 +135,14 @@ def test_merge_against_a_sequential_merge(spark):
         for r in refine.merge_edges(df).collect()}
     assert got == want
     assert refine.edge_evidence(df).count() == sum(e[4] for e in want.values())
+    # Merging is associative: three random parts, merged one by one, come to the same.
+    part = F.pmod(F.xxhash64("label"), F.lit(3))
+    merged = [refine.merge_edges(df.filter(part == i)) for i in range(3)]
+    twice = refine.merge_edges(refine.merge_edges(merged[2].unionByName(merged[0])).unionByName(
+        merged[1]))
+    assert {(r["from_id"], r["to_id"], r["type"]): [
+        r["label"], r["weight"], r["confidence"], r["derived_by"], r["n_prov"]]
+        for r in twice.collect()} == want
 
 
 def test_related_topk_of_a_hub(spark):

@@ -160,5 +160,5 @@ def test_grounding_falls_back(spark):
         FROM VALUES ('', 'Q'), ('B', ''), ('', '') AS v(b, q)""")
     got = [r["v"] for r in row.select(
         grounded_context(F.col("t"), F.col("b"), F.col("p")).alias("v")).collect()]
-    assert got[0].endswith('\n- "Q"  (source: s)')
-    assert got[1:] == ["Extracted body:\nB", "Title: T"]
+    assert got[0].endswith('\n- "Q" - from s')
+    assert got[1:] == ["Text to rely on:\nB", "Only the title is known: T"]
