@@ -257,13 +257,13 @@ terms AS (
 
 
 def web_nodes(tables: Tables) -> DataFrame:
-    """Pages as nodes: title, first heading as summary, URL section."""
+    """Pages as nodes: title, first heading as summary, the whole page as body, URL section."""
     title = F.regexp_extract("html", PAGE_TITLE, 1)
     section = F.regexp_extract("url", URL_SECTION, 1)
     return as_facts(s.node_candidates(
         tables.pages,
         id=F.concat(F.lit("page:"), padded("page_id")), type=F.lit("page"), title=title,
-        summary=F.regexp_extract("html", PAGE_HEADING, 1), section=section,
+        summary=F.regexp_extract("html", PAGE_HEADING, 1), body=F.col("html"), section=section,
         tags=F.array(section), url=F.col("url"),
         prov=s.provenance(F.lit("pages"), F.col("url"), quote=title),
         ord=s.ordinal(s.PHASE_PAGE, padded("page_id"))))
@@ -273,7 +273,7 @@ WEB_NODES_SQL = """
 w AS (
   SELECT 'page:' || lpad(page_id::VARCHAR, 19, '0') AS id, 'page' AS type,
          regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-         regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS summary,
+         regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS summary, html AS body,
          regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS section, url, page_id
   FROM pages
 )"""

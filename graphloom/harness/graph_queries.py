@@ -460,7 +460,7 @@ def flow_listing(spark, sf_dir) -> DataFrame:
 @query("jsonl", f"""
 WITH {WEB_NODES_SQL}
 SELECT id, to_json({{'id': id, 'type': type, 'title': title, 'summary': summary,
-       'tags': [section], 'body': '', 'derived_by': 'deterministic',
+       'tags': [section], 'body': body, 'derived_by': 'deterministic',
        'confidence': 1.0::DOUBLE}})::VARCHAR AS line FROM w""")
 def jsonl(spark, sf_dir) -> DataFrame:
     return exports.jsonl_lines(web_nodes(Tables(spark, sf_dir))).select("id", "line")
@@ -477,6 +477,7 @@ def search_index(spark, sf_dir) -> DataFrame:
 WITH {WEB_NODES_SQL}
 SELECT id, '# ' || title || '  [page]' || chr(10) || 'tags: ' || section
        || CASE WHEN summary <> '' THEN chr(10) || chr(10) || summary ELSE '' END
+       || CASE WHEN body <> '' THEN chr(10) || chr(10) || body ELSE '' END
        || chr(10) || chr(10) || 'sources: pages (' || url || ')' AS block FROM w""")
 def text_blocks(spark, sf_dir) -> DataFrame:
     tables = Tables(spark, sf_dir)

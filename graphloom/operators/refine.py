@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom import schema as s
 from graphloom.functions import text as t
 from graphloom.operators.skew import skewed_join
+from graphloom.session import stage
 
 
 def _n_prov(df: DataFrame) -> Column:
@@ -75,8 +76,12 @@ def dedupe_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def drop_dangling_edges(edges: DataFrame, nodes: DataFrame, salts: int | None = None) -> DataFrame:
-    """Edges whose both ends exist. ``nodes`` must be unique by id."""
-    ids = nodes.select("id")
+    """Edges whose both ends exist. ``nodes`` must be unique by id.
+
+    Both sides are written once: the joins would otherwise be pushed into every branch
+    of a union of edges, and repeat the lineage of the nodes in each of them.
+    """
+    ids, edges = stage(nodes.select("id"), "ids"), stage(edges, "edges")
     for end in ("from_id", "to_id"):
         edges = skewed_join(edges, ids.withColumnRenamed("id", end), end, "left_semi",
                             salts, s.EDGE_KEY)

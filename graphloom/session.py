@@ -25,6 +25,9 @@ RUNTIME_OPTIONS = {
 }
 
 
+_STAGED: list[str] = []
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_OPTIONS.items():
         spark.conf.set(key, value)
@@ -69,4 +72,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete what was staged after the first ``since`` tables; returns how many remain.
+
+    For callers that have written their results: frames read from the deleted tables are
+    of no use any more.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_STAGED) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return len(_STAGED)
+
+
+def staged() -> int:
+    """How many staged tables there are now, to give to :func:`release` later."""
+    return len(_STAGED)

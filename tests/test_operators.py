@@ -1,6 +1,7 @@
 """Walks, checks, pruning, slugs and the model layer on hand-made graphs."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from graphloom import schema as s
 from graphloom.harness.base import as_facts
 from graphloom.operators import builders, check, inference, paths, refine, rules, select, stats
 from graphloom.schema import Graph
-from graphloom.session import checkpoint_dir
+from graphloom.session import checkpoint_dir, release, stage, staged
 
 
 def nodes_of(spark, rows):
@@ -231,6 +232,22 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_dir(spark) in spark.sparkContext.getCheckpointDir()
 
 
+def test_staged_tables_can_be_released(spark):
+    before = staged()
+    df = stage(spark.range(3), "x")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 3 and staged() == before + 1
+    assert release(spark, before) == before and not os.path.exists(path)
+
+
+def test_dangling_edges_are_dropped_in_one_scan_of_each_side(spark):
+    rows = nodes_of(spark, [(i, "page", i, "", [], None) for i in "ab"])
+    edges = edges_of(spark, [("a", "b")]).unionByName(edges_of(spark, [("a", "x")], "owns"))
+    kept = refine.drop_dangling_edges(edges, as_facts(rows))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.count() == 1 and plan.count("parquet") <= 3
+
+
 def test_unknown_columns_are_refused(spark):
     with pytest.raises(ValueError):
         s.edge_candidates(spark.range(1), from_to=F.lit("x"))
