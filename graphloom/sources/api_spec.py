@@ -6,7 +6,7 @@ nested JSON as text, so the first-wins rules downstream see the original order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
@@ -31,16 +31,30 @@ def read_api_spec(spark: SparkSession, path: str | None) -> DataFrame:
     ).select("spec_file", "s.definitions", "s.paths")
 
 
+#: Ordinals of the next file begin that much higher.
+FILE_STRIDE = 1 << 40
+
+
+def _placed(spec: DataFrame) -> DataFrame:
+    """Spec files, which are few, with the first ordinal of each by file name."""
+    names = spec.select("spec_file").distinct()
+    place = F.row_number().over(Window.orderBy("spec_file")).cast("bigint")
+    first = names.select("spec_file", ((place - 1) * FILE_STRIDE).alias("_first"))
+    return spec.join(first, "spec_file")
+
+
 def spec_definitions(spec: DataFrame) -> DataFrame:
-    """(spec_file, def_ord, name, definition JSON) in file order."""
-    return spec.select(
-        "spec_file", F.posexplode("definitions").alias("def_ord", "name", "definition")
-    )
+    """(spec_file, def_ord, name, definition JSON) in the order of files and places."""
+    return _placed(spec).select(
+        "spec_file", "_first", F.posexplode("definitions").alias("_pos", "name", "definition")
+    ).select("spec_file", (F.col("_first") + F.col("_pos")).alias("def_ord"), "name", "definition")
 
 
 def spec_operations(spec: DataFrame) -> DataFrame:
     """(spec_file, path_ord, op_ord, path, method, operation_id, description)."""
-    paths = spec.select("spec_file", F.posexplode("paths").alias("path_ord", "path", "ops"))
+    paths = _placed(spec).select(
+        "spec_file", "_first", F.posexplode("paths").alias("_pos", "path", "ops")
+    ).select("spec_file", (F.col("_first") + F.col("_pos")).alias("path_ord"), "path", "ops")
     methods = paths.select(
         "spec_file", "path_ord", "path",
         F.posexplode(F.from_json("ops", "MAP<STRING, STRING>")).alias("op_ord", "method", "op"),

@@ -58,13 +58,17 @@ def _decode_path(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def markdown_texts(files: DataFrame, root: str) -> DataFrame:
-    """(rel_path, text, section) of whole-text file rows, batch or streaming."""
+def relative_path(root: str) -> Column:
+    """The path below ``root`` of the file a row was read from."""
     marker = re.sub(r"^file:/*", "/", _absolute(root)) + "/"
     path = _decode_path(F.col("_metadata.file_path"))
-    rel = F.substring(path, F.position(F.lit(marker), path) + len(marker), F.lit(1 << 30))
+    return F.substring(path, F.position(F.lit(marker), path) + len(marker), F.lit(1 << 30))
+
+
+def markdown_texts(files: DataFrame, root: str) -> DataFrame:
+    """(rel_path, text, section) of whole-text file rows, batch or streaming."""
     unix = F.regexp_replace(F.col("value"), "\r\n?", "\n")
-    rows = files.select(rel.alias("rel_path"), unix.alias("text"))
+    rows = files.select(relative_path(root).alias("rel_path"), unix.alias("text"))
     section = t.section_from_path(F.concat(F.lit("docs/"), F.col("rel_path")))
     return rows.withColumn("section", section)
 

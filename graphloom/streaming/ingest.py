@@ -5,6 +5,9 @@ are written. Both tables are partitioned by batch id and a batch overwrites its
 own partitions, so a batch that is run again after a failure has the same effect
 once. The comparison is an anti-join with the manifest table rather than
 streaming state, which would grow with every document ever seen.
+
+A file stream sees every path once. Where files are rewritten in place or deleted,
+``sync_corpus`` compares a listing with the manifest instead: each run is one batch.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from graphloom import schema as s
 from graphloom.operators.manifest import changed_docs
-from graphloom.sources.corpus import docs_from_texts, markdown_texts
+from graphloom.session import stage
+from graphloom.sources.corpus import docs_from_texts, markdown_texts, relative_path
 
 MANIFEST = "rel_path STRING, content_hash STRING, batch BIGINT"
 
@@ -31,14 +35,16 @@ def _read(spark: SparkSession, path: str, layout: object) -> DataFrame | None:
 
 
 def read_manifest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """(rel_path, content_hash): the latest state of every document so far."""
+    """(rel_path, content_hash): the latest state of every document that is there."""
     rows = _read(spark, f"{target}/manifest", MANIFEST)
     if rows is None:
         return None
     if before is not None:
         rows = rows.filter(F.col("batch") < before)
+    # A deleted document has a row without a hash.
     return rows.groupBy("rel_path").agg(
-        F.max_by("content_hash", "batch").alias("content_hash"))
+        F.max_by(F.coalesce("content_hash", F.lit("")), "batch").alias("content_hash")
+    ).filter(F.col("content_hash") != "")
 
 
 def read_latest_docs(spark: SparkSession, target: str) -> DataFrame | None:
@@ -48,8 +54,9 @@ def read_latest_docs(spark: SparkSession, target: str) -> DataFrame | None:
     if rows is None:
         return None
     names = s.DOCS.fieldNames()
-    return rows.groupBy("rel_path").agg(
+    latest = rows.groupBy("rel_path").agg(
         F.max_by(F.struct(*names), "batch").alias("d")).select("d.*")
+    return latest.join(read_manifest(spark, target).select("rel_path"), "rel_path", "left_semi")
 
 
 def _ddl() -> str:
@@ -57,24 +64,31 @@ def _ddl() -> str:
 
 
 def one_per_path(texts: DataFrame) -> DataFrame:
-    """The last delivery of each path in a batch, by ``seq`` when it is there."""
+    """The last delivery of each path in a batch, by ``seq``; without it the greatest text."""
     if "seq" not in texts.columns:
-        return texts
+        texts = texts.withColumn("seq", F.col("text"))
     rest = [c for c in texts.columns if c != "rel_path"]
     last = texts.groupBy("rel_path").agg(F.max_by(F.struct(*rest), "seq").alias("r"))
     return last.select("rel_path", "r.*").drop("seq")
 
 
-def write_batch(texts: DataFrame, batch_id: int, target: str) -> None:
-    """Ingest one micro-batch of (rel_path, text, url, section[, seq])."""
+def write_batch(texts: DataFrame, batch_id: int, target: str,
+                deleted: DataFrame | None = None) -> None:
+    """Ingest one micro-batch of (rel_path, text, url, section[, seq]).
+
+    ``deleted`` (rel_path) are documents that are gone.
+    """
     spark = texts.sparkSession
     docs = docs_from_texts(one_per_path(texts))
     changed = changed_docs(read_manifest(spark, target, before=batch_id), docs)
     out = f"{target}/docs/batch={batch_id}"
     changed.select(*s.DOCS.fieldNames()).write.mode("overwrite").parquet(out)
     written = spark.read.schema(_ddl()).parquet(out)
-    written.select("rel_path", "content_hash").write.mode("overwrite").parquet(
-        f"{target}/manifest/batch={batch_id}")
+    states = written.select("rel_path", "content_hash")
+    if deleted is not None:
+        states = states.unionByName(
+            deleted.select("rel_path", F.lit(None).cast("string").alias("content_hash")))
+    states.write.mode("overwrite").parquet(f"{target}/manifest/batch={batch_id}")
 
 
 def ingest_stream(texts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -86,10 +100,47 @@ def ingest_stream(texts: DataFrame, target: str, checkpoint: str) -> StreamingQu
 
 
 def markdown_stream(spark: SparkSession, root: str, max_files: int = 10_000) -> DataFrame:
-    """New and rewritten ``*.md`` files under ``root`` as a stream of texts."""
+    """New ``*.md`` files under ``root`` as a stream of texts; rewritten ones need sync_corpus."""
     files = (
         spark.readStream.format("text").option("wholetext", "true")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md")
         .option("maxFilesPerTrigger", max_files).load(root)
     )
     return markdown_texts(files, root).withColumn("url", F.lit(None).cast("string"))
+
+
+def sync_corpus(spark: SparkSession, root: str, target: str) -> int:
+    """Bring ``target`` up to the ``*.md`` files under ``root``; returns the batch number.
+
+    Files are listed without being opened. Those modified since the last listing are read
+    (all of them when a path is new but old, as after a move), and of these only documents
+    with another content hash are written. Listed paths that are gone become deletions. A
+    run that failed is repeated under the same number.
+    """
+    def markdown(fmt: str):
+        return spark.read.format(fmt).option("recursiveFileLookup", "true").option(
+            "pathGlobFilter", "*.md")
+
+    listed = stage(markdown("binaryFile").load(root).select(
+        relative_path(root).alias("rel_path"), "modificationTime", "length"), "listing")
+    before = _read(spark, f"{target}/listing", "rel_path STRING, modificationTime TIMESTAMP, "
+                   "length BIGINT, batch BIGINT")
+    batch, files, deleted = 0, markdown("text").option("wholetext", "true"), None
+    if before is not None:
+        batch = before.agg(F.max("batch")).first()[0] + 1
+        before = before.filter(F.col("batch") == batch - 1)
+        since = before.agg(F.max("modificationTime").cast("string")).first()[0]
+        fresh = listed.join(before, "rel_path", "left_anti")
+        if since and fresh.filter(F.col("modificationTime") <= since).isEmpty():
+            # Equal times are read again: a file may have changed twice within one tick.
+            earlier = spark.sql(
+                f"SELECT date_format(TIMESTAMP'{since}' - INTERVAL 1 SECOND, "
+                "\"yyyy-MM-dd'T'HH:mm:ss\")").first()[0]
+            files = files.option("modifiedAfter", earlier).option(
+                "timeZone", spark.conf.get("spark.sql.session.timeZone"))
+        known = read_manifest(spark, target, before=batch)
+        deleted = known.join(listed.select("rel_path"), "rel_path", "left_anti")
+    texts = markdown_texts(files.load(root), root).withColumn("url", F.lit(None).cast("string"))
+    write_batch(texts, batch, target, deleted)
+    listed.write.mode("overwrite").parquet(f"{target}/listing/batch={batch}")
+    return batch

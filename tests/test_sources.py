@@ -70,6 +70,27 @@ def test_stream_ingests_only_changes(spark, tmp_path):
     assert spark.read.parquet(f"{out}/docs").groupBy("batch").count().count() == 2
 
 
+def test_sync_carries_rewritten_and_deleted_files(spark, tmp_path):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run():
+        batch = ingest.sync_corpus(spark, root, out)
+        rows = ingest.read_latest_docs(spark, out).collect()
+        return batch, {r["rel_path"]: r["body_raw"] for r in rows}
+
+    put(root, "a/one.md", "1")
+    put(root, "a/two.md", "2")
+    put(root, "three.md", "3")
+    assert run() == (0, {"a/one.md": "1", "a/two.md": "2", "three.md": "3"})
+    put(root, "a/one.md", "1 again")
+    os.remove(f"{root}/a/two.md")
+    assert run() == (1, {"a/one.md": "1 again", "three.md": "3"})
+    assert spark.read.parquet(f"{out}/docs").filter("batch = 1").count() == 1
+    put(root, "a/two.md", "2")
+    os.utime(f"{root}/a/two.md", (1e9, 1e9))  # moved in with an old time
+    assert run() == (2, {"a/one.md": "1 again", "a/two.md": "2", "three.md": "3"})
+
+
 def test_a_replayed_batch_has_one_effect(spark, tmp_path):
     out = str(tmp_path / "out")
     layout = "rel_path STRING, text STRING, url STRING, section STRING, seq INT"
