@@ -1,11 +1,17 @@
 """The registered queries on the smallest tables, and the pipeline by its stages."""
 
+import collections
+import hashlib
 import os
 
 import pytest
 
 import corpus_pipeline
 from graphloom.llm.queries import ORACLES, QUERIES
+from tests.llm.test_decontaminate import brute_force as leak_brute_force
+from tests.llm.test_decontaminate import shingles
+from tests.llm.test_near_dedup import brute_force as near_brute_force
+from tests.llm.test_packing import fill
 from tests.oracle import compare, duck
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -27,16 +33,56 @@ def test_one_query_per_operator():
     assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11))
 
 
-def test_pipeline_stages_take_effect(spark, con, tmp_path):
+def kept_by_brute_force(docs, items):
+    """What each stage keeps, by plain Python: ids after the first three, copies after mixing."""
+    letters = [r for r in docs if any(c.isalpha() for c in r["text"] or "")]
+    component = near_brute_force([(r["doc_id"], r["text"]) for r in letters])
+    single = [r for r in letters if component[r["doc_id"]][1] == r["doc_id"]]
+    shared = {i: set(shingles(t.lower().split())) for i, t in items}
+    leaked = set()
+    for r in single:
+        own = set(shingles((r["text"] or "").lower().split()))
+        some = [(i, t) for i, t in items if shared[i] & own]
+        if some and leak_brute_force([(r["doc_id"], r["text"])], some):
+            leaked.add(r["doc_id"])
+    clean = [r for r in single if r["doc_id"] not in leaked]
+    sizes = collections.Counter()
+    for r in clean:
+        sizes[r["source"]] += len(r["text"].encode().split())
+    targets = fill(sizes)
+    copies = collections.Counter()
+    for r in clean:
+        rate = targets[r["source"]] / sizes[r["source"]] if sizes[r["source"]] else 0
+        draw = int(hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2 ** 52
+        copies[r["doc_id"]] = int(rate) + (draw < rate - int(rate))
+    ids = [sorted(r["doc_id"] for r in rows) for rows in (letters, single, clean)]
+    return [*ids, sorted(copies.elements()), sorted(copies.elements())]
+
+
+def test_pipeline_against_brute_force(spark, con, tmp_path):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    columns, sizes = docs.columns, [docs.count()]
+    columns = docs.columns
+    items = con.execute("SELECT item_id, text FROM benchmark").fetchall()
+    want = kept_by_brute_force(docs.collect(), items)
+    assert len({tuple(ids) for ids in want}) == 4  # near copies, leaks and mixing take effect
     for k, (name, apply) in enumerate(corpus_pipeline.STAGES):
         apply(spark, docs, SF_DIR).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
-        sizes.append(docs.count())
+        assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == want[k], name
         last = k == len(corpus_pipeline.STAGES) - 1
         assert docs.columns == columns + (["shard", "slot"] if last else [])
-    assert sizes[1] == sizes[0]  # every text has letters of a known language
-    assert sizes[2] < sizes[1] and sizes[3] < sizes[2] and sizes[5] == sizes[4]
-    rows = docs.groupBy("shard").count().collect()
-    assert len(rows) == 8 and max(r["count"] for r in rows) - min(r["count"] for r in rows) <= 1
+    shards = collections.Counter(r["shard"] for r in docs.collect())
+    assert len(shards) == 8 and max(shards.values()) - min(shards.values()) <= 1
+
+
+def test_pipeline_runs_all_stages(spark, tmp_path):
+    spark.createDataFrame(
+        [(i, f"some words number {i} of a plain text", "en", f"s{i % 3}", 9) for i in range(12)]
+        + [(50, "some words number 3 of a plain text", "en", None, 9), (51, None, None, None, None),
+           (52, "12 34", "en", "s1", 5)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    ).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "some words number 7 of a plain text")], "item_id bigint, text string") \
+        .write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} <= set(range(12)) - {7} and rows
