@@ -19,7 +19,7 @@ from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.mixing import mix
 from graphloom.llm.near_dedup import near_groups
 from graphloom.llm.sharding import shard
-from graphloom.session import checkpoint_dir, stage
+from graphloom.session import checkpoint_dir, release, stage, staged
 
 #: A text goes when it has no letters, or when less than this share of its trigrams is
 #: known in the language it looks most like.
@@ -77,6 +77,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, apply) in enumerate(STAGES):
+        before = staged()
         apply(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        release(spark, before)  # what the stage wrote for itself
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
