@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as t
-from graphloom.harness.base import Tables, as_facts, entity_edges, entity_nodes, query, text_id
+from graphloom.harness.base import (
+    ENTITY_EDGES_SQL, ENTITY_NODES_SQL, Tables, as_facts, entity_edges, entity_nodes, query, text_id)
 from graphloom.operators import check, manifest, refine
 from graphloom.schema import Graph
 from graphloom.session import checkpoint_dir
@@ -129,26 +130,54 @@ def _graph(spark, sf_dir):
         meta={"version": "v1"})
 
 
-@query("graph_hash")
+def _s(value: str) -> str:
+    return f"coalesce(length({value})::VARCHAR || ':' || {value}, '~')"
+
+
+def _d(value: str) -> str:
+    return f"{value}::DECIMAL(20,9)::VARCHAR || ';'"
+
+
+# The canonical text of every row, columns in the order of their names.
+GRAPH_HASH_SQL = f"""
+{ENTITY_NODES_SQL}, {ENTITY_EDGES_SQL},
+rows AS (
+  SELECT 0 AS part, sha256('[]' || '0:' || 'false;' || '1.000000000;' || '13:deterministic'
+           || {_s('id')}
+           || CASE WHEN meta_group IS NULL THEN '~' ELSE '(~~' || {_s('meta_group')} || '~~~~~~~~~~)' END
+           || '1;' || {_s('section')} || {_s('summary')} || '['
+           || array_to_string(list_transform(tags, lambda x: length(x)::VARCHAR || ':' || x), '') || ']'
+           || {_s('title')} || {_s('type')} || '~' || '7:unknown') AS h FROM n
+  UNION ALL
+  SELECT 1, sha256({_d('confidence')} || {_s('derived_by')} || {_s('from_id')} || {_s('label')}
+           || n_prov || ';' || {_s('to_id')} || {_s('type')} || {_d('weight')}) FROM e
+  UNION ALL
+  SELECT 2, sha256({_s('id')} || '~~' || {_s('title')} || {_s("split_part(id, ':', 1)")} || '~') FROM n
+  UNION ALL
+  SELECT 3, sha256({_s("'part:' || l_partkey")} || {_s('l_orderkey::VARCHAR')} || '8:lineitem'
+           || {_s("'supplier:' || l_suppkey")} || '10:related_to') FROM lineitem
+),
+tables AS (SELECT part, sha256({_LIMBS_SQL} || ',' || count(*)) AS h FROM rows GROUP BY part),
+graph AS (SELECT sha256(string_agg(h, '|' ORDER BY part)) AS ir_hash FROM tables)"""
+
+
+@query("graph_hash", f"WITH {GRAPH_HASH_SQL} SELECT ir_hash FROM graph")
 def graph_hash(spark, sf_dir) -> DataFrame:
-    """Rows only: the hash covers Spark's JSON text of every row."""
     return manifest.graph_hash(_graph(spark, sf_dir))
 
 
-@query("manifest", """
-SELECT ((SELECT count(*) FROM part) + (SELECT count(*) FROM region)
-        + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer)
-        + (SELECT count(*) FROM orders) + (SELECT count(*) FROM supplier))::BIGINT AS node_count,
-       (2 * ((SELECT count(*) FROM nation) + (SELECT count(*) FROM customer)
-             + (SELECT count(*) FROM orders) + (SELECT count(*) FROM supplier))
-        + (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)))::BIGINT
-       AS edge_count, 'v1' AS version, 'graphloom' AS generator, 64 AS hash_length""")
+@query("manifest", f"""
+WITH {GRAPH_HASH_SQL},
+c AS (SELECT sha256({_LIMBS_SQL} || ',' || count(*)) AS corpus_hash
+      FROM (SELECT sha256('doc:' || doc_id || '|' || sha256(text)) AS h FROM documents))
+SELECT ir_hash, corpus_hash, (SELECT count(*) FROM n)::BIGINT AS node_count,
+       (SELECT count(*) FROM e)::BIGINT AS edge_count, 'v1' AS version, 'graphloom' AS generator
+FROM graph, c""")
 def build_manifest(spark, sf_dir) -> DataFrame:
     docs = Tables(spark, sf_dir).documents.select(
         text_id("doc:", "doc_id").alias("rel_path"),
         t.content_hash(F.col("text")).alias("content_hash"))
-    row = manifest.build_manifest(_graph(spark, sf_dir), docs)
-    return row.withColumn("hash_length", F.length("ir_hash")).drop("ir_hash", "corpus_hash")
+    return manifest.build_manifest(_graph(spark, sf_dir), docs)
 
 
 def _edited(docs):

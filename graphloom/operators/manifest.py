@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.functions.text import row_hash
 from graphloom.schema import Graph
 
 _LIMBS = 8
@@ -29,10 +29,30 @@ def table_hash(df: DataFrame, digest: Column) -> DataFrame:
         "table_hash"), "n")
 
 
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """A text that tells any two values of a type apart, the same in every engine.
+
+    Strings carry their length, doubles have nine decimals, NULL is ``~``.
+    """
+    if isinstance(kind, T.StringType):
+        text = F.concat(F.length(value).cast("string"), F.lit(":"), value)
+    elif isinstance(kind, T.StructType):
+        fields = [canonical(value[f.name], f.dataType) for f in kind.fields]
+        text = F.when(value.isNotNull(), F.concat(F.lit("("), *fields, F.lit(")")))
+    elif isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda x: canonical(x, kind.elementType))
+        text = F.concat(F.lit("["), F.array_join(items, ""), F.lit("]"))
+    else:
+        plain = value.cast("decimal(20,9)") if isinstance(kind, T.DoubleType) else value
+        text = F.concat(plain.cast("string"), F.lit(";"))
+    return F.coalesce(text, F.lit("~"))
+
+
 def _fact_hash(df: DataFrame) -> DataFrame:
     # The ordinal is a position in the input, not content; merge counts are derived.
     columns = sorted(c for c in df.columns if c not in ("ord", "best_ord", "duplicates"))
-    return table_hash(df, row_hash(*columns))
+    row = F.concat(*[canonical(F.col(c), df.schema[c].dataType) for c in columns])
+    return table_hash(df, F.sha2(row, 256))
 
 
 def graph_hash(graph: Graph) -> DataFrame:
