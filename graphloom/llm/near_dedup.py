@@ -3,12 +3,15 @@
 A document is the set of its distinct word shingles. Equal sets become one node. Each
 node has ``VALUES`` MinHash values, and each of ``TREES`` trees is one order of them: its
 nodes are sorted by ``DEPTH`` values beginning at the tree's own offset, so that nodes
-with a long common prefix are neighbours. The depth is not fixed: a node looks at the
-``REACH`` nodes nearest to it as long as they share ``LEAST_DEPTH`` values, so where nodes
-are dense the ones it meets share many values, where they are sparse few. In a region with
-more than ``REACH`` nodes, at several depths, every node also meets the region's centre,
-the node that agrees most with the region's commonest values: copies of one original meet
-the original, however many there are. Pairs within a region are never all expanded.
+with a long common prefix are neighbours. The depth adapts to each region: a node meets
+the nodes that share its first d values, with the smallest d from ``LEAST_DEPTH`` on for
+which these are ``REACH`` nodes at most, and the next node in order anyway. So where
+nodes are dense, the ones that meet share many values, where they are sparse few. In a
+region with more than ``REACH`` nodes, at several depths, every node also meets the
+region's centre, the node that agrees most with the region's commonest values: copies of
+one original meet the original, however many there are; and each node meets the one that
+agrees best with it among the next, and the previous, ``WINDOW`` nodes. Pairs of a large
+region are never all expanded.
 
 Trees are range-partitioned by their order, so a region of any size spans tasks; what
 adjoins at a cut is compared in a second pass. Candidates are confirmed on full shingle
@@ -45,7 +48,8 @@ TREES = 16
 DEPTH = 16
 LEAST_DEPTH = 3
 CENTRE_DEPTHS = (3, 6, 10)
-REACH = 16
+REACH = 8
+WINDOW = 32
 #: Of the DEPTH values so many must agree: similarity 0.8 has 12.8, with deviation 1.6.
 LEAST_AGREEING = 8
 CHUNK_ROWS = 1 << 16
@@ -168,16 +172,18 @@ class Tree:
         ``across``: only between different parts."""
         n = len(self.node)
         shared = self.common_prefix()
-        found = []
+        i = np.flatnonzero(shared >= LEAST_DEPTH)
+        found = [(i, i + 1)]
+        depth = self.region_depth(shared)
         reached = shared.copy()
-        for step in range(1, min(REACH, n - 1) + 1):
-            if step > 1:
-                reached = np.minimum(reached[:-1], shared[step - 1:])
-            i = np.flatnonzero(reached >= LEAST_DEPTH)
+        for step in range(2, min(REACH, n)):
+            reached = np.minimum(reached[:-1], shared[step - 1:])
+            i = np.flatnonzero(reached >= depth[:n - step])
             if not len(i):
                 break
             found.append((i, i + step))
         if not across:
+            found += self._best_in_window(shared, depth > LEAST_DEPTH)
             for depth in CENTRE_DEPTHS:
                 cut = np.flatnonzero(np.append(shared < depth, True))
                 begin = np.append(0, cut[:-1] + 1)
@@ -194,6 +200,37 @@ class Tree:
         a, b = self.node[i[ok]], self.node[j[ok]]
         return np.minimum(a, b), np.maximum(a, b), agree[ok]
 
+    def _best_in_window(self, shared: np.ndarray, dense: np.ndarray) -> list[tuple]:
+        """Of the next and of the previous WINDOW rows the one that agrees best, in dense regions."""
+        n = len(self.node)
+        best = np.zeros((2, n), dtype=np.int64)
+        where = np.zeros((2, n), dtype=np.int64)
+        reached = shared.copy()
+        for step in range(1, min(WINDOW, n - 1) + 1):
+            if step > 1:
+                reached = np.minimum(reached[:-1], shared[step - 1:])
+            i = np.flatnonzero((reached >= LEAST_DEPTH) & dense[:n - step])
+            if not len(i):
+                break
+            ok, agree = self.alike(i, i + step)
+            agree = np.where(ok, agree, 0)
+            for side, (own, other) in enumerate(((i, i + step), (i + step, i))):
+                better = agree > best[side, own]
+                best[side, own[better]] = agree[better]
+                where[side, own[better]] = other[better]
+        return [(own, where[side, own]) for side in (0, 1)
+                for own in [np.flatnonzero(best[side])]]
+
+    def region_depth(self, shared: np.ndarray) -> np.ndarray:
+        """For each row the smallest depth at which REACH rows or fewer share its prefix."""
+        n = len(self.node)
+        out = np.full(n, DEPTH + 1)
+        for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
+            ends = np.flatnonzero(np.append(shared < depth, True))
+            size = np.diff(ends, prepend=-1)
+            out[np.repeat(size <= REACH, size)] = depth
+        return out
+
     def _star(self, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
         keys = self.keys[s:e]
         score = np.zeros(e - s, dtype=np.int64)
@@ -249,9 +286,9 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             joined = last.then(chunk)
             yield _pair_batch(joined.pairs(first=len(last.node)))
-        last = joined.rows(slice(max(0, len(joined.node) - REACH), None))
+        last = joined.rows(slice(max(0, len(joined.node) - WINDOW), None))
     if last is not None:
-        yield _edge_batch(last)
+        yield _edge_batch(last.rows(slice(max(0, len(last.node) - REACH), None)))
 
 
 def across_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,11 +358,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     linked = filled.join(nodes.select("a", "b", "n_shingles", "node"), ["a", "b", "n_shingles"]) \
         .filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     repeated = linked.join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
-    links = repeated
-    tried = None
     labels = None
     for most in (1, 4, None):
-        left = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        left = pairs
         for end in ("a", "b"):
             if labels is None:
                 left = left.withColumn(f"c{end}", F.col(end))
@@ -333,19 +368,24 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             named = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
             left = left.join(broadcast_if_small(named, row_bytes=32), end, "left").withColumn(
                 f"c{end}", F.coalesce(f"c{end}", end))
-        left = left.filter("ca != cb")
-        if most:
-            left = best_pairs(left, most, by_component=labels is not None)
-        chosen = stage(left.select("a", "b"), "chosen")
+        if labels is not None:
+            left = stage(left.filter("ca != cb"), "pairs-left")
+        chosen = best_pairs(left, most, by_component=labels is not None) if most else left
+        chosen = stage(chosen.select("a", "b"), "chosen")
         if chosen.isEmpty():
             break
-        links = stage(links.union(confirm(chosen, sets, percent)), "links-so-far")
-        labels = stage(components(links), "labels")
-        tried = chosen if tried is None else stage(tried.union(chosen), "tried")
+        pairs = left.select("a", "b", "weight").join(chosen, ["a", "b"], "left_anti")
+        fresh = confirm(chosen, sets, percent)
+        if labels is None:
+            labels = stage(components(fresh.union(repeated)), "labels")
+        elif not fresh.isEmpty():
+            # What was linked before comes back as stars, which need few turns.
+            labels = stage(components(fresh.union(labels.toDF("a", "b"))), "labels")
+    if labels is None:
+        labels = stage(components(repeated), "labels")
     found = described.join(
         nodes.select("a", "b", "n_shingles", "node"), ["a", "b", "n_shingles"], "left")
-    found = found.join(labels, "node", "left") if labels is not None else found.withColumn(
-        "component", F.col("node"))
+    found = found.join(labels, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return found.select(
         F.col("doc_id").alias(doc_id), "n_shingles", component.alias("component_id"),
