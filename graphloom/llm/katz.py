@@ -43,7 +43,7 @@ from graphloom.llm.common import prepare
 from graphloom.llm.text import blocks, mix, word_hashes
 from graphloom.session import stage
 
-VOCABULARY = 1 << 20
+VOCABULARY = 1 << 19
 SMALL = 5
 LARGE_GIVES = 0.1
 BATCH_BYTES = 4 << 20
@@ -352,21 +352,23 @@ def backoff(counted: DataFrame, known: Vocabulary) -> Backoff:
     """Sums per history, of which there are no more than ranks, and a(h) from them."""
     small = [f"small_{r}" for r in range(1, SMALL + 2)]
     names = ["history", "unigram", "large", "large_n", *small]
-    sums = (counted.filter("history IS NOT NULL")
-            .select(F.explode(F.arrays_zip(*names)).alias("x")).select("x.*")
-            .groupBy("history").agg(*[F.sum(c).alias(c) for c in names[1:]])).toArrow()
-    column = {c: sums[c].to_numpy() for c in names}
-    d = discounts(np.array([0, *(column[c].sum() for c in small)]))
-    counts, weights = np.zeros(known.rare + 3), np.ones(known.rare + 3)
-    at = column["history"]
+    sums = stage(
+        counted.filter("history IS NOT NULL")
+        .select(F.explode(F.arrays_zip(*names)).alias("x")).select("x.*")
+        .groupBy("history").agg(*[F.sum(c).alias(c) for c in names[1:]]), "histories")
+    of_count = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in small]).first()
+    d = discounts(np.array([0, *of_count]))
     # The counts up to SMALL + 1 come by how many pairs have them, the larger ones as sums.
-    taken = column["large"] + sum(r * column[c] for r, c in enumerate(small, 1))
-    kept = column["large"] - LARGE_GIVES * column["large_n"] + sum(
-        discounted(np.array([r]), d)[0] * column[c] for r, c in enumerate(small, 1))
-    counts[at] = taken
-    if len(at):
-        # Where all words were seen, nothing backs off and the weight is never used.
-        weights[at] = (1 - kept / taken) / np.maximum(1 - column["unigram"], 1e-12)
+    taken, kept = F.col("large"), F.col("large") - LARGE_GIVES * F.col("large_n")
+    for r, column in enumerate(small, 1):
+        taken = taken + r * F.col(column)
+        kept = kept + float(discounted(np.array([r]), d)[0]) * F.col(column)
+    # Where all words were seen, nothing backs off and the weight is never used.
+    weight = (1 - kept / taken) / F.greatest(1 - F.col("unigram"), F.lit(1e-12))
+    table = sums.select("history", taken.alias("taken"), weight.alias("weight")).toArrow()
+    counts, weights = np.zeros(known.rare + 3), np.ones(known.rare + 3)
+    counts[table["history"].to_numpy()] = table["taken"].to_numpy()
+    weights[table["history"].to_numpy()] = table["weight"].to_numpy()
     return Backoff(counts, weights, d)
 
 
