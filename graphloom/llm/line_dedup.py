@@ -193,6 +193,27 @@ def before(a_doc: Column, a_line: Column, b_doc: Column, b_line: Column) -> Colu
     return (a_doc < b_doc) | ((a_doc == b_doc) & (a_line < b_line))
 
 
+def within_one_edit(a: str, b: str) -> bool:
+    """Whether one edit or none makes two texts equal, in near-linear time."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    low, high = 0, len(a)  # the common prefix ends between them
+    while low < high:
+        half = (low + high + 1) // 2
+        if a[low:half] == b[low:half]:
+            low = half
+        else:
+            high = half - 1
+    return a[low + (len(a) == len(b)):] == b[low + 1:]
+
+
+def similar_values(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([within_one_edit(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)],
+                    pa.bool_())
+
+
 def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """Hashes of the distinct lines that are similar to an earlier, different one."""
     slots = lines.select("hash", F.posexplode("keys").alias("slot", "key"))
@@ -232,7 +253,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFram
     mine, its = "hash_at", "other_at"
     return checked.filter(
         before(F.col(f"{its}.doc_id"), F.col(f"{its}.line"), F.col(f"{mine}.doc_id"), F.col(f"{mine}.line"))
-    ).filter(F.levenshtein(f"{mine}.value", f"{its}.value", 1).between(0, 1)).select("hash").distinct()
+    ).filter(F.arrow_udf(similar_values, "boolean")(f"{mine}.value", f"{its}.value")).select(
+        "hash").distinct()
 
 
 def without_lines(text: pa.Array, dropped: pa.Array) -> pa.Array:
