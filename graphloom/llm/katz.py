@@ -12,16 +12,17 @@ d are Good-Turing discounts for counts up to ``SMALL``; larger counts give up ``
 of one occurrence, so that every history can back off.
 
 Tables, all spread over the cluster: ``words`` (count of every word), ``encoded`` (the texts
-as ranks of words, in batches), ``counted`` (counts of every pair, in buckets by history). The
-``VOCABULARY`` most frequent words have ranks and are known to every task, a table of bounded
-size; all other words are one class as neighbours of a pair, and within that class keep their
-own unigram counts, which are joined. So no word loses its count, and probabilities still sum
-to one over all words.
+as codes of words, in batches), ``rare`` (training counts of the unranked words of each batch),
+``counted`` (counts of every pair, in buckets by history). Every word has pair counts and a
+backoff weight of its own. The code of a word is short for the ``VOCABULARY`` most frequent
+words, whose ranks are known to every task, and its 64-bit hash otherwise; what is known of
+those comes by joins, so the ranks bound a broadcast and not the model.
 
 Pairs are counted and looked up in one exchange: a batch sends its distinct pairs with its
-training counts, and gets the totals back. A bucket holds whole histories, except that
-histories frequent enough to fill buckets are cut by their next word; the sums for a(h) are
-added up afterwards. A batch sends a pair once, so a hot pair costs one entry per batch.
+training counts, and gets the totals back, with the sums for a(h) of the unranked histories
+that back off. A bucket holds whole histories, except that histories frequent enough to fill
+buckets are cut by their next word; their sums for a(h) are added up afterwards. A batch sends
+a pair once, so a hot pair costs one entry per batch.
 
 Defined cases: null and empty texts have the end token only; words that training never saw
 share the unknown mass each; without training texts everything is unknown; repeated rows are
@@ -49,6 +50,7 @@ LARGE_GIVES = 0.1
 BATCH_BYTES = 4 << 20
 BUCKETS_PER_PARTITION = 8
 _HELD_WORDS = 1 << 20
+_HASHED = np.uint64(1 << 63)  # marks codes that are hashes
 _STEPS = 8  # of a doubling of the count, where the vocabulary is cut
 
 
@@ -90,14 +92,26 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(counts > SMALL, counts - LARGE_GIVES, d[small] * counts)
 
 
+@dataclass
+class Pairs:
+    """Distinct pairs of a batch, those of a bucket together; for words without a rank, which
+    have the rare class in ``keys``, their hashes and training counts."""
+
+    keys: np.ndarray  # (history, word)
+    history: np.ndarray  # hash
+    history_n: np.ndarray
+    word: np.ndarray  # hash
+    word_n: np.ndarray
+    bucket: np.ndarray
+
+
 @dataclass
 class Vocabulary:
     """Ranked words, by hash; then the class of rare words, the end token and the begin mark."""
 
     hashes: np.ndarray  # sorted
     counts: np.ndarray  # of ranks, the rare class, the end, the begin mark
-    unigram: np.ndarray  # p of ranks, the rare class and the end
-    base: np.ndarray  # log10 of the add-half estimate; 0 for the rare class
+    unigram: np.ndarray  # p of ranks, the rare class (0) and the end
     total: int  # N
     distinct: int  # V
     discount: np.ndarray
@@ -109,34 +123,63 @@ class Vocabulary:
     def rare(self) -> int:
         return len(self.hashes)
 
-    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+    def codes(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks, or from ``rare + 3`` on the places in the second result: the sorted hashes
+        of all words without a rank."""
         distinct, which = np.unique(hashes, return_inverse=True)
-        if not self.rare:
-            return np.zeros(len(hashes), dtype=np.uint32)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), self.rare - 1)
-        return np.where(self.hashes[at] == distinct, at, self.rare).astype(np.uint32)[which]
-
-    def pairs(self, ranks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (history, word) of all tokens of all texts, and n + 1 offsets of the texts."""
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(self.rare - 1, 0))
+        ranked = self.hashes[at] == distinct if self.rare else np.zeros(len(distinct), dtype=bool)
+        code = np.where(ranked, at, self.rare + 2 + np.cumsum(~ranked))
+        return code.astype(np.uint32)[which], distinct[~ranked]
+
+    def pairs(self, codes: np.ndarray, lengths: np.ndarray, rare: np.ndarray,
+              rare_n: np.ndarray) -> tuple[Pairs, np.ndarray, np.ndarray]:
+        """The pairs of all tokens of all texts, where each token's pair is, and n + 1 offsets
+        of the texts. ``rare`` are the hashes that codes refer to, with training counts."""
         ends = np.cumsum(lengths)
-        word = np.insert(ranks.astype(np.int64), ends, self.rare + 1)
+        word = np.insert(codes.astype(np.int64), ends, self.rare + 1)
         offsets = np.append(0, ends + np.arange(1, len(lengths) + 1))
         history = np.empty_like(word)
         history[1:] = word[:-1]
         history[offsets[:-1]] = self.rare + 2
-        return history * (self.rare + 2) + word, offsets
+        first = self.rare + 3
+        distinct, which = np.unique(history * (first + len(rare)) + word, return_inverse=True)
+        hashes, counts = np.append(rare, np.uint64(0)), np.append(rare_n, 0)
+
+        def side(code: np.ndarray) -> tuple[np.ndarray, ...]:
+            at = np.where(code >= first, code - first, len(rare))
+            return np.where(code >= first, self.rare, code), hashes[at], counts[at]
+
+        history, history_hash, history_n = side(distinct // (first + len(rare)))
+        word, word_hash, word_n = side(distinct % (first + len(rare)))
+        keys = history * (self.rare + 2) + word
+        bucket = self.bucket(keys, history_hash)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        pairs = Pairs(*(x[order] for x in (keys, history_hash, history_n, word_hash, word_n, bucket)))
+        return pairs, place[which], offsets
 
     def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return keys // (self.rare + 2), keys % (self.rare + 2)
 
-    def bucket(self, keys: np.ndarray) -> np.ndarray:
+    def bucket(self, keys: np.ndarray, history_hash: np.ndarray) -> np.ndarray:
         """A history goes to one bucket, or to as many as its share of all tokens."""
         history, word = self.split(keys)
         cuts = 1 + self.counts[history] * self.buckets // max(self.total, 1)
+        cuts[history == self.rare] = 1
         part = mix(word.astype(np.uint64)) % cuts.astype(np.uint64)
-        return (mix(history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part)
+        return (mix(history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part + history_hash)
                 % np.uint64(self.buckets)).astype(np.int64)
 
+    def probability(self, words: np.ndarray, rare_n: np.ndarray) -> np.ndarray:
+        """p(w) of ranks and, by their training counts, of words of the rare class."""
+        rare = np.where(rare_n > 0, discounted(rare_n, self.discount), self.unknown) / self.z
+        return np.where(words == self.rare, rare, self.unigram[words])
+
+    def count(self, words: np.ndarray, rare_n: np.ndarray) -> np.ndarray:
+        return np.where(words == self.rare, rare_n, self.counts[words])
+
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to (word, n), combined within the task as far as memory is bounded."""
@@ -202,20 +245,17 @@ def vocabulary(words: DataFrame, texts: int, size: int, buckets: int) -> Vocabul
     mass = np.append(discounted(counts, d), [left[1] or 0.0, discounted(np.array([texts]), d)[0]])
     unknown = max(total - mass.sum(), 0.5)
     z = mass.sum() + unknown
-    mass[-2] += unknown
-    base = np.log10((np.append(counts, [0, texts]) + 0.5) / (total + 0.5 * (distinct + 1)))
-    base[-2] = 0.0
-    return Vocabulary(hashes, np.append(counts, [left[0] or 0, texts, texts]), mass / z, base,
+    mass[-2] = 0.0  # its words have probabilities of their own
+    return Vocabulary(hashes, np.append(counts, [left[0] or 0, texts, texts]), mass / z,
                       total, distinct, d, unknown, z, buckets)
 
 
 ENCODED = ("batch bigint, doc_id array<bigint>, train array<boolean>, lengths array<bigint>, "
-           "n bigint, ranks binary, rare_row array<int>, rare_word array<bigint>, "
-           "rare_n array<bigint>")
+           "n bigint, codes binary, rare array<bigint>")
 
 
 def encode(shared) -> object:
-    """(doc_id, train, text) to batches of texts as ranks, with the rare words apart."""
+    """(doc_id, train, text) to batches of texts as codes, with the hashes of unranked words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -224,55 +264,64 @@ def encode(shared) -> object:
         for batch in batches:
             for i, j in blocks(batch.column(2), BATCH_BYTES):
                 hashes, offsets = word_hashes(batch.column(2)[i:j])
-                ranks = known.ranks(hashes)
-                rare = np.flatnonzero(ranks == known.rare)
-                row = np.searchsorted(offsets, rare, side="right") - 1
-                order = np.lexsort((hashes[rare], row))
-                row, word = row[order], hashes[rare][order].view(np.int64)
-                first = np.ones(len(row), dtype=bool)
-                first[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
-                at = np.flatnonzero(first)
+                codes, rare = known.codes(hashes)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([number]), pa.array([batch.column(0)[i:j].to_pylist()], pa.list_(pa.int64())),
                     pa.array([batch.column(1)[i:j].to_pylist()], pa.list_(pa.bool_())),
-                    pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([len(ranks)]),
-                    pa.array([pack(ranks)], pa.binary()),
-                    pa.array([row[at].astype(np.int32)], pa.list_(pa.int32())),
-                    pa.array([word[at]], pa.list_(pa.int64())),
-                    pa.array([np.diff(np.append(at, len(row)))], pa.list_(pa.int64())),
+                    pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([len(codes)]),
+                    pa.array([pack(codes)], pa.binary()),
+                    pa.array([rare.view(np.int64)], pa.list_(pa.int64())),
                 ], [c.split()[0] for c in ENCODED.split(", ")])
                 number += 1
 
     return run
 
 
-def _values(column: pa.Array, row: int) -> np.ndarray:
-    return np.asarray(column[row].values)
+def _rare_counts(rare: list[int], words: list[int] | None, n: list[int] | None) -> np.ndarray:
+    """Training counts of the sorted hashes ``rare``, 0 for those that are not in ``words``."""
+    rare = np.array(rare, dtype=np.int64).view(np.uint64)
+    counts = np.zeros(len(rare), dtype=np.int64)
+    if words:
+        counts[np.searchsorted(rare, np.array(words, dtype=np.int64).view(np.uint64))] = n
+    return counts
+
+
+def _pairs_of(known: Vocabulary, batch: dict, words: list[int] | None, n: list[int] | None):
+    rare = np.array(batch["rare"], dtype=np.int64).view(np.uint64)
+    return known.pairs(unpack(batch["codes"], batch["n"], np.uint32),
+                       np.array(batch["lengths"], dtype=np.int64), rare,
+                       _rare_counts(batch["rare"], words, n))
+
+
+ASKED = ("bucket int, batch bigint, n bigint, keys binary, counts binary, n_history bigint, "
+         "history binary, n_word bigint, word binary, word_n binary")
 
 
 def ask(shared) -> object:
     """Encoded batches to their distinct pairs by bucket, with training counts."""
-    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("n", pa.int64()),
-                        ("keys", pa.binary()), ("counts", pa.binary())])
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ASKED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
         known = Vocabulary(**shared.value)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                lengths = _values(batch.column(1), k)
-                ranks = unpack(batch.column(4)[k].as_py(), batch.column(3)[k].as_py(), np.uint32)
-                keys, _ = known.pairs(ranks, lengths)
-                train = np.repeat(_values(batch.column(2), k).astype(bool), lengths + 1)
-                distinct, which = np.unique(keys, return_inverse=True)
-                counts = np.bincount(which[train], minlength=len(distinct)).astype(np.uint32)
-                bucket = known.bucket(distinct)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for some in batches:
+            for batch in some.to_pylist():
+                pairs, which, offsets = _pairs_of(known, batch, batch["word"], batch["word_n"])
+                train = np.repeat(np.array(batch["train"], dtype=bool), np.diff(offsets))
+                counts = np.bincount(which[train], minlength=len(pairs.keys)).astype(np.uint32)
+                history, word = known.split(pairs.keys)
+                cut = np.flatnonzero(np.diff(pairs.bucket, prepend=-1))
                 rows = []
-                for at in np.split(order, cut[1:]):
-                    gaps = np.diff(distinct[at], prepend=0).astype(np.uint64)
-                    rows.append((int(bucket[at[0]]), batch.column(0)[k].as_py(), len(at),
-                                 pack(gaps), pack(counts[at])))
+                for s, e in zip(cut, np.append(cut[1:], len(pairs.bucket)), strict=True):
+                    h = pairs.history[s:e][history[s:e] == known.rare]
+                    at = s + np.flatnonzero(word[s:e] == known.rare)
+                    # Gaps wrap around where keys fall.
+                    rows.append((
+                        int(pairs.bucket[s]), batch["batch"], e - s,
+                        pack(np.diff(pairs.keys[s:e], prepend=0).astype(np.uint64)),
+                        pack(counts[s:e]), len(h), pack(np.diff(h, prepend=np.uint64(0))), len(at),
+                        pack(pairs.word[at]), pack(pairs.word_n[at].astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
                     schema=schema)
@@ -280,76 +329,129 @@ def ask(shared) -> object:
     return run
 
 
-COUNTED = ("batch bigint, bucket int, n bigint, totals binary, history array<bigint>, "
-           "unigram array<double>, large array<double>, large_n array<bigint>, "
+COUNTED = ("batch bigint, bucket int, n bigint, totals binary, n_sums bigint, sums binary, "
+           "history array<bigint>, unigram array<double>, large array<double>, "
+           "large_n array<bigint>, "
            + ", ".join(f"small_{r} array<bigint>" for r in range(1, SMALL + 2)))
+_SUMS = SMALL + 4  # numbers per history: unigram, large, large_n and small_1 to small_(SMALL + 1)
 
 
 def answer(shared) -> object:
-    """All requests of a bucket to totals for each batch, and sums for each history."""
+    """All requests of a bucket to totals for each batch, and sums for each history; those of
+    unranked histories go to the batches that back off from them."""
     names = [c.split()[0] for c in COUNTED.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()),
-             pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()),
-             *[pa.list_(pa.int64())] * (SMALL + 1)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(),
+             pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()),
+             pa.list_(pa.int64()), *[pa.list_(pa.int64())] * (SMALL + 1)]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
-    def settle(known: Vocabulary, bucket: int, asked: list[tuple]) -> pa.RecordBatch:
-        keys = np.concatenate([np.cumsum(unpack(k, n, np.uint64)).astype(np.int64)
-                               for _, n, k, _ in asked])
-        counts = np.concatenate([unpack(c, n, np.uint32) for _, n, _, c in asked])
-        distinct, which = np.unique(keys, return_inverse=True)
+    def settle(known: Vocabulary, bucket: int, asked: list[dict]) -> pa.RecordBatch:
+        keys = np.concatenate([np.cumsum(unpack(r["keys"], r["n"], np.uint64)).astype(np.int64)
+                               for r in asked])
+        counts = np.concatenate([unpack(r["counts"], r["n"], np.uint32) for r in asked])
+        history, word = known.split(keys)
+        history_hash, word_hash = np.zeros((2, len(keys)), dtype=np.uint64)
+        word_n = np.zeros(len(keys), dtype=np.int64)
+        rare_history, rare_word = history == known.rare, word == known.rare
+        history_hash[rare_history] = np.concatenate(
+            [np.cumsum(unpack(r["history"], r["n_history"], np.uint64)) for r in asked])
+        word_hash[rare_word] = np.concatenate(
+            [unpack(r["word"], r["n_word"], np.uint64) for r in asked])
+        word_n[rare_word] = np.concatenate(
+            [unpack(r["word_n"], r["n_word"], np.uint32) for r in asked])
+        pair = keys.astype(np.uint64)
+        hashed = rare_history | rare_word
+        pair[hashed] = mix(mix(mix(pair[hashed]) + history_hash[hashed]) + word_hash[hashed]) | _HASHED
+        distinct, which = np.unique(pair, return_inverse=True)
         totals = np.bincount(which, weights=counts).astype(np.int64)
-        at = np.append(0, np.cumsum([n for _, n, _, _ in asked]))
-        rows = [(b, bucket, n, pack(totals[which[s:e]].astype(np.uint32)),
-                 *[None] * (SMALL + 5))
-                for (b, n, _, _), s, e in zip(asked, at[:-1], at[1:], strict=True)]
-        seen = totals > 0
-        history, word = known.split(distinct[seen])
-        totals = totals[seen]
-        if len(history):
-            begin = np.flatnonzero(np.diff(history, prepend=-1))
-            total = lambda x: np.add.reduceat(x, begin)
-            large = totals > SMALL + 1
-            rows.append((None, bucket, None, None, history[begin], total(known.unigram[word]),
-                         total(np.where(large, totals, 0).astype(float)),
-                         total(large.astype(np.int64)),
-                         *[total((totals == r).astype(np.int64)) for r in range(1, SMALL + 2)]))
+        one = np.empty(len(distinct), dtype=np.int64)  # a place of each pair
+        one[which] = np.arange(len(which))
+        one, n = one[totals > 0], totals[totals > 0]
+        code = np.where(rare_history, history_hash | _HASHED, history.astype(np.uint64))
+        histories, of = np.unique(code[one], return_inverse=True)
+        large = n > SMALL + 1
+        sums = np.stack([np.bincount(of, weights=x, minlength=len(histories)) for x in (
+            known.probability(word[one], word_n[one]), np.where(large, n, 0), large,
+            *(n == r for r in range(1, SMALL + 2)))], axis=1)
+        rows = []
+        at = np.append(0, np.cumsum([r["n"] for r in asked]))
+        for r, s, e in zip(asked, at[:-1], at[1:], strict=True):
+            got = totals[which[s:e]]
+            wanted = np.unique(code[s:e][rare_history[s:e] & (got == 0)])
+            found = np.zeros((len(wanted), _SUMS))
+            if len(histories):
+                place = np.minimum(np.searchsorted(histories, wanted), len(histories) - 1)
+                met = histories[place] == wanted
+                found[met] = sums[place[met]]
+            rows.append((r["batch"], bucket, r["n"], pack(got.astype(np.uint32)), len(wanted),
+                         pack(found.T.ravel()), *[None] * (SMALL + 5)))
+        if len(histories):
+            # All unranked histories as one, for the counts of counts.
+            ranked = int(np.searchsorted(histories, _HASHED))
+            names, table = histories[:ranked].astype(np.int64), sums[:ranked]
+            if ranked < len(histories):
+                names = np.append(names, known.rare)
+                table = np.vstack([table, sums[ranked:].sum(axis=0)])
+            rows.append((*[None, bucket], *[None] * 4, names, table[:, 0], table[:, 1],
+                         *table[:, 2:].T.astype(np.int64)))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
             schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
         known = Vocabulary(**shared.value)
-        bucket, asked = None, []
+        asked: list[dict] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != bucket and asked:
-                    yield settle(known, bucket, asked)
+            for row in batch.to_pylist():
+                if asked and row["bucket"] != asked[0]["bucket"]:
+                    yield settle(known, asked[0]["bucket"], asked)
                     asked = []
-                bucket = row[0]
-                asked.append(row[1:])
+                asked.append(row)
         if asked:
-            yield settle(known, bucket, asked)
+            yield settle(known, asked[0]["bucket"], asked)
 
     return run
 
 
 @dataclass
 class Backoff:
-    """c(h), a(h) and the discounts of pairs."""
+    """c(h) and a(h) of ranks, and the discounts of pairs."""
 
     counts: np.ndarray
     weights: np.ndarray
     discount: np.ndarray
 
-    def log_probability(self, known: Vocabulary, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        history, word = known.split(keys)
-        seen = discounted(totals, self.discount) / np.maximum(self.counts[history], 1)
-        return np.log10(np.where(totals > 0, seen, self.weights[history] * known.unigram[word]))
+    def weight(self, sums: np.ndarray) -> np.ndarray:
+        """a(h) from sums as ``answer`` gives them, 1 for a history that was not seen."""
+        unigram, large, large_n, *small = sums
+        taken, kept = large.copy(), large - LARGE_GIVES * large_n
+        for r, n in enumerate(small, 1):
+            taken += r * n
+            kept += discounted(np.array([r]), self.discount)[0] * n
+        out = (1 - kept / np.maximum(taken, 1)) / np.maximum(1 - unigram, 1e-12)
+        return np.where(taken > 0, out, 1.0)
+
+    def log_probability(self, known: Vocabulary, pairs: Pairs, totals: np.ndarray,
+                        sums: np.ndarray) -> np.ndarray:
+        """``sums`` are those of the unranked histories that back off, by bucket and hash."""
+        history, word = known.split(pairs.keys)
+        weight = self.weights[history]
+        at = np.flatnonzero((history == known.rare) & (totals == 0))
+        if len(at):
+            code, bucket = pairs.history[at] | _HASHED, pairs.bucket[at]
+            order = np.lexsort((code, bucket))
+            code, bucket = code[order], bucket[order]
+            fresh = np.append(False, (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1]))
+            weight[at[order]] = self.weight(sums)[np.cumsum(fresh)]
+        taken = np.where(history == known.rare, pairs.history_n, self.counts[history])
+        seen = discounted(totals, self.discount) / np.maximum(taken, 1)
+        return np.log10(np.where(
+            totals > 0, seen, weight * known.probability(word, pairs.word_n)))
 
 
 def backoff(counted: DataFrame, known: Vocabulary) -> Backoff:
-    """Sums per history, of which there are no more than ranks, and a(h) from them."""
+    """Sums per ranked history, all others counting as one, and a(h) from them."""
     small = [f"small_{r}" for r in range(1, SMALL + 2)]
     names = ["history", "unigram", "large", "large_n", *small]
     sums = stage(
@@ -372,49 +474,45 @@ def backoff(counted: DataFrame, known: Vocabulary) -> Backoff:
     return Backoff(counts, weights, d)
 
 
-SCORED = ("batch bigint, row int, doc_id bigint, train boolean, n_tokens bigint, known bigint, "
-          "base double, score double")
+SCORED = ("doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, "
+          "score double")
 
 
 def score(shared, weights) -> object:
-    """Each encoded batch, followed by the answers to it, to sums per text.
-
-    Rare words still lack the share that each has within their class.
-    """
+    """Each encoded batch, followed by its rare words and the answers to it, to sums per text."""
     names = [c.split()[0] for c in SCORED.split(", ")]
 
-    def settle(known: Vocabulary, model: Backoff, batch: dict, totals: dict) -> pa.RecordBatch:
-        lengths = np.asarray(batch["lengths"], dtype=np.int64)
-        keys, offsets = known.pairs(unpack(batch["ranks"], batch["n"], np.uint32), lengths)
-        distinct, which = np.unique(keys, return_inverse=True)
-        bucket = known.bucket(distinct)
-        order = np.argsort(bucket, kind="stable")
-        found = np.empty(len(distinct), dtype=np.int64)
-        found[order] = np.concatenate([totals[b] for b in np.unique(bucket)])
-        logs = model.log_probability(known, distinct, found)[which]
-        word = known.split(distinct)[1]
-        base = known.base[word][which]
-        seen = ((known.counts[word] > 0) & (word != known.rare)).astype(np.int64)[which]
-        sums = [np.add.reduceat(x, offsets[:-1]) for x in (seen, base, logs)]
-        n = len(lengths)
+    def settle(known: Vocabulary, model: Backoff, rows: list[dict]) -> pa.RecordBatch:
+        batch, answers = rows[0], [r for r in rows if r["bucket"] >= 0]
+        words = next((r for r in rows if r["bucket"] == -1), {"word": None, "word_n": None})
+        pairs, which, offsets = _pairs_of(known, batch, words["word"], words["word_n"])
+        totals = np.concatenate(
+            [unpack(r["totals"], r["n"], np.uint32) for r in answers]).astype(np.int64)
+        sums = np.concatenate(
+            [unpack(r["sums"], r["n_sums"] * _SUMS, np.float64).reshape(_SUMS, -1) for r in answers],
+            axis=1)
+        logs = model.log_probability(known, pairs, totals, sums)
+        word = known.split(pairs.keys)[1]
+        count = known.count(word, pairs.word_n)
+        base = np.log10((count + 0.5) / (known.total + 0.5 * (known.distinct + 1)))
+        seen = (count > 0).astype(np.int64)
+        sums = [np.add.reduceat(x[which], offsets[:-1]) for x in (seen, base, logs)]
         return pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, batch["batch"])), pa.array(np.arange(n, dtype=np.int32)),
             pa.array(batch["doc_id"], pa.int64()), pa.array(batch["train"], pa.bool_()),
-            pa.array(lengths + 1), *map(pa.array, sums)], names)
+            pa.array(np.diff(offsets)), *map(pa.array, sums)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
         known, model = Vocabulary(**shared.value), Backoff(**weights.value)
-        current, totals = None, {}
+        held: list[dict] = []
         for some in batches:
             for row in some.to_pylist():
-                if row["bucket"] < 0:
-                    if current:
-                        yield settle(known, model, current, totals)
-                    current, totals = row, {}
-                else:
-                    totals[row["bucket"]] = unpack(row["totals"], row["n"], np.uint32)
-        if current:
-            yield settle(known, model, current, totals)
+                if row["bucket"] == -2 and held:
+                    yield settle(known, model, held)
+                    held = []
+                held.append(row)
+        if held:
+            yield settle(known, model, held)
 
     return run
 
@@ -436,39 +534,29 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     known = vocabulary(words, learned.count(), size, parts * BUCKETS_PER_PARTITION)
     shared = spark.sparkContext.broadcast(vars(known))
     encoded = stage(docs.mapInArrow(encode(shared), ENCODED), "encoded")
-    asked = encoded.select("batch", "lengths", "train", "n", "ranks").mapInArrow(
-        ask(shared), "bucket int, batch bigint, n bigint, keys binary, counts binary")
+    # One list per batch, no longer than the batch.
+    rare = stage(
+        encoded.select("batch", F.explode("rare").alias("word")).join(words, "word")
+        .groupBy("batch").agg(F.collect_list("word").alias("word"), F.collect_list("n").alias("word_n")),
+        "rare")
+    asked = encoded.join(rare, "batch", "left").select(
+        "batch", "lengths", "train", "n", "codes", "rare", "word", "word_n").mapInArrow(
+        ask(shared), ASKED)
     counted = stage(
         asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "batch")
         .mapInArrow(answer(shared), COUNTED), "counted")
     weights = spark.sparkContext.broadcast(vars(backoff(counted, known)))
-    blank = {c: F.lit(None).cast(t) for c, t in (
-        ("doc_id", "array<bigint>"), ("train", "array<boolean>"), ("lengths", "array<bigint>"),
-        ("ranks", "binary"), ("totals", "binary"))}
-    columns = ["batch", "bucket", "n", *blank]
-    texts = encoded.withColumns({"bucket": F.lit(-1), "totals": blank["totals"]}).select(*columns)
-    answers = counted.filter("batch IS NOT NULL").withColumns(
-        {c: blank[c] for c in ("doc_id", "train", "lengths", "ranks")}).select(*columns)
-    scored = (texts.union(answers).repartition(parts, "batch").sortWithinPartitions("batch", "bucket")
-              .mapInArrow(score(shared, weights), SCORED))
-    rare = encoded.filter(F.size("rare_row") > 0).select(
-        "batch", F.explode(F.arrays_zip("rare_row", "rare_word", "rare_n")).alias("x")).select(
-        "batch", F.col("x.rare_row").alias("row"), F.col("x.rare_word").alias("word"),
-        F.col("x.rare_n").alias("times"))
-    c = F.coalesce("n", F.lit(0))
-    mass = F.when(c == 0, known.unknown).otherwise(small_count(c, known.discount)) / F.lit(
-        known.z * float(known.unigram[known.rare]))
-    each = rare.join(words, "word", "left").groupBy("batch", "row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10(
-            (c + 0.5) / (known.total + 0.5 * (known.distinct + 1)))).alias("more_base"),
-        F.sum(F.col("times") * F.log10(mass)).alias("more_score"))
-
-    def plus(column: str, more: str) -> Column:
-        return F.col(column) + F.coalesce(more, F.lit(0))
-
-    return scored.join(each, ["batch", "row"], "left").select(
-        F.col("doc_id").alias(doc_id), "train", "n_tokens",
-        plus("known", "more_known").alias("n_known"),
-        F.lit(known.total).cast("bigint").alias("train_tokens"),
-        plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score"))
+    kinds = dict(c.split() for c in f"batch bigint, bucket int, {ENCODED[14:]}, word array<bigint>, "
+                 "word_n array<bigint>, totals binary, n_sums bigint, sums binary".split(", "))
+
+    def row(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c)
+                           for c, t in kinds.items()])
+
+    rows = row(encoded.withColumn("bucket", F.lit(-2))).union(
+        row(rare.withColumn("bucket", F.lit(-1)))).union(row(counted.filter("batch IS NOT NULL")))
+    scored = rows.repartition(parts, "batch").sortWithinPartitions("batch", "bucket").mapInArrow(
+        score(shared, weights), SCORED)
+    return scored.select(
+        F.col("doc_id").alias(doc_id), "train", "n_tokens", "n_known",
+        F.lit(known.total).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -79,6 +79,18 @@ def test_against_plain_counting(spark, size):
             assert r["score"] == pytest.approx(model.score(texts[r["doc_id"]]))
 
 
+@pytest.mark.parametrize("size", [4, 0])
+def test_words_without_a_rank_keep_their_pairs(spark, size):
+    """The model is the same whatever the number of ranked words."""
+    rows = [*ROWS, (106, "cat number3 number5 sat number3 sat slept mat unseen number3"),
+            (107, "number3 number5"), (108, "slept and cat")]
+    df = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in rows], SCHEMA)
+    model = Model([t for d, t in rows if d % 3 != 1])
+    texts = dict(rows)
+    for r in score_texts(df, F.pmod("doc_id", F.lit(3)) != 1, size=size).collect():
+        assert r["score"] == pytest.approx(model.score(texts[r["doc_id"]]))
+
+
 def test_probabilities_after_each_history_sum_to_one():
     model = Model([t for _, t in ROWS])
     for h in model.follow:
