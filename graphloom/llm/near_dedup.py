@@ -13,6 +13,12 @@ one original meet the original, however many there are; and each node meets the
 agrees best with it among the next, and the previous, ``WINDOW`` nodes. Pairs of a large
 region are never all expanded.
 
+What these miss in regions with more than ``REACH`` nodes is found exactly, on full sets: in
+one fixed order of all shingles, about the rarest first, similar sets share one of their first
+n - ceil(n * percent / 100) + 1. Nodes of crowded regions are joined on these when their sizes
+allow the similarity and they are not linked yet. Rarity comes from ``SKETCH`` counters, which
+bound a broadcast; any order is exact, so collisions only make lists longer.
+
 Trees are range-partitioned by their order, so a region of any size spans tasks; what
 adjoins at a cut is compared in a second pass. Candidates are confirmed on full shingle
 sets, best ones first; a pair whose ends are linked already needs no proof. Components are
@@ -53,6 +59,7 @@ WINDOW = 32
 #: Of the DEPTH values so many must agree: similarity 0.8 has 12.8, with deviation 1.6.
 LEAST_AGREEING = 8
 CHUNK_ROWS = 1 << 16
+SKETCH = 1 << 20
 
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -300,17 +307,22 @@ def across_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = joined.rows(slice(max(0, len(joined.node) - REACH), None))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(node, n_shingles, signature) to distinct pairs a < b and their summed agreement."""
-    spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def forest_of(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(node, n_shingles, signature) to a row per tree, with ``depth`` values as key."""
     doubled = F.concat("signature", "signature")
     step = 2 * VALUES // TREES
-    forest = nodes.select(
+    return nodes.select(
         F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring(
-            doubled, step * t + 1, 2 * DEPTH).alias("key")) for t in range(TREES)])).alias("x"),
+            doubled, step * t + 1, 2 * depth).alias("key")) for t in range(TREES)])).alias("x"),
         "node", F.col("n_shingles").alias("size"),
     ).select("x.tree", "x.key", "node", "size")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(node, n_shingles, signature) to distinct pairs a < b and their summed agreement."""
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    forest = forest_of(nodes)
     order = ["tree", "key", "node"]
     met = (forest.repartitionByRange(parts, *order).sortWithinPartitions(*order)
            .withColumn("part", F.spark_partition_id()).mapInArrow(neighbours, PAIRS))
@@ -324,6 +336,72 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return stage(pairs.groupBy("a", "b").agg(F.sum("agree").alias("weight")), "candidates")
 
 
+def crowded(nodes: DataFrame) -> DataFrame:
+    """The nodes in regions with more than REACH nodes, which candidates() does not all pair."""
+    rows = forest_of(nodes, LEAST_DEPTH).select("tree", "key", "node")
+    many = stage(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > REACH).select("tree", "key"), "regions")
+    return stage(rows.join(broadcast_if_small(many, row_bytes=48), ["tree", "key"], "left_semi")
+                 .select(F.col("node").alias("doc_id")).distinct(), "crowded")
+
+
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Member lists to (slot, n): how many members fall in each slot of the sketch."""
+    counts = np.zeros(SKETCH, dtype=np.int64)
+    for batch in batches:
+        members = np.asarray(batch.column(0).flatten()).view(np.uint64)
+        counts += np.bincount((members % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
+
+
+def rarest(shared, percent: int):
+    """(node, members) to the members of which similar sets share one, with the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            keys, sizes = [], []
+            for row in batch.column(1):
+                members = np.asarray(row.values).view(np.uint64)
+                n = len(members)
+                order = np.lexsort((members, counts[(members % np.uint64(SKETCH)).astype(np.int64)]))
+                keys.append(members[order[:n + 1 + (-n * percent) // 100]].view(np.int64))
+                sizes.append(n)
+            times = [len(k) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.asarray(batch.column(0)), times)),
+                 pa.array(np.repeat(sizes, times))], ["key", "node", "size"])
+
+    return run
+
+
+def crowded_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of (node, members) that may be similar and are in different components."""
+    spark = sets.sparkSession
+    sketch = sets.select("members").mapInArrow(tally, "slot bigint, n bigint").groupBy("slot").agg(
+        F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SKETCH, dtype=np.int64)
+    counts[sketch["slot"].to_numpy()] = sketch["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+    keyed = sets.select("node", "members").mapInArrow(
+        rarest(shared, percent), "key bigint, node bigint, size bigint")
+    keyed = stage(keyed.join(labels, "node", "left").select(
+        "key", "node", "size", F.coalesce("component", "node").alias("component")), "rarest")
+    # A shingle of one component only pairs nothing.
+    mixed = keyed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    keyed = stage(keyed.join(mixed, "key", "left_semi"), "shared-rarest")
+    a = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "component")])
+    b = keyed.select(F.col("key").alias("key_b"),
+                     *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "component")])
+    met = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("node_a") < F.col("node_b"))
+                 & (F.col("component_a") != F.col("component_b"))
+                 & (F.col("size_a") * 100 >= F.col("size_b") * percent)
+                 & (F.col("size_b") * 100 >= F.col("size_a") * percent))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar."""
     def side(name: str) -> DataFrame:
@@ -383,6 +461,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             labels = stage(components(fresh.union(labels.toDF("a", "b"))), "labels")
     if labels is None:
         labels = stage(components(repeated), "labels")
+    crowd = crowded(nodes.select("node", "n_shingles", "signature"))
+    if not crowd.isEmpty():
+        sets = stage(docs.join(broadcast_if_small(crowd, row_bytes=16), "doc_id", "left_semi")
+                     .select("doc_id", "text")
+                     .mapInArrow(full_sets(words), "node bigint, members array<bigint>")
+                     .filter(F.size("members") > 0), "crowded-sets")
+        fresh = confirm(stage(crowded_pairs(sets, labels, percent), "crowded-pairs"), sets, percent)
+        if not fresh.isEmpty():
+            labels = stage(components(fresh.union(labels.toDF("a", "b"))), "labels")
     found = described.join(
         nodes.select("a", "b", "n_shingles", "node"), ["a", "b", "n_shingles"], "left")
     found = found.join(labels, "node", "left")

@@ -57,6 +57,25 @@ def test_against_brute_force(spark):
     assert all(r["kept"] == (d == r["component_id"]) for d, r in got.items())
 
 
+def test_pairs_among_many_that_are_nearly_similar(spark):
+    """A template leaves all pairs at about 0.73; planted ones are just above 0.8."""
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(170)]
+    rows = []
+    for k in range(300):
+        own = [f"u{k}x{i}" for i in range(30)]
+        rows.append(" ".join(template + own))
+        if k % 6 == 0:
+            same = rng.randint(10, 12)
+            rows.append(" ".join(template + own[:same] + [f"v{k}x{i}" for i in range(30 - same)]))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute_force(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, rows)}
+    missed = sum(got[d] != want[d] for d in want)
+    assert missed == 0, f"{missed} of {sum(c != d for d, (_, c) in want.items())} pairs missed"
+
+
 def test_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(50_000))
     rows = [(5, long), (4, long + " end"), (7, "same text here"), (7, "same text here"), (9, None),
