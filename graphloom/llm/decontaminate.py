@@ -5,9 +5,10 @@ judging by a shingle that both have: a window that is similar to an item shares
 other window can matter. Windows and items get 64-bit SimHash fingerprints of their
 shingles. A multi-index finds all items within ``RADIUS`` bits of a window: fingerprints are
 cut into ``RADIUS + 1`` blocks, of which at least one must be equal, and equal blocks of
-windows and items of equal length are joined. Candidates are verified by the exact weighted
-Jaccard similarity of their shingle sets; a shingle of an item weighs one over the number of
-items that have it, a shingle the item lacks weighs one.
+windows and items of equal length are joined. Candidates are verified by the larger of the exact
+weighted and plain Jaccard similarities of their shingle sets. In the weighted one a shingle of
+an item weighs one over the number of items that have it, a shingle the item lacks weighs one;
+so it finds what is particular to an item, and the plain one edited copies of items that repeat.
 
 Everything is built-in expressions: documents are split, their shingles exploded and hashed
 in generated code and probed against the shingles of the benchmark, which are broadcast when
@@ -140,7 +141,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         return F.aggregate(column, F.lit(0.0), lambda a, s: a + s["weight"])
 
     common = F.filter("shingles", lambda s: F.array_contains("hashes", s["hash"]))
-    value = total(common) / (total(F.col("shingles")) + F.size("hashes") - F.size(common))
+    more = F.size("hashes") - F.size(common)
+    value = F.greatest(total(common) / (total(F.col("shingles")) + more),
+                       F.size(common) / (F.size("shingles") + more))
     found = near.select("doc_id", "item_id", "start", F.col("size").alias("n_words"), "distance",
                         value.alias("similarity")).filter(F.col("similarity") >= similarity - 1e-9)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(

@@ -69,6 +69,19 @@ def test_against_brute_force(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_an_edited_copy_of_a_repeated_item(spark):
+    """One word of 60 changed leaves 51 of 61 shingles, however often the item is repeated."""
+    item = [f"w{i}" for i in range(60)]
+    text = " ".join([*"some words before".split(), *item[:30], "changed", *item[31:], "after"])
+    df = spark.createDataFrame([(1, text, "x", "y", "z")], DOCS)
+    for copies in (1, 2, 10):
+        bench = spark.createDataFrame([(i, " ".join(item)) for i in range(copies)],
+                                      "item_id bigint, text string")
+        got = {r["item_id"]: round(r["similarity"], 4) for r in leaks(df, bench).collect()}
+        assert got == {i: round(51 / 61, 4) for i in range(copies)}
+        assert decontaminate(df, bench).collect() == []
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], DOCS)
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
