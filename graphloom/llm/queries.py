@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from graphloom.llm.mixing import with_copies
 from graphloom.llm.near_dedup import near_groups
 from graphloom.llm.secrets import secrets_of
 from graphloom.llm.sharding import SHARDS, places
+from graphloom.llm.token_files import read_tokens, token_folder, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +164,11 @@ FROM r
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_folder(spark)
+    files = write_tokens(table(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, files, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
