@@ -16,7 +16,8 @@ HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("outliers", "u1"), ("unused
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+    exponent = x.astype(np.float64).view(np.uint64) >> np.uint64(52)  # 0 for 0
+    return np.maximum(exponent.astype(np.int16) - 1022, 0).astype(np.uint8)
 
 
 def encode(values: np.ndarray, percentiles: tuple[int, ...] = PERCENTILES) -> tuple[bytes, np.ndarray]:
@@ -30,14 +31,15 @@ def encode(values: np.ndarray, percentiles: tuple[int, ...] = PERCENTILES) -> tu
     full = full.reshape(count, BLOCK)
     least = full.min(axis=1)
     above = full - least[:, None]
-    ordered = np.sort(above, axis=1)
+    bits = bit_length(above)
+    ordered = np.sort(bits, axis=1)
     width, best = np.zeros(count, np.int64), np.full(count, np.iinfo(np.int64).max)
     for percent in percentiles:
-        w = bit_length(ordered[:, -(-percent * BLOCK // 100) - 1])
-        left_out = (ordered.astype(np.uint64) >> w[:, None].astype(np.uint64) != 0).sum(axis=1)
-        cost = w * (BLOCK // 8) + 5 * left_out
+        w = ordered[:, -(-percent * BLOCK // 100) - 1]
+        left_out = (ordered > w[:, None]).sum(axis=1)
+        cost = w.astype(np.int64) * (BLOCK // 8) + 5 * left_out
         width, best = np.where(cost < best, w, width), np.minimum(cost, best)
-    outlier = above.astype(np.uint64) >> width[:, None].astype(np.uint64) != 0
+    outlier = bits > width[:, None]
     outliers = outlier.sum(axis=1)
     size = HEAD.itemsize + width * (BLOCK // 8) + 5 * outliers
     start = np.cumsum(size) - size

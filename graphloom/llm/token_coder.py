@@ -18,7 +18,7 @@ import tokenizers
 #: Pieces longer than this are not worth remembering.
 LONGEST = 100
 #: Pieces remembered by a worker before it starts anew; bounds memory, not results.
-MOST_PIECES = 300_000
+MOST_PIECES = 1_000_000
 
 
 class Coder:
@@ -46,60 +46,69 @@ class Coder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
-    def remember(self, pieces: list[str], ids: list[np.ndarray]) -> None:
+    def remember(self, pieces: list[str], ids: np.ndarray, size: np.ndarray,
+                 opens: np.ndarray, closes: np.ndarray) -> None:
         first = len(self.number)
         self.number.update(zip(pieces, range(first, first + len(pieces))))
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        bare = [p[1:] if p.startswith(" ") else p for p in pieces]  # see ``learn``
         self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
-        self.ids = np.concatenate([self.ids, *ids])
-        self.opens = np.append(self.opens, [not b or b[0].isspace() for b in bare])
-        self.closes = np.append(self.closes, [not b or b[-1].isspace() for b in bare])
+        self.ids = np.append(self.ids, ids)
+        self.opens = np.append(self.opens, opens)
+        self.closes = np.append(self.closes, closes)
 
-    def learn(self, parts: list[list[str]]) -> None:
-        """Encode the new pieces. A text's first piece has no space before it; it is kept under
-        its string with a space, which no other piece contains."""
-        heads = list({p for k in parts if (p := " " + k[0]) not in self.number})
-        if heads:
-            self.remember(heads, self.library([p[1:] for p in heads]))
-        seen = set(itertools.chain.from_iterable(k[1:] for k in parts)) - self.number.keys()
-        plain = [p for p in seen if p and not p[0].isspace() and not p[-1].isspace()]
+    def learn(self, new: list[str]) -> None:
+        """Encode new pieces. A text's first piece has no space before it; it comes with a space
+        in its string, which no other piece contains."""
+        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         if plain:
             joined = ["".join(" " + p for p in plain[i:i + 2000]) for i in range(0, len(plain), 2000)]
             ids = np.concatenate(self.library(joined))
             begins = np.flatnonzero(self.after_space[ids])
             if len(begins) != len(plain):
                 raise ValueError("the tokenizer joins words across spaces")
-            self.remember(plain, np.split(ids, begins[1:]))
-        odd = list(seen.difference(plain))
+            no = np.zeros(len(plain), bool)
+            self.remember(plain, ids, np.diff(begins, append=len(ids)), no, no)
+        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
         if odd:
-            self.remember(odd, self.library([" " + p for p in odd]))
+            bare = [p[1:] if p.startswith(" ") else p for p in odd]
+            ids = self.library([b if p.startswith(" ") else " " + p for p, b in zip(odd, bare)])
+            self.remember(odd, np.concatenate(ids), np.array([len(x) for x in ids], np.int64),
+                          np.array([not b or b[0].isspace() for b in bare]),
+                          np.array([not b or b[-1].isspace() for b in bare]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.number) > MOST_PIECES:
             self.forget()
         out: list = [None] * len(texts)
-        parts, at, whole = [], [], []
+        pieces: list[str] = []
+        at, bounds, whole = [], [0], []
         for k, text in enumerate(texts):
-            pieces = text.split(" ")
-            if max(map(len, pieces)) > LONGEST:
+            own = text.split(" ")
+            if max(map(len, own)) > LONGEST:
                 whole.append(k)
             else:
-                parts.append(pieces)
+                own[0] = " " + own[0]
+                pieces += own
                 at.append(k)
-        self.learn(parts)
-        for k, pieces in zip(at, parts):
-            number = np.fromiter(map(self.number.__getitem__, pieces[1:]), np.int64, len(pieces) - 1)
-            number = np.append(self.number[" " + pieces[0]], number)
-            if (self.closes[number[:-1]] & self.opens[number[1:]]).any():
-                whole.append(k)
-                continue
+                bounds.append(len(pieces))
+        number = np.fromiter(map(self.number.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = [pieces[i] for i in np.flatnonzero(number < 0).tolist()]
+        if missing:
+            self.learn(list(dict.fromkeys(missing)))
+            number[number < 0] = np.fromiter(map(self.number.__getitem__, missing), np.int64, len(missing))
+        if at:
             size = self.size[number]
             ends = np.cumsum(size)
-            shift = np.repeat(self.start[number] - ends + size, size)
-            out[k] = self.ids[np.arange(len(shift)) + shift]
+            ids = self.ids[np.arange(int(ends[-1])) + np.repeat(self.start[number] - ends + size, size)]
+            clash = self.closes[number]
+            clash[:-1] &= self.opens[number[1:]]
+            clash[np.array(bounds[1:]) - 1] = False  # the next piece is another text's
+            clashes = np.add.reduceat(clash, bounds[:-1], dtype=np.int64)
+            for k, own, odd in zip(at, np.split(ids, ends[np.array(bounds[1:-1], np.int64) - 1]), clashes):
+                out[k] = own
+                if odd:
+                    whole.append(k)
         for k, ids in zip(whole, self.library([texts[k] for k in whole])):
             out[k] = ids
         return out
