@@ -21,9 +21,11 @@ from graphloom.llm.katz import score_texts
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.mixing import with_copies
 from graphloom.llm.near_dedup import near_groups
+from graphloom.llm.prefix_trie import paths, prefix_trie, rebuilt, turn_lists
 from graphloom.llm.secrets import secrets_of
 from graphloom.llm.sharding import SHARDS, places
 from graphloom.llm.token_files import read_tokens, token_folder, write_tokens
+from graphloom.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,6 +168,52 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = stage(turn_lists(table(spark, sf_dir, "conversations")), "turn-lists")
+    return prefix_trie(paths(rebuilt(lists)))
+
+
+# CRC-32 is folded over the decimal's bytes; nodes are joined by their whole prefixes.
+ORACLES["op11_prefix_trie"] = """
+WITH bits AS (
+  SELECT i, list_reduce(list_concat([i], range(8)), lambda c, j:
+           CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) t(i)),
+crcs AS (SELECT list(v ORDER BY i) AS tab FROM bits),
+t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT conv_id, own, conv_id - conv_id % 100 AS head_of,
+         xor(list_reduce(list_concat([4294967295],
+             list_transform(range(1, len(conv_id::VARCHAR) + 1),
+                            lambda k: ascii(substr(conv_id::VARCHAR, k, 1))::BIGINT)),
+             lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h
+  FROM t, crcs),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(list_slice(b.own, 1, h), []), list_slice(h.own, h + 1, len(h.own))) AS seq
+  FROM h LEFT JOIN t b ON b.conv_id = h.head_of),
+p AS (
+  SELECT conv_id, d, list_slice(seq, 1, d) AS pre, d = len(seq) AS ends
+  FROM r, range(10000) g(d) WHERE d <= len(seq)),
+n AS (
+  SELECT pre, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY pre, d),
+c AS (SELECT list_slice(pre, 1, depth - 1) AS pre, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (pre)),
+s AS (
+  SELECT list_slice(pre, 1, g.d) AS pre, count(*) FILTER (n_children = 0) AS n_leaves,
+         sum(CASE WHEN depth > 0 THEN (n_convs - 1) * length(pre[depth].t) ELSE 0 END) AS saved
+  FROM m, range(10000) g(d) WHERE g.d <= depth GROUP BY 1)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves,
+       s.saved::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN s USING (pre) LEFT JOIN n u ON m.depth > 0 AND u.pre = list_slice(m.pre, 1, m.depth - 1)
+"""
+
+
 @query
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_folder(spark)

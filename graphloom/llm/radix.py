@@ -176,36 +176,36 @@ def summaries(tree: RadixTree, width: int, amount, begins, goes_on):
 
     A stored string ends with ``(count, least)``. ``amount(item)`` is a number that every
     string below a prefix has for the prefix's last item. Rows are lists of item depth, ends
-    or None, count, least, children, leaves, total, and the row number of the parent: count
-    and least of the strings below, the prefixes one item longer, the prefixes below that
-    nothing continues, and the sum over prefixes below of amount times count, less one amount
-    for each prefix that begins here. ``begins(node, depth)`` says whether a prefix counts as
+    or None, count, least, children, leaves, total, the row number of the parent, and whether the
+    prefix is new: count and least of the strings below, the new prefixes one item longer, the
+    prefixes below that nothing continues, and the sum over prefixes below of amount times
+    count, less one amount for each new prefix. ``begins(node, depth)`` says whether a prefix counts as
     new, ``goes_on(node, depth)`` whether strings outside this tree may continue it.
     """
     rows: list[list] = []
     # Post-order without recursion: a conversation may be longer than the stack is deep.
-    stack = [(tree.root, 0, None, None)]
+    stack = [(tree.root, 0, b"", None, None)]
     while stack:
-        node, start, state, above = stack.pop()
+        node, start, tail, state, above = stack.pop()  # tail: the part of an item before the label
         stop = start + len(node.label)
         if state is None:
             state = [0, None, 0, 0, []]  # count, least, leaves, total, prefixes just below
-            stack.append((node, start, state, above))
+            stack.append((node, start, tail, state, above))
+            rest = stop % width
+            after = (tail + node.label)[-rest:] if rest else b""
             for _, child in reversed(node.pairs()):
-                stack.append((child, stop, None, state))
+                stack.append((child, stop, after, None, state))
             continue
         count, least, leaves, total, below = state
         ends = node.ends
         if ends is not None:
             count += ends[0]
             least = ends[1] if least is None else min(least, ends[1])
-        first = start if start else -1  # the root itself is the prefix of no items
         depth = stop // width
-        while depth * width > first:
+        # The root itself is the prefix of no items.
+        while depth * width > start or node is tree.root and depth == 0:
             at = depth * width - start
-            item = node.label[at - width:at] if at >= width else None
-            if item is None and depth:  # the item began in labels above
-                item = tree_item(node, at, width, above)
+            item = node.label[at - width:at] if at >= width else tail + node.label[:at]
             new = begins(node, depth)
             size = amount(item) if depth else 0
             total += size * count - (size if new else 0)
