@@ -25,6 +25,7 @@ from graphloom.llm.prefix_trie import paths, prefix_trie, rebuilt, turn_lists
 from graphloom.llm.secrets import secrets_of
 from graphloom.llm.sharding import SHARDS, places
 from graphloom.llm.token_files import read_tokens, token_folder, write_tokens
+from graphloom.llm.whitening import whitened_rows
 from graphloom.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,6 +215,11 @@ FROM m JOIN s USING (pre) LEFT JOIN n u ON m.depth > 0 AND u.pre = list_slice(m.
 """
 
 
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_folder(spark)
