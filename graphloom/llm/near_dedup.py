@@ -356,28 +356,39 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rarest(shared, percent: int):
-    """(node, members) to the members of which similar sets share one, with the set's size."""
+    """(node, members) to the members of which similar sets share one: their position in the
+    set's order, the set's size, and whether a set of this size or larger must meet it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, short = [], [], []
             for row in batch.column(1):
                 members = np.asarray(row.values).view(np.uint64)
                 n = len(members)
                 order = np.lexsort((members, counts[(members % np.uint64(SKETCH)).astype(np.int64)]))
                 keys.append(members[order[:n + 1 + (-n * percent) // 100]].view(np.int64))
                 sizes.append(n)
+                short.append(n + 1 + (-2 * n * percent) // (100 + percent))
             times = [len(k) for k in keys]
+            at = np.concatenate([np.arange(t) for t in times])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.asarray(batch.column(0)), times)),
-                 pa.array(np.repeat(sizes, times))], ["key", "node", "size"])
+                 pa.array(np.repeat(sizes, times)), pa.array(at), pa.array(at < np.repeat(short, times))],
+                ["key", "node", "size", "at", "short"])
 
     return run
 
 
 def crowded_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of (node, members) that may be similar and are in different components."""
+    """All pairs of (node, members) that may be similar and are in different components, with
+    the count of rare members on which they met.
+
+    Of two similar sets the smaller one has a common member among its short list of rarest
+    ones, the larger one among its longer list. At the first common one the members that
+    follow must still suffice for the similarity. What a template's documents share comes
+    late in their order and so pairs nothing.
+    """
     spark = sets.sparkSession
     sketch = sets.select("members").mapInArrow(tally, "slot bigint, n bigint").groupBy("slot").agg(
         F.sum("n").alias("n")).toArrow()
@@ -385,21 +396,27 @@ def crowded_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     counts[sketch["slot"].to_numpy()] = sketch["n"].to_numpy()
     shared = spark.sparkContext.broadcast(counts)
     keyed = sets.select("node", "members").mapInArrow(
-        rarest(shared, percent), "key bigint, node bigint, size bigint")
+        rarest(shared, percent), "key bigint, node bigint, size bigint, at bigint, short boolean")
     keyed = stage(keyed.join(labels, "node", "left").select(
-        "key", "node", "size", F.coalesce("component", "node").alias("component")), "rarest")
-    # A shingle of one component only pairs nothing.
+        "key", "node", "size", "at", "short", F.coalesce("component", "node").alias("component")), "rarest")
+    # A shingle of one component only, or in no short list, pairs nothing.
     mixed = keyed.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.max("short").alias("any_short")).filter("low < high AND any_short").select("key")
     keyed = stage(keyed.join(mixed, "key", "left_semi"), "shared-rarest")
-    a = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "component")])
-    b = keyed.select(F.col("key").alias("key_b"),
-                     *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "component")])
-    met = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("node_a") < F.col("node_b"))
+    columns = ("node", "size", "at", "component")
+    a = keyed.filter("short").select("key", *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = keyed.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    size = F.col("size_a") + F.col("size_b")
+    most = 1 + F.least(F.col("size_a") - 1 - F.col("at_a"), F.col("size_b") - 1 - F.col("at_b"))
+    smaller = (F.col("size_a") < F.col("size_b")) | (
+        (F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b")))
+    met = a.join(b, (F.col("key") == F.col("key_b")) & smaller
                  & (F.col("component_a") != F.col("component_b"))
                  & (F.col("size_a") * 100 >= F.col("size_b") * percent)
-                 & (F.col("size_b") * 100 >= F.col("size_a") * percent))
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+                 & (most * (100 + percent) >= size * percent))
+    return met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("weight"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -414,29 +431,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                  .select("a", "b").distinct(), "confirmed")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
-                percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    prepare(spark)
-    docs = pick(docs, [doc_id, text]).toDF("doc_id", "text").withColumn(
-        "doc_id", F.col("doc_id").cast("bigint"))
-    described = stage(docs.mapInArrow(
-        describe(words), "doc_id bigint, n_shingles bigint, a bigint, b bigint, signature binary"),
-        "signatures")
-    filled = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = stage(filled.groupBy("a", "b", "n_shingles").agg(
-        F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "nodes")
-    pairs = candidates(nodes.select("node", "n_shingles", "signature"))
-    involved = stage(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "involved")
-    sets = stage(docs.join(broadcast_if_small(involved, row_bytes=16), "doc_id", "left_semi")
-                 .select("doc_id", "text")
-                 .mapInArrow(full_sets(words), "node bigint, members array<bigint>"), "sets")
-    # Sets that share an id are linked by it.
-    linked = filled.join(nodes.select("a", "b", "n_shingles", "node"), ["a", "b", "n_shingles"]) \
-        .filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    repeated = linked.join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
-    labels = None
+def link(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None, repeated: DataFrame,
+         percent: int) -> DataFrame:
+    """Components after all ``pairs`` (a, b, weight): best ones are confirmed first, one for
+    each node and component and then a few, and pairs that are linked by then need no proof."""
     for most in (1, 4, None):
         left = pairs
         for end in ("a", "b"):
@@ -459,17 +457,40 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         elif not fresh.isEmpty():
             # What was linked before comes back as stars, which need few turns.
             labels = stage(components(fresh.union(labels.toDF("a", "b"))), "labels")
-    if labels is None:
-        labels = stage(components(repeated), "labels")
+    return stage(components(repeated), "labels") if labels is None else labels
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
+                percent: int = PERCENT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    spark = docs.sparkSession
+    prepare(spark)
+    docs = pick(docs, [doc_id, text]).toDF("doc_id", "text").withColumn(
+        "doc_id", F.col("doc_id").cast("bigint"))
+    described = stage(docs.mapInArrow(
+        describe(words), "doc_id bigint, n_shingles bigint, a bigint, b bigint, signature binary"),
+        "signatures")
+    filled = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    nodes = stage(filled.groupBy("a", "b", "n_shingles").agg(
+        F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "nodes")
+    pairs = candidates(nodes.select("node", "n_shingles", "signature"))
+    involved = stage(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "involved")
+    sets = stage(docs.join(broadcast_if_small(involved, row_bytes=16), "doc_id", "left_semi")
+                 .select("doc_id", "text")
+                 .mapInArrow(full_sets(words), "node bigint, members array<bigint>"), "sets")
+    # Sets that share an id are linked by it.
+    linked = filled.join(nodes.select("a", "b", "n_shingles", "node"), ["a", "b", "n_shingles"]) \
+        .filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    repeated = linked.join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
+    labels = link(pairs, sets, None, repeated, percent)
     crowd = crowded(nodes.select("node", "n_shingles", "signature"))
     if not crowd.isEmpty():
         sets = stage(docs.join(broadcast_if_small(crowd, row_bytes=16), "doc_id", "left_semi")
                      .select("doc_id", "text")
                      .mapInArrow(full_sets(words), "node bigint, members array<bigint>")
                      .filter(F.size("members") > 0), "crowded-sets")
-        fresh = confirm(stage(crowded_pairs(sets, labels, percent), "crowded-pairs"), sets, percent)
-        if not fresh.isEmpty():
-            labels = stage(components(fresh.union(labels.toDF("a", "b"))), "labels")
+        labels = link(stage(crowded_pairs(sets, labels, percent), "crowded-pairs"), sets, labels,
+                      repeated, percent)
     found = described.join(
         nodes.select("a", "b", "n_shingles", "node"), ["a", "b", "n_shingles"], "left")
     found = found.join(labels, "node", "left")

@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from graphloom.llm.graph import components
+from graphloom.llm import near_dedup
 from graphloom.llm.near_dedup import near_groups
 
 SCHEMA = "doc_id bigint, text string, component_id string, node int, a string"
@@ -76,6 +79,50 @@ def test_pairs_among_many_that_are_nearly_similar(spark):
     assert missed == 0, f"{missed} of {sum(c != d for d, (_, c) in want.items())} pairs missed"
 
 
+def template_pairs(spark, n):
+    """Candidate pairs, each with its joined rows, of n documents of one template."""
+    rng = random.Random(n)
+    sets = []
+    for k in range(n):
+        own = [rng.getrandbits(62) for _ in range(30)]
+        sets.append((2 * k, sorted([*range(170), *own])))
+        if k % 6 == 0:
+            near = own[:20] + [rng.getrandbits(62) for _ in range(10)]
+            sets.append((2 * k + 1, sorted([*range(170), *near])))
+    df = spark.createDataFrame(sets, "node bigint, members array<bigint>")
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    return near_dedup.crowded_pairs(df, none, 80).collect(), dict(sets)
+
+
+def test_joined_rows_of_a_template_grow_with_its_documents(spark):
+    rows = {}
+    for n in (300, 600):
+        pairs, sets = template_pairs(spark, n)
+        rows[n] = sum(r["weight"] for r in pairs)
+        found = {(r["a"], r["b"]) for r in pairs}
+        assert {(2 * k, 2 * k + 1) for k in range(0, n, 6)} <= found  # 190 of 210
+        assert len(found) <= 2 * n  # and hardly any other pair
+    assert rows[600] <= 2.5 * rows[300]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_positions_lose_no_similar_pair(spark, percent):
+    rng = random.Random(percent)
+    sets = []
+    for k in range(60):
+        base = rng.sample(range(400), rng.randint(3, 60))
+        for _ in range(4):
+            some = [x for x in base if rng.random() > rng.choice([0, 0.03, 0.1])]
+            some += rng.sample(range(400), rng.choice([0, 0, 1, 3]))
+            sets.append((len(sets), sorted(set(some)) or [k]))
+    df = spark.createDataFrame(sets, "node bigint, members array<bigint>")
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    found = {(r["a"], r["b"]) for r in near_dedup.crowded_pairs(df, none, percent).collect()}
+    similar = {(a, b) for a, x in sets for b, y in sets if a < b
+               and 100 * len({*x} & {*y}) >= percent * len({*x} | {*y})}
+    assert similar and not similar - found
+
+
 def test_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(50_000))
     rows = [(5, long), (4, long + " end"), (7, "same text here"), (7, "same text here"), (9, None),
