@@ -409,8 +409,7 @@ FROM (SELECT user_id, event_type, props, epoch_us(ts) AS step,
         lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS previous FROM events)
 WHERE previous IS NOT NULL""")
 def flow_chain(spark, sf_dir) -> DataFrame:
-    day = F.floor(F.col("step") / (86_400 * 1_000_000))
-    edges = rules.flow_edges(_event_steps(spark, sf_dir), ["user_id"], day)
+    edges = rules.flow_edges(_event_steps(spark, sf_dir), ["user_id"])
     return edges.select(F.col("ord.doc").alias("user_id"), F.col("ord.pos").alias("step"),
                         "from_id", "to_id", F.col("prov.quote").alias("quote"))
 
@@ -466,6 +465,31 @@ def domain_tags(spark, sf_dir) -> DataFrame:
     return tagged.select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
+@query("domain_tags_table", """
+WITH r AS (
+  SELECT * FROM (VALUES ('alpha', 1, 'tion'), ('alpha', 1, 'the '), ('beta', 2, 'der'), ('beta', 2, 'und'),
+                        ('gamma', 3, 'ción'), ('en', 4, 're')) v(domain, rank, keyword)
+  UNION ALL SELECT lower(n_name), 10 + n_nationkey, lower(substr(n_name, 1, 3)) FROM nation),
+d AS (
+  SELECT doc_id, [lang, source] AS own,
+         lower(text || ' ' || source || ' ' || lang || ' ' || source) AS x FROM documents),
+f AS (
+  SELECT doc_id, own, domain, min(rank) AS rank FROM d JOIN r ON contains(x, keyword)
+  WHERE NOT list_contains(own, domain) GROUP BY ALL)
+SELECT doc_id, concat_ws(',', array_to_string(any_value(d.own), ','),
+                         string_agg(domain, ',' ORDER BY rank, domain)) AS tags
+FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
+def domain_tags_table(spark, sf_dir) -> DataFrame:
+    """Rules as rows: those of the rule table and one for each nation."""
+    listed = spark.createDataFrame(
+        [(d, k + 1, w) for k, (d, words) in enumerate(TAG_RULES.items()) for w in words],
+        "domain string, rank int, keyword string")
+    named = Tables(spark, sf_dir).nation.select(
+        F.lower("n_name"), (F.col("n_nationkey") + 10).cast("int"), F.lower(F.substring("n_name", 1, 3)))
+    tagged = rules.tag_by_rules(_tag_nodes(spark, sf_dir), listed.union(named))
+    return tagged.select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
 @query("tag_filter", f"""
 WITH {DOMAIN_TAGS_SQL} SELECT doc_id FROM tagged WHERE ',' || tags || ',' LIKE '%,beta,%'""")
 def tag_filter(spark, sf_dir) -> DataFrame:

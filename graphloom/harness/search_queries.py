@@ -171,6 +171,24 @@ def keyword_documents(spark, sf_dir) -> DataFrame:
     return substring_pairs(texts, "_text", words, "word").select("doc_id", "word")
 
 
+@query("keyword_many", """
+WITH k AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM benchmark
+           UNION SELECT lower(c_name) FROM customer
+           UNION SELECT lower(c_name) || ' x' FROM customer)
+SELECT word, count(*)::BIGINT AS n, min(doc_id) AS first_doc
+FROM documents JOIN k ON contains(lower(text), word) WHERE word <> '' GROUP BY word""")
+def keyword_many(spark, sf_dir) -> DataFrame:
+    """Thousands of words in whole document texts, through the gram index."""
+    tables = Tables(spark, sf_dir)
+    words = tables.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("word")).union(
+        tables.customer.select(F.lower("c_name"))).union(
+        tables.customer.select(F.concat(F.lower("c_name"), F.lit(" x")))).distinct()
+    texts = tables.spread("documents", "doc_id", "text").select(
+        "doc_id", F.lower("text").alias("_text"))
+    return substring_pairs(texts, "_text", words, "word", few=100).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
 def _web_edges(tables):
     """Each page is followed by the next one; every page belongs to its section's first."""
     nodes = tables.pages

@@ -13,6 +13,8 @@ from graphloom.harness.base import (
 from graphloom.operators import check, manifest, refine
 from graphloom.schema import Graph
 from graphloom.session import checkpoint_dir
+from graphloom.plans.compile import CompileOptions
+from graphloom.plans.incremental import IncrementalGraph, graph_stream
 from graphloom.streaming import ingest
 
 
@@ -221,3 +223,70 @@ def stream_ingest(spark, sf_dir) -> DataFrame:
         ingest.ingest_stream(texts, f"{base}/out", f"{base}/progress").awaitTermination()
     latest = ingest.read_latest_docs(spark, f"{base}/out")
     return latest.select("rel_path", "section", "content_hash")
+
+
+def _graph_texts(docs: DataFrame) -> DataFrame:
+    """(rel_path, text, url, section): documents as pages that use a term of their language and
+    link to the document ``goal``."""
+    key, lang = F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("none"))
+    text = F.concat(
+        F.lit("---\ntitle: Doc "), key, F.lit("\n---\nUses {{< glossary_tooltip text=\"it\" term_id=\""), lang,
+        F.lit("\" >}} and [that](/docs/d/"), F.col("goal").cast("string"), F.lit("/).\n## About "),
+        F.coalesce("source", F.lit("none")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return docs.select(F.concat(F.lit("d/"), key, F.lit(".md")).alias("rel_path"), text.alias("text"),
+                       F.lit(None).cast("string").alias("url"), F.lit("d").alias("section"))
+
+
+def _graph_terms(docs: DataFrame) -> DataFrame:
+    lang = F.coalesce("lang", F.lit("none"))
+    return docs.select(lang.alias("term")).distinct().select(
+        F.concat(F.lit("reference/glossary/"), "term", F.lit(".md")).alias("rel_path"),
+        F.concat(F.lit("---\ntitle: Term "), "term", F.lit("\nid: "), "term", F.lit("\n---\nIt.\n")).alias("text"),
+        F.lit(None).cast("string").alias("url"), F.lit("reference").alias("section"))
+
+
+@query("stream_graph", r"""
+WITH p AS (
+  SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+         CASE WHEN doc_id % 100 = 3 THEN doc_id // 3 ELSE doc_id // 2 END AS goal, text
+  FROM documents WHERE doc_id % 10 <> 9),
+g AS (SELECT DISTINCT coalesce(lang, 'none') AS lang FROM documents),
+h AS (
+  SELECT doc_id, unnest(list_concat(['About ' || source],
+           regexp_extract_all(coalesce(text, ''), '(?m)^###?[ \t]+([^\n]+)', 1))) AS heading FROM p),
+s AS (
+  SELECT doc_id, heading, CASE WHEN x = '' THEN 'untitled' ELSE x END AS slug FROM (
+    SELECT *, trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-') AS x FROM h))
+SELECT 'node' AS item, 'page:d/' || doc_id AS key, 'Doc ' || doc_id AS label, 1::BIGINT AS n_prov FROM p
+UNION ALL SELECT 'node', 'gloss:' || lang, 'Term ' || lang, 1 FROM g
+UNION ALL SELECT 'node', 'concept:' || slug, NULL, 1 FROM s GROUP BY slug
+UNION ALL SELECT 'edge', 'page:d/' || doc_id || ' references gloss:' || lang, 'it', 1 FROM p
+UNION ALL SELECT 'edge', 'page:d/' || p.doc_id || ' links_to page:d/' || goal, '/docs/d/' || goal || '/', 1
+  FROM p SEMI JOIN p q ON q.doc_id = p.goal
+UNION ALL SELECT 'edge', 'page:d/' || doc_id || ' part_of concept:' || slug, 'describes', count(*)
+  FROM s GROUP BY doc_id, slug""")
+def stream_graph(spark, sf_dir) -> DataFrame:
+    """A graph kept up with a stream: first most documents, then some are added, some rewritten
+    and a tenth deleted. Nodes and edges of documents as the last batch left them."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    docs = Tables(spark, sf_dir).documents
+    half = docs.withColumn("goal", F.floor(F.col("doc_id") / 2))
+    changed = docs.filter(F.col("doc_id") % 100 == 3).withColumn("goal", F.floor(F.col("doc_id") / 3))
+    gone = _graph_texts(half.filter(F.col("doc_id") % 10 == 9)).withColumn("text", F.lit(None).cast("string"))
+    batches = [_graph_texts(half.filter(F.col("doc_id") % 50 != 7)),
+               _graph_terms(docs).union(_graph_texts(half.filter(F.col("doc_id") % 50 == 7)))
+               .union(_graph_texts(changed)).union(gone)]
+    graph = IncrementalGraph(spark, f"{base}/graph", CompileOptions(version="stream"), buckets=8)
+    columns = "rel_path STRING, text STRING, url STRING, section STRING"
+    for rows in batches:
+        rows.write.mode("append").parquet(f"{base}/in")
+        texts = spark.readStream.schema(columns).parquet(f"{base}/in")
+        graph_stream(texts, f"{base}/docs", f"{base}/progress", graph, buckets=8).awaitTermination()
+    found = graph.graph()
+    of_docs = F.col("id").startswith("page:") | F.col("id").startswith("gloss:") | F.col("id").startswith("concept:")
+    nodes = found.nodes.filter(of_docs).select(
+        F.lit("node").alias("item"), F.col("id").alias("key"),
+        F.when(F.col("type") != "concept", F.col("title")).alias("label"), "n_prov")
+    edges = found.edges.filter(F.col("from_id").startswith("page:")).select(
+        F.lit("edge"), F.concat_ws(" ", "from_id", "type", "to_id"), "label", "n_prov")
+    return nodes.union(edges)

@@ -7,6 +7,8 @@ that every document mentions reaches the join once per document at most.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,14 +175,15 @@ def headings(docs: DataFrame) -> DataFrame:
     )
 
 
-def concept_nodes(found: DataFrame, version: str = "unknown") -> DataFrame:
-    """One candidate per heading slug: the first document's heading wins.
+def concept_nodes(found: DataFrame, version: str = "unknown",
+                  keys: Sequence[str] = ("slug",)) -> DataFrame:
+    """One candidate per heading slug (per ``keys``): the first document's heading wins.
 
     Only the first use of a heading is evidence for the concept, so the grouping
     yields finished candidates of constant size.
     """
     o = s.ordinal(s.PHASE_PAGE, "rel_path", F.col("pos") + 1)
-    first = found.withColumn("ord", o).groupBy("slug").agg(
+    first = found.withColumn("ord", o).groupBy(*keys).agg(
         F.min_by(F.struct("rel_path", "url", "section", "heading", "line"), "ord").alias("f"),
         F.min("ord").alias("ord"))
     return s.node_candidates(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import schema as s
-from graphloom.operators.skew import previous_in_order, skewed_join, small
+from graphloom.operators.skew import lag_in_order, skewed_join, small, substring_pairs
 from graphloom.seeds import CONTROLLED_BY, DOMAIN_KEYWORDS
 
 # Where the documented facts come from.
@@ -132,16 +132,39 @@ def domain_tags(text: Column, rules: Mapping[str, Sequence[str]] = DOMAIN_KEYWOR
     return F.array_compact(F.array(*hits))
 
 
+def tagging_text() -> Column:
+    return F.lower(F.concat_ws(
+        " ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")),
+        F.array_join("tags", " ")))
+
+
 def tag_by_keywords(nodes: DataFrame,
                     rules: Mapping[str, Sequence[str]] = DOMAIN_KEYWORDS) -> DataFrame:
     """Append the domain tags a node's title, summary and tags call for."""
-    text = F.lower(F.concat_ws(
-        " ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")),
-        F.array_join("tags", " ")))
-    new = F.array_except(domain_tags(text, rules), F.col("tags"))
+    new = F.array_except(domain_tags(tagging_text(), rules), F.col("tags"))
     return nodes.withColumn("tags", F.concat("tags", new))
 
 
+def tag_by_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """:func:`tag_by_keywords` with a table of rules (domain, rank, keyword) of any size.
+
+    ``rank`` orders the domains; a domain's first rank counts. Keywords are compared with
+    the lower-cased text as they are. Rows without a domain or keyword are no rules.
+    """
+    usable = rules.filter("domain IS NOT NULL AND keyword <> ''").select("domain", "rank", "keyword")
+    rows = nodes.withColumn("_text", tagging_text())
+    pairs = substring_pairs(rows.select("_text").distinct(), "_text", usable, "keyword")
+    first = pairs.groupBy("_text", "domain").agg(F.min("rank").alias("rank"))
+    # As long as the list of domains.
+    found = first.groupBy(F.col("_text").alias("_of")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "domain"))).alias("_found"))
+    named = F.transform(F.coalesce("_found", F.expr("CAST(array() AS array<struct<rank:int,domain:string>>)")),
+                        lambda x: x["domain"])
+    tagged = skewed_join(rows.withColumn("_of", F.col("_text")), found, "_of", "left")
+    return tagged.withColumn("tags", F.concat("tags", F.array_except(named, F.col("tags")))).select(
+        *nodes.columns)
+
+
 def flow_id(actor: Column) -> Column:
     return F.concat(F.lit("flow:"), F.translate(actor, "/ ", "__"))
 
@@ -164,16 +187,13 @@ def flow_nodes(steps: DataFrame, version: str = "unknown",
     )
 
 
-def flow_edges(steps: DataFrame, keys: Sequence[str] = (), bucket: Column | None = None,
-               source: str = SITE_SOURCE) -> DataFrame:
+def flow_edges(steps: DataFrame, keys: Sequence[str] = (), source: str = SITE_SOURCE) -> DataFrame:
     """previous actor -> actor candidates along each chain of steps.
 
-    ``keys`` separates chains and ``step`` orders them. ``bucket`` (non-decreasing
-    in step) cuts long chains into pieces that are processed independently.
+    ``keys`` separates chains and ``step`` orders them; actors of one step follow each other
+    by name. Chains may be of any length.
     """
-    if bucket is None:
-        bucket = F.floor(F.col("step") / 100_000)
-    chained = previous_in_order(steps, keys, F.col("step"), bucket, "actor", "previous")
+    chained = lag_in_order(steps, keys, ["step", "actor"], "actor", "previous")
     return s.edge_candidates(
         chained.filter(F.col("previous").isNotNull()),
         from_id=flow_id(F.col("previous")), to_id=flow_id(F.col("actor")),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, stage
 
 BROADCAST_ROWS = 100_000
 DEFAULT_SALTS = 8
@@ -166,15 +166,49 @@ def previous_in_order(df: DataFrame, keys: Sequence[str], order: Column, bucket:
     ).drop("_ord", "_bucket", "_prev", "_first", "_carry")
 
 
+def lag_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
+                 partitions: int | None = None) -> DataFrame:
+    """``lag(value)`` within ``keys`` by ``order`` for groups of any size.
+
+    Rows are range-partitioned by (keys, order), so a hot group spans many tasks, however its
+    order is spread. The lag is taken inside each piece; a group's first row of a piece takes
+    the last value of the group's piece before, found on one summary row per group and piece,
+    which skips pieces that the group does not reach. Repeated rows of one order follow each
+    other in the order of ``value``. A table that is proven small is not cut.
+    """
+    order = [*order, *([value] if value not in order else [])]
+    bound = row_bound(df)
+    if bound is not None and bound <= BROADCAST_ROWS:
+        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = checkpoint(
+        df.repartitionByRange(n, *keys, *order).withColumn("_piece", F.spark_partition_id()))
+    group = [*keys, "_piece"]
+    inside = Window.partitionBy(*group).orderBy(*order)
+    rows = pieces.withColumn("_prev", F.lag(value).over(inside)).withColumn(
+        "_first", F.row_number().over(inside) == 1)
+    # A struct, as the last value itself may be null.
+    last = pieces.groupBy(*group).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    # At most ``n`` pieces per group: this window is bounded by the partition count.
+    across = Window.partitionBy(*keys).orderBy("_piece")
+    carried = last.withColumn("_carry", F.lag("_last").over(across)).filter(
+        F.col("_carry").isNotNull()).drop("_last")
+    renamed = {c: f"_k{i}" for i, c in enumerate(group)}
+    cond = F.lit(True)
+    for c, k in renamed.items():
+        cond = cond & F.col(c).eqNullSafe(F.col(k))
+    joined = rows.join(carried.withColumnsRenamed(renamed), cond, "left")
+    found = F.when(F.col("_first"), F.col(f"_carry.{value}")).otherwise(F.col("_prev"))
+    return joined.select(*df.columns, found.alias(out))
+
+
 def substring_pairs(texts: DataFrame, text: str, patterns: DataFrame, pattern: str,
                     few: int = 1_000, gram: int = 4) -> DataFrame:
     """All (text row, pattern row) pairs where the pattern occurs in the text.
 
     Up to ``few`` patterns (counted first, of 256 characters on average at most) go to
     every task as one array, and each text is tested in place: linear in the text, no
-    shuffle. More patterns are joined: a text sends its distinct grams of ``gram``
-    characters, a pattern its first one, and what meets is verified. Patterns shorter
-    than that are joined on themselves.
+    shuffle. More patterns go through an inverted index of grams (:func:`indexed_pairs`).
     """
     t, p = F.col(text), F.col(pattern)
     filled = patterns.filter(F.length(p) > 0)
@@ -187,13 +221,59 @@ def substring_pairs(texts: DataFrame, text: str, patterns: DataFrame, pattern: s
         return texts.withColumn("_all", listed).select(
             *texts.columns, F.explode(inside).alias("_pattern")).select(
             *texts.columns, "_pattern.*")
+    return indexed_pairs(texts, text, filled, pattern, sorted(known["sizes"]))
+
+
+def grams_of(text: Column, sizes: Sequence[int]) -> Column:
+    """The distinct substrings of the given lengths, in time linear in the text."""
+    def from_place(items: Column, place: int) -> Column:
+        return F.slice(items, F.lit(place), F.size(items))
+
+    chars = F.split(text, "")
+    of_size = {1: chars}
+    for n in range(2, max(sizes) + 1):
+        # Two shorter grams side by side; past the end one of them is missing.
+        half = n // 2
+        of_size[n] = F.array_compact(F.zip_with(
+            of_size[n - half], from_place(of_size[half], n - half + 1), lambda x, y: F.concat(x, y)))
+    return F.array_distinct(F.concat(*[of_size[n] for n in sizes]))
+
 
-    def grams(n: int) -> Column:
-        last = F.length(t) - n + 1
-        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
+def gram_index(texts: DataFrame, text: str, grams: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """(_tid, _gram): which texts hold which of the wanted ``grams`` (_gram).
 
-    parts = F.array_distinct(F.concat(*[grams(n) for n in sorted(known["sizes"])]))
-    split = texts.withColumn("_part", F.explode(parts))
-    keyed = filled.withColumn("_part", F.substring(p, 1, gram))
-    return split.join(keyed, "_part").drop("_part").filter(F.contains(t, p))
+    A text is known by a digest here; its characters leave the task only as grams that some
+    pattern has.
+    """
+    held = texts.select(F.md5(text).alias("_tid"), F.explode(grams_of(F.col(text), sizes)).alias("_gram"))
+    return skewed_join(held, grams, "_gram", "left_semi", salt_by=["_tid"]).distinct()
+
+
+def indexed_pairs(texts: DataFrame, text: str, patterns: DataFrame, pattern: str,
+                  sizes: Sequence[int]) -> DataFrame:
+    """The pairs of :func:`substring_pairs` for many patterns, none of them empty.
+
+    A pattern is looked up by its rarest gram, by counted texts; the texts that hold it are
+    fetched again, each once with the patterns to verify, so no text is in an exploded row.
+    Grams are as long as the longest of ``sizes``, or the whole of a shorter pattern.
+    """
+    longest = max(sizes)
+    known = patterns.select(F.col(pattern).alias("_pattern")).distinct()
+    size = F.least(F.length("_pattern"), F.lit(longest))
+    parts = F.transform(F.sequence(F.lit(1), F.length("_pattern") - size + 1),
+                        lambda i: F.substring(F.col("_pattern"), i, size))
+    of_pattern = stage(known.select("_pattern", F.explode(F.array_distinct(parts)).alias("_gram")),
+                       "pattern-grams")
+    index = stage(gram_index(texts, text, of_pattern.select("_gram").distinct(), sizes), "gram-index")
+    counts = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("n"))
+    # A gram that no text has rules its pattern out.
+    rarest = of_pattern.join(counts, "_gram", "left").groupBy("_pattern").agg(
+        F.min_by("_gram", F.struct(F.coalesce("n", F.lit(0)), "_gram")).alias("_gram"))
+    survivors = skewed_join(index, rarest, "_gram", "inner", salt_by=["_tid"])
+    # As long as the patterns that share a text's rare grams.
+    wanted = survivors.groupBy("_tid").agg(F.collect_list("_pattern").alias("_patterns"))
+    again = skewed_join(texts.withColumn("_tid", F.md5(text)), wanted, "_tid", "inner")
+    inside = F.filter("_patterns", lambda x: F.contains(F.col(text), x))
+    hits = again.select(*texts.columns, F.explode(inside).alias("_pattern"))
+    return skewed_join(hits, patterns.withColumn("_pattern", F.col(pattern)), "_pattern", "inner").drop(
+        "_pattern")

@@ -41,43 +41,43 @@ def terms_of(glossary: DataFrame) -> DataFrame:
     return glossary.select(term.alias("term_id"), F.col("id").alias("term_node")).distinct()
 
 
-def compile_graph(spark: SparkSession, docs: DataFrame, spec: DataFrame | None = None,
-                  options: CompileOptions | None = None) -> Graph:
-    """Build, enrich, merge and prune the graph of a corpus.
+Parts = tuple[list[DataFrame], list[DataFrame]]
 
-    Three tables are staged in the shared folder: the parsed documents (text work
-    is done once, later readers prune columns) and the candidate nodes and edges
-    (each feeds both its fact and its evidence table).
+
+def document_parts(docs: DataFrame, opt: CompileOptions, terms: DataFrame, targets: DataFrame,
+                   kinds: DataFrame | None, per_document: bool = False) -> Parts:
+    """Node and edge candidates that documents (with ``fm``) give rise to, before tagging.
+
+    References resolve to ``terms`` and links to ``targets`` (rel_path). ``per_document``
+    leaves one concept candidate for each document that has the heading.
     """
-    opt = options or CompileOptions()
-    docs = stage(b.with_front_matter(docs), "docs")
     pages = docs.filter(~b.is_glossary())
     body_max = opt.body_max_chars if opt.trim_bodies else None
-
-    glossary = b.glossary_nodes(docs, opt.version)
     page_rows = b.page_nodes(docs, opt.version, body_max)
-    terms = terms_of(glossary)
     found = b.headings(pages)
-
-    nodes = [glossary, page_rows, b.concept_nodes(found, opt.version)]
-    edges = [
-        b.reference_edges(pages, terms), b.define_edges(pages, terms),
-        b.link_edges(pages, pages), b.part_of_edges(found),
-    ]
+    keys = ("slug", "rel_path") if per_document else ("slug",)
+    nodes = [b.glossary_nodes(docs, opt.version), page_rows, b.concept_nodes(found, opt.version, keys)]
+    edges = [b.reference_edges(pages, terms), b.define_edges(pages, terms),
+             b.link_edges(pages, targets), b.part_of_edges(found)]
     if opt.begin_sections:
-        edges.append(b.before_you_begin_edges(pages, terms, pages))
+        edges.append(b.before_you_begin_edges(pages, terms, targets))
+    if kinds is not None:
+        titles = page_rows.select("id", "title", F.col("meta.rel_path").alias("rel_path"), "url")
+        edges.append(b.api_for_edges(titles, kinds))
+    return nodes, edges
+
 
+def fixed_parts(spark: SparkSession, spec: DataFrame | None, opt: CompileOptions) -> Parts:
+    """Candidates that no document changes: of the API description and the rule tables."""
+    nodes, edges = [], []
     if spec is not None:
         definitions = spec_definitions(spec)
         kinds = b.api_kinds(definitions)
         paths = b.api_paths(spec_operations(spec), opt.literal_group_tag)
         objects = b.api_object_nodes(definitions, opt.version)
-        page_titles = page_rows.select("id", "title", F.col("meta.rel_path").alias("rel_path"),
-                                       "url")
         nodes += [objects, b.api_path_nodes(paths, opt.version)]
         edges += [
             b.path_exposes_edges(paths, kinds),
-            b.api_for_edges(page_titles, kinds),
             rules.ownership_edges(rules.objects_by_title(objects), seeds.ownership(spark)),
             b.type_ref_edges(definitions, kinds),
             rules.requires_edges(
@@ -88,12 +88,32 @@ def compile_graph(spark: SparkSession, docs: DataFrame, spec: DataFrame | None =
               rules.component_nodes(seeds.components(spark), opt.version)]
     edges += [rules.component_edges(seeds.components(spark)),
               rules.flow_edges(seeds.apply_steps(spark))]
+    return nodes, edges
 
-    # Flow nodes come after tagging and get no domain tags.
-    tagged = rules.tag_by_keywords(_union(nodes))
-    candidates = tagged.unionByName(rules.flow_nodes(seeds.apply_steps(spark), opt.version))
-    node_rows = stage(candidates, "node-candidates")
-    edge_rows = stage(_union(edges), "edge-candidates")
+
+def tagged(spark: SparkSession, nodes: list[DataFrame], opt: CompileOptions,
+           flows: bool = True) -> DataFrame:
+    """All node candidates with their domain tags; flow nodes come after tagging and get none."""
+    rows = rules.tag_by_keywords(_union(nodes))
+    return rows.unionByName(rules.flow_nodes(seeds.apply_steps(spark), opt.version)) if flows else rows
+
+
+def compile_graph(spark: SparkSession, docs: DataFrame, spec: DataFrame | None = None,
+                  options: CompileOptions | None = None) -> Graph:
+    """Build, enrich, merge and prune the graph of a corpus.
+
+    Three tables are staged in the shared folder: the parsed documents (text work
+    is done once, later readers prune columns) and the candidate nodes and edges
+    (each feeds both its fact and its evidence table).
+    """
+    opt = options or CompileOptions()
+    docs = stage(b.with_front_matter(docs), "docs")
+    kinds = None if spec is None else b.api_kinds(spec_definitions(spec))
+    terms = terms_of(b.glossary_nodes(docs, opt.version))
+    nodes, edges = document_parts(docs, opt, terms, docs.filter(~b.is_glossary()), kinds)
+    more_nodes, more_edges = fixed_parts(spark, spec, opt)
+    node_rows = stage(tagged(spark, nodes + more_nodes, opt), "node-candidates")
+    edge_rows = stage(_union(edges + more_edges), "edge-candidates")
 
     graph = Graph(
         nodes=refine.dedupe_nodes(node_rows),

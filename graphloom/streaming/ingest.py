@@ -1,10 +1,11 @@
 """Incremental ingestion with Structured Streaming.
 
 Each micro-batch is compared with the manifest and only new or changed documents
-are written. Both tables are partitioned by batch id and a batch overwrites its
-own partitions, so a batch that is run again after a failure has the same effect
-once. The comparison is an anti-join with the manifest table rather than
-streaming state, which would grow with every document ever seen.
+are written. Manifest and documents are state tables (:mod:`graphloom.sources.state`):
+a batch adds the rows of its documents, readers see the newest ones, and older ones are
+folded away, so a run reads the live rows and a few deltas however many runs there were.
+A batch that is run again after a failure has the same effect once. The comparison is an
+anti-join with the manifest table rather than streaming state.
 
 A file stream sees every path once. Where files are rewritten in place or deleted,
 ``sync_corpus`` compares a listing with the manifest instead: each run is one batch.
@@ -15,86 +16,83 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom import schema as s
 from graphloom.operators.manifest import changed_docs
 from graphloom.session import stage
 from graphloom.sources.corpus import docs_from_texts, markdown_texts, relative_path
+from graphloom.sources.state import StateTable
 
-MANIFEST = "rel_path STRING, content_hash STRING, batch BIGINT"
+MANIFEST = T.StructType([T.StructField("rel_path", T.StringType()),
+                         T.StructField("content_hash", T.StringType())])
+LISTING = "rel_path STRING, modificationTime TIMESTAMP, length BIGINT, batch BIGINT"
 
 
-def _read(spark: SparkSession, path: str, layout: object) -> DataFrame | None:
-    try:
-        return spark.read.schema(layout).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def manifest_table(spark: SparkSession, target: str, **options: int) -> StateTable:
+    return StateTable(spark, f"{target}/manifest", MANIFEST, ["rel_path"], **options)
 
 
-def read_manifest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """(rel_path, content_hash): the latest state of every document that is there."""
-    rows = _read(spark, f"{target}/manifest", MANIFEST)
-    if rows is None:
-        return None
-    if before is not None:
-        rows = rows.filter(F.col("batch") < before)
-    # A deleted document has a row without a hash.
-    return rows.groupBy("rel_path").agg(
-        F.max_by(F.coalesce("content_hash", F.lit("")), "batch").alias("content_hash")
-    ).filter(F.col("content_hash") != "")
+def docs_table(spark: SparkSession, target: str, **options: int) -> StateTable:
+    return StateTable(spark, f"{target}/docs", s.DOCS, ["rel_path"], **options)
 
 
-def read_latest_docs(spark: SparkSession, target: str) -> DataFrame | None:
-    """The current version of every ingested document."""
-    layout = f"{_ddl()}, batch BIGINT"
-    rows = _read(spark, f"{target}/docs", layout)
-    if rows is None:
-        return None
-    names = s.DOCS.fieldNames()
-    latest = rows.groupBy("rel_path").agg(
-        F.max_by(F.struct(*names), "batch").alias("d")).select("d.*")
-    return latest.join(read_manifest(spark, target).select("rel_path"), "rel_path", "left_semi")
+def read_manifest(spark: SparkSession, target: str, before: int | None = None,
+                  **options: int) -> DataFrame:
+    """(rel_path, content_hash) of every document that is there."""
+    return manifest_table(spark, target, **options).read(before)
 
 
-def _ddl() -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.DOCS.fields)
+def read_latest_docs(spark: SparkSession, target: str, **options: int) -> DataFrame:
+    """The current version of every ingested document."""
+    return docs_table(spark, target, **options).read()
 
 
 def one_per_path(texts: DataFrame) -> DataFrame:
-    """The last delivery of each path in a batch, by ``seq``; without it the greatest text."""
-    if "seq" not in texts.columns:
-        texts = texts.withColumn("seq", F.col("text"))
-    rest = [c for c in texts.columns if c != "rel_path"]
-    last = texts.groupBy("rel_path").agg(F.max_by(F.struct(*rest), "seq").alias("r"))
-    return last.select("rel_path", "r.*").drop("seq")
+    """The last delivery of each path in a batch, by ``seq``.
 
-
-def write_batch(texts: DataFrame, batch_id: int, target: str,
-                deleted: DataFrame | None = None) -> None:
+    Without ``seq`` nothing says which delivery is the last, so different ones are an error.
+    """
+    rest = [c for c in texts.columns if c not in ("rel_path", "seq")]
+    if "seq" in texts.columns:
+        last = texts.groupBy("rel_path").agg(F.max_by(F.struct(*rest), "seq").alias("r"))
+        return last.select("rel_path", "r.*")
+    code = F.xxhash64(*rest)
+    found = texts.groupBy("rel_path").agg(
+        F.first(F.struct(*rest)).alias("r"), (F.min(code) != F.max(code)).alias("differ"))
+    message = F.concat(F.lit("a batch has several versions of "), "rel_path",
+                       F.lit("; give their order in a column seq"))
+    checked = F.when(F.col("differ"), F.raise_error(message)).otherwise(F.col("rel_path"))
+    return found.select(checked.alias("rel_path"), "r.*")
+
+
+def write_batch(texts: DataFrame, batch_id: int, target: str, deleted: DataFrame | None = None,
+                **options: int) -> tuple[DataFrame, DataFrame]:
     """Ingest one micro-batch of (rel_path, text, url, section[, seq]).
 
-    ``deleted`` (rel_path) are documents that are gone.
+    Rows without a text, and the paths in ``deleted`` (rel_path), are documents that are gone.
+    Returns the documents that are new or changed, and the paths of those and the deleted ones.
     """
     spark = texts.sparkSession
-    docs = docs_from_texts(one_per_path(texts))
-    changed = changed_docs(read_manifest(spark, target, before=batch_id), docs)
-    out = f"{target}/docs/batch={batch_id}"
-    changed.select(*s.DOCS.fieldNames()).write.mode("overwrite").parquet(out)
-    written = spark.read.schema(_ddl()).parquet(out)
-    states = written.select("rel_path", "content_hash")
+    latest = one_per_path(texts)
+    manifest = manifest_table(spark, target, **options)
+    docs = docs_from_texts(latest.filter(F.col("text").isNotNull()))
+    known = manifest.read(before=batch_id, wanted=latest.select("rel_path"))
+    changed = stage(changed_docs(known, docs).select(*s.DOCS.fieldNames()), "changed-docs")
+    gone = latest.filter(F.col("text").isNull()).select("rel_path")
     if deleted is not None:
-        states = states.unionByName(
-            deleted.select("rel_path", F.lit(None).cast("string").alias("content_hash")))
-    states.write.mode("overwrite").parquet(f"{target}/manifest/batch={batch_id}")
+        gone = gone.union(deleted.select("rel_path"))
+    keys = stage(changed.select("rel_path").union(gone).distinct(), "changed-paths")
+    docs_table(spark, target, **options).write(batch_id, changed, keys)
+    manifest.write(batch_id, changed.select("rel_path", "content_hash"), keys)
+    return changed, keys
 
 
-def ingest_stream(texts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def ingest_stream(texts: DataFrame, target: str, checkpoint: str, **options: int) -> StreamingQuery:
     """Start ingesting a streaming DataFrame of texts; stops when caught up."""
     return (
-        texts.writeStream.foreachBatch(lambda df, batch: write_batch(df, batch, target))
+        texts.writeStream.foreachBatch(lambda df, batch: write_batch(df, batch, target, **options))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
@@ -123,8 +121,7 @@ def sync_corpus(spark: SparkSession, root: str, target: str) -> int:
 
     listed = stage(markdown("binaryFile").load(root).select(
         relative_path(root).alias("rel_path"), "modificationTime", "length"), "listing")
-    before = _read(spark, f"{target}/listing", "rel_path STRING, modificationTime TIMESTAMP, "
-                   "length BIGINT, batch BIGINT")
+    before = _read(spark, f"{target}/listing", LISTING)
     batch, files, deleted = 0, markdown("text").option("wholetext", "true"), None
     if before is not None:
         batch = before.agg(F.max("batch")).first()[0] + 1

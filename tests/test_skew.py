@@ -2,6 +2,9 @@
 
 import random
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +52,22 @@ def test_previous_in_order(hot, width):
         last[k] = v
 
 
+@pytest.mark.parametrize("partitions", [1, 5, 40])
+def test_lag_in_order_with_a_hot_key_and_repeated_steps(spark, partitions):
+    """One key has nine tenths of the rows; a step occurs several times, values may be null."""
+    rows = [(None if i % 10 else i % 7, i // 3, None if i % 5 == 0 else f"v{i % 4}") for i in range(900)]
+    df = spark.createDataFrame(rows, "k INT, o INT, v STRING")
+    got = sorted(map(tuple, skew.lag_in_order(df, ["k"], ["o"], "v", "p", partitions).collect()), key=str)
+    want, last = [], {}
+    for k, o, v in sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or "")):
+        want.append((k, o, v, last.get(k)))
+        last[k] = v
+    assert got == sorted(want, key=str)
+    pieces = df.repartitionByRange(partitions, "k", "o", "v").withColumn("p", F.spark_partition_id())
+    if partitions == 40:
+        assert max(r["count"] for r in pieces.groupBy("p").count().collect()) < 900 / 8
+
+
 @pytest.mark.parametrize("salts", [None, 1, 5])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_skewed_join(spark, hot, how, salts):
@@ -197,3 +216,26 @@ def test_hot_partitions_are_split_at_run_time(spark):
                 spark.conf.unset(name)
             else:
                 spark.conf.set(name, setting)
+
+
+def test_many_patterns_through_the_gram_index(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc é") for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    texts += [texts[0], None, "", "hot " * 50]
+    patterns = list({t[i:i + n] for t in texts if t for i in range(0, 100, 9) for n in (1, 3, 4, 9)} - {""})
+    patterns += [f"absent{i}" for i in range(2000 - len(patterns))] + ["", None, texts[3], texts[3]]
+    assert len(patterns) >= 2000
+    left = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    right = spark.createDataFrame(list(enumerate(patterns)), "j INT, p STRING")
+    got = sorted((r["i"], r["j"]) for r in skew.substring_pairs(left, "t", right, "p").collect())
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(patterns)
+                         if t is not None and p and p in t)
+
+
+def test_exploded_grams_carry_no_text(spark):
+    left = spark.createDataFrame([(1, "a text")], "i INT, t STRING")
+    grams = spark.createDataFrame([("a te",)], "_gram STRING")
+    plan = skew.gram_index(left, "t", grams, [4])._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if "Generate" in x)
+    # Generate(explode, pruned child columns, ...): the text is among the pruned ones.
+    assert re.search(r"Generate explode\(.*\), \[[0-9, ]+\]", line), line
