@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import language
-from graphloom.llm.common import broadcast_if_small, prepare
+from graphloom.llm.common import broadcast_if_small, fresh, prepare
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.mixing import mix
 from graphloom.llm.near_dedup import near_groups
@@ -30,16 +30,18 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drop texts in no known language; the filters are learned from the labelled rows."""
     prepare(spark)
     model = language.learn(docs)
-    found = language.language_of(model, F.col("text"), docs)
-    known = (F.col("_found.lang_pred") != language.UNKNOWN) & (F.col("_found.score") >= LEAST_KNOWN)
-    return docs.withColumn("_found", found).filter(known).select(*docs.columns)
+    name = fresh(docs, "_found")
+    found = F.col(name)
+    known = (found["lang_pred"] != language.UNKNOWN) & (found["score"] >= LEAST_KNOWN)
+    return docs.withColumn(name, language.language_of(model, F.col("text"), docs)).filter(known).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, the one with the smallest id."""
+    name = fresh(docs, "_copy")
     copies = stage(near_groups(docs).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_copy")).distinct(), "copies")
-    return docs.join(broadcast_if_small(copies, row_bytes=16), F.col("doc_id") == F.col("_copy"),
+        F.col("doc_id").alias(name)).distinct(), "copies")
+    return docs.join(broadcast_if_small(copies, row_bytes=16), F.col("doc_id") == F.col(name),
                      "left_anti")
 
 
