@@ -35,6 +35,14 @@ def crc(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have; names ignore case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pick(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the named columns, so that columns the caller adds cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import broadcast_if_small, pick
+from graphloom.llm.common import broadcast_if_small, fresh, pick
 from graphloom.session import configure, stage
 
 SHINGLE = 5
@@ -156,7 +156,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                   **options) -> DataFrame:
     """The documents in which no benchmark item was found."""
+    leaked = fresh(docs, "_leaked")
     found = stage(leaks(docs, benchmark, doc_id=doc_id, **options).select(
-        F.col(doc_id).alias("_leaked")).distinct(), "leaked")
+        F.col(doc_id).alias(leaked)).distinct(), "leaked")
     return docs.join(broadcast_if_small(found, row_bytes=16),
-                     F.col(doc_id).eqNullSafe(F.col("_leaked")), "left_anti")
+                     F.col(doc_id).eqNullSafe(F.col(leaked)), "left_anti")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import broadcast_if_small
+from graphloom.llm.common import broadcast_if_small, fresh
 from graphloom.operators.skew import exact_rank
 from graphloom.session import configure, stage
 
@@ -74,28 +74,29 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS,
 
 def with_copies(docs: DataFrame, source: str = "source", text: str = "text",
                 doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS,
-                most: float = MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """``docs`` with one struct ``_mix``: size, source_size, target, copies."""
+                most: float = MOST_COPIES, seed: str = SEED, into: str = "_mix") -> DataFrame:
+    """``docs`` with one struct ``into``: size, source_size, target, copies."""
     configure(docs.sparkSession)
+    of, goal = fresh(docs, "_source"), fresh(docs, "_target")
     size = word_count(F.col(text))
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
     targets = source_targets(sizes, weights, most).select(
-        F.col("source").alias("_source"), F.struct("source_size", "target").alias("_target")
+        F.col("source").alias(of), F.struct("source_size", "target").alias(goal)
     )
-    rate = F.when(F.col("_target.source_size") > 0,
-                  F.col("_target.target") / F.col("_target.source_size")).otherwise(0.0)
+    total, target = F.col(goal)["source_size"], F.col(goal)["target"]
+    rate = F.when(total > 0, target / total).otherwise(0.0)
     whole = F.floor(rate)
     extra = (unit_draw(F.col(doc_id), seed) < rate - whole).cast("bigint")
     joined = docs.join(broadcast_if_small(targets),
-                       F.col(source).eqNullSafe(F.col("_source")))
-    return joined.withColumn("_mix", F.struct(
-        size.alias("size"), F.col("_target.source_size").alias("source_size"),
-        F.col("_target.target").alias("target"), (whole + extra).alias("copies"),
-    )).drop("_source", "_target")
+                       F.col(source).eqNullSafe(F.col(of)))
+    return joined.withColumn(into, F.struct(
+        size.alias("size"), total.alias("source_size"), target.alias("target"),
+        (whole + extra).alias("copies"))).drop(of, goal)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as its source's rate says."""
-    copies = F.array_repeat(F.lit(True), F.col("_mix.copies").cast("int"))
-    return (with_copies(docs, **options).withColumn("_copy", F.explode(copies))
-            .drop("_copy", "_mix"))
+    into, copy = fresh(docs, "_mix"), fresh(docs, "_copy")
+    copies = F.array_repeat(F.lit(True), F.col(into)["copies"].cast("int"))
+    return (with_copies(docs, into=into, **options).withColumn(copy, F.explode(copies))
+            .drop(copy, into))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import fresh
 from graphloom.operators.skew import exact_rank
 from graphloom.session import configure, stage
 
@@ -69,14 +70,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id: str =
     configure(docs.sparkSession)
     docs = docs.drop("shard", "slot")
     columns = docs.columns
-    hashed = docs.withColumn("_hash", content_hash(columns)).withColumn(
-        "_key", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+    key, content = fresh(docs, "_key"), fresh(docs, "_hash")
+    hashed = docs.withColumn(content, content_hash(columns)).withColumn(
+        key, F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
     where = places(
-        hashed.select(F.col("_key").alias("id"), F.col(source).alias("source"),
-                      F.col("_hash").alias("content")), shards, seed)
-    where = where.select(F.col("id").alias("_key"), F.col("content").alias("_hash"),
+        hashed.select(F.col(key).alias("id"), F.col(source).alias("source"),
+                      F.col(content).alias("content")), shards, seed)
+    where = where.select(F.col("id").alias(key), F.col("content").alias(content),
                          "shard", "slot")
-    distinct = hashed.groupBy("_key", "_hash").agg(
+    distinct = hashed.groupBy(key, content).agg(
         *[F.first(F.col(f"`{c}`")).alias(c) for c in columns])
-    return distinct.join(where, ["_key", "_hash"]).select(
+    return distinct.join(where, [key, content]).select(
         *[F.col(f"`{c}`") for c in columns], "shard", "slot")

@@ -86,3 +86,21 @@ def test_pipeline_runs_all_stages(spark, tmp_path):
         .write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in rows} <= set(range(12)) - {7} and rows
+
+
+def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    names = ["_source", "_target", "_mix", "_copy", "_key", "_hash", "_leaked", "_found", "_Copy_"]
+    docs = spark.createDataFrame(
+        [(i, f"some plain words of text number {i} and a few more {i * 7}", "en", f"s{i % 2}", 40,
+          *[f"{n}{i}" for n in names]) for i in range(12)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint, "
+        + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(1, "nothing of it is here at all")], "item_id bigint, text string") \
+        .write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, apply in corpus_pipeline.STAGES:
+        before = docs
+        apply(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns[:len(before.columns)] == before.columns, name
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
