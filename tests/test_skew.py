@@ -1,7 +1,5 @@
 """Building blocks on inputs where one key holds a third of the rows and more."""
 
-import random
-
 import random
 import re
 
