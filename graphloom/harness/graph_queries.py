@@ -278,7 +278,8 @@ WITH RECURSIVE {ENTITY_EDGES_SQL}, walk AS (
   JOIN e ON e.to_id = w.ancestor AND e.type = 'prerequisite_of')
 SELECT id, ancestor, depth FROM walk""")
 def prereq_chain(spark, sf_dir) -> DataFrame:
-    return paths.prerequisite_chain(entity_edges(Tables(spark, sf_dir)))
+    edges = entity_edges(Tables(spark, sf_dir))
+    return paths.prerequisite_chain(edges, edges.select(F.col("to_id").alias("id")))
 
 
 @query("prereq_chain_of", f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import schema as s
 from graphloom.functions import text as t
-from graphloom.operators.skew import exact_rank, skewed_join, small, top_per_group
+from graphloom.operators.skew import DEFAULT_SALTS, exact_rank, skewed_join, small, top_per_group
 from graphloom.operators.stats import degree_counts
 from graphloom.seeds import (
     FLOW_ORDER, RELATION_ORDER, SITE_ROUTES, SITE_SECTIONS, TYPE_SECTION)
@@ -201,8 +201,8 @@ def sections(nodes: DataFrame) -> DataFrame:
 
 
 def sample_per_type(facts: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """The first ``n`` facts of every type, by ordinal and key."""
-    return top_per_group(facts, ["type"], [F.asc("ord"), F.asc(key)], n)
+    """The first ``n`` facts of every type, by ordinal and key; types are few."""
+    return top_per_group(facts, ["type"], [F.asc("ord"), F.asc(key)], n, salts=DEFAULT_SALTS)
 
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame, n: int,

@@ -91,12 +91,19 @@ def _bytes(text: str) -> int:
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-                  rank: str = "rank") -> DataFrame:
+                  rank: str = "rank", salts: int = 1) -> DataFrame:
     """The first ``n`` rows of every group with their 1-based rank.
 
     ``row_number() <= n`` lets Spark cut each group to ``n`` rows before the
-    shuffle (WindowGroupLimit), so a hot group sends at most n rows per map task.
+    shuffle (WindowGroupLimit), so a hot group sends at most n rows per map task. Where groups
+    are few, ``salts`` lets so many tasks share what a group's map tasks have sent; the last
+    task then ranks ``n`` rows of each. ``order`` must be total for the ranks to be certain.
     """
+    if salts > 1:
+        salted = df.withColumn("_salt", F.spark_partition_id() % salts)
+        inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = salted.withColumn("_rank_in_salt", F.row_number().over(inner)).filter(
+            F.col("_rank_in_salt") <= n).drop("_salt", "_rank_in_salt")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,19 +38,58 @@ DIAMOND = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("d", "d"
 def test_chain_and_levels(spark):
     edges = edges_of(spark, DIAMOND)
     chain = {(r["id"], r["ancestor"]): r["depth"] for r in
-             paths.prerequisite_chain(edges).collect()}
+             paths.prerequisite_chain(edges, everything(edges)).collect()}
     assert {k: v for k, v in chain.items() if k[0] == "e"} == {
         ("e", "d"): 1, ("e", "b"): 2, ("e", "c"): 2, ("e", "a"): 3}
     levels = {r["id"]: r["level"] for r in paths.learning_levels(edges).collect()}
     assert levels == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3}
 
 
-def test_cycles_end_and_have_no_level(spark):
+def everything(edges):
+    return edges.select(F.col("to_id").alias("id"))
+
+
+def test_cycles_end_and_share_a_level(spark):
     edges = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("a", "x")])
-    chain = {(r["id"], r["ancestor"]) for r in paths.prerequisite_chain(edges).collect()}
+    chain = {(r["id"], r["ancestor"]) for r in
+             paths.prerequisite_chain(edges, everything(edges)).collect()}
     assert ("b", "b") in chain and ("d", "a") in chain and len(chain) == 10
     levels = {r["id"]: r["level"] for r in paths.learning_levels(edges).collect()}
-    assert levels == {"a": 0, "x": 1, "b": None, "c": None, "d": None}
+    assert levels == {"a": 0, "x": 1, "b": 1, "c": 1, "d": 2}
+
+
+def brute_components(pairs):
+    nodes = {x for p in pairs for x in p}
+    reach = {n: {n} for n in nodes}
+    while True:
+        size = sum(map(len, reach.values()))
+        for a, b in pairs:
+            for n in nodes:
+                if a in reach[n]:
+                    reach[n].add(b)
+        if size == sum(map(len, reach.values())):
+            return {n: frozenset(m for m in reach[n] if n in reach[m]) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_and_levels_of_cyclic_graphs(spark, seed):
+    rng = random.Random(seed)
+    pairs = list({(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(16)})
+    pairs = [p for p in pairs if p[0] != p[1]] + [("p", "q"), ("q", "n1")]
+    want = brute_components(pairs)
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    groups = {}
+    for r in paths.strong_components(df).collect():
+        groups.setdefault(r["component"], set()).add(r["id"])
+    assert {frozenset(g) for g in groups.values()} == set(want.values())
+    assert all(name in members for name, members in groups.items())
+    level = dict.fromkeys(want.values(), 0)
+    for _ in level:  # longest ways on the condensation
+        for a, b in pairs:
+            if want[a] != want[b]:
+                level[want[b]] = max(level[want[b]], level[want[a]] + 1)
+    got = {r["id"]: r["level"] for r in paths.learning_levels(edges_of(spark, pairs)).collect()}
+    assert got == {n: level[g] for n, g in want.items()}
 
 
 def test_paths(spark):
@@ -59,7 +99,27 @@ def test_paths(spark):
     assert paths.path_between(edges, "e", "a", directed=True).isEmpty()
     assert paths.path_between(edges, "a", "e", max_hops=2).isEmpty()
     line = edges_of(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(12)])
-    assert paths.path_between(line, "n00", "n12").first()["hops"] == 12
+    trace = []
+    assert paths.path_between(line, "n00", "n12", trace=trace).first()["hops"] == 12
+    assert len(trace) == 12 and {side for side, _ in trace} == {True, False}
+
+
+def test_both_ends_search_and_the_smaller_one_expands(spark):
+    """A hub's leaves are not expanded, and the smallest of equal paths is found."""
+    pairs = [("hub", f"leaf{i}") for i in range(200)] + [("hub", "m1"), ("hub", "m2"), ("m1", "end"), ("m2", "end")]
+    trace = []
+    found = paths.path_between(edges_of(spark, pairs), "leaf7", "end", trace=trace).first()
+    assert (found["hops"], found["path"]) == (3, ["leaf7", "hub", "m1", "end"])
+    assert [side for side, _ in trace] == [True, False, True]
+    rng = random.Random(3)
+    some = list({(f"v{rng.randrange(30):02}", f"v{rng.randrange(30):02}") for _ in range(45)})
+    edges = edges_of(spark, some)
+    for directed in (True, False):
+        want = {r["id"]: (r["hops"], r["path"]) for r in
+                paths.shortest_paths_from(edges, "v00", directed=directed).collect()}
+        for end in ("v00", "v07", "v19", "none"):
+            row = paths.path_between(edges, "v00", end, directed=directed).first()
+            assert (row and (row["hops"], row["path"])) == want.get(end)
 
 
 def test_pruning(spark):

@@ -85,6 +85,16 @@ def test_top_per_group_cuts_before_the_shuffle(hot):
     assert top.filter("k = 0").count() == 3
 
 
+def test_few_groups_are_ranked_by_many_tasks(spark):
+    df = spark.range(4000, numPartitions=64).select(F.lit("one").alias("k"), (F.col("id") * 7919 % 4000).alias("o"))
+    plain = skew.top_per_group(df, ["k"], [F.asc("o")], 20).collect()
+    salted = skew.top_per_group(df, ["k"], [F.asc("o")], 20, salts=8)
+    assert sorted(salted.collect()) == sorted(plain) == [("one", i, i + 1) for i in range(20)]
+    # 64 tasks send 20 rows each; the last exchange carries 20 rows of each of 8 salts.
+    inner = salted._jdf.queryExecution().executedPlan().toString()
+    assert inner.count("WindowGroupLimit") >= 4
+
+
 def test_substring_pairs_against_brute_force(spark):
     rng = random.Random(3)
     letters = "abcd "
