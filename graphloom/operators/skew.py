@@ -252,7 +252,10 @@ def gram_index(texts: DataFrame, text: str, grams: DataFrame, sizes: Sequence[in
     A text is known by a digest here; its characters leave the task only as grams that some
     pattern has.
     """
-    held = texts.select(F.md5(text).alias("_tid"), F.explode(grams_of(F.col(text), sizes)).alias("_gram"))
+    # Inlined first: the digest is then a column of its own, computed once for each text, and
+    # the second generator drops the list of grams it explodes.
+    both = F.struct(F.md5(text).alias("_tid"), grams_of(F.col(text), sizes).alias("_grams"))
+    held = texts.select(F.inline(F.array(both))).select("_tid", F.explode("_grams").alias("_gram"))
     return skewed_join(held, grams, "_gram", "left_semi", salt_by=["_tid"]).distinct()
 
 

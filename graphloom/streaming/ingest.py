@@ -30,6 +30,15 @@ MANIFEST = T.StructType([T.StructField("rel_path", T.StringType()),
 LISTING = "rel_path STRING, modificationTime TIMESTAMP, length BIGINT, batch BIGINT"
 
 
+def _read(spark: SparkSession, path: str, layout: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(layout).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def manifest_table(spark: SparkSession, target: str, **options: int) -> StateTable:
     return StateTable(spark, f"{target}/manifest", MANIFEST, ["rel_path"], **options)
 
