@@ -220,8 +220,8 @@ def stream_ingest(spark, sf_dir) -> DataFrame:
             F.lit(None).cast("string").alias("url"), F.col("lang").alias("section"),
         ).write.mode("append").parquet(f"{base}/in")
         texts = spark.readStream.schema(", ".join(columns)).parquet(f"{base}/in")
-        ingest.ingest_stream(texts, f"{base}/out", f"{base}/progress").awaitTermination()
-    latest = ingest.read_latest_docs(spark, f"{base}/out")
+        ingest.ingest_stream(texts, f"{base}/out", f"{base}/progress", buckets=8).awaitTermination()
+    latest = ingest.read_latest_docs(spark, f"{base}/out", buckets=8)
     return latest.select("rel_path", "section", "content_hash")
 
 
