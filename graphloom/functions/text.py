@@ -8,6 +8,8 @@ groups so that long texts do not exhaust the regex stack.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +30,15 @@ ADMONITIONS = ["note", "warning", "caution", "tip"]
 _TAIL = r"((?:\s+[^>]*?)?)(?:\s*/)?\s*>\}\}"
 _INLINE = r"\{\{<\s*(" + "|".join(INLINE_SHORTCODES) + ")" + _TAIL
 _OPENER = r"\{\{<\s*([a-zA-Z_]+)" + _TAIL
-# One token: a standalone shortcode, an opener with its block (if it is closed),
-# a run of plain text, or a lone brace. Group 4 names the block being closed.
-_TOKEN = r"(?sU)" + _INLINE + "|" + _OPENER + r"(?:.*?\{\{< /\3 >\}\})?|[^{]+|\{"
+_CLOSER = r"\{\{< /([a-zA-Z_]+) >\}\}"
+# Put behind the ``{{<`` of an opener that no closer follows. ``\\s`` does not match it,
+# and one that a text brings along is doubled first.
+_MARK = "\x01"
+_ALONE = r"\{\{<\x01\s*[a-zA-Z_]+" + _TAIL
+# One token: a standalone shortcode, an opener known to have no closer, an opener with its
+# block, a run of plain text, a mark or a lone brace. Group 4 names the block being closed.
+_TOKEN = (r"(?sU)" + _INLINE.replace("<", r"<\x01?", 1) + "|" + _ALONE + "|" + _OPENER
+          + r"(?:.*?\{\{< /\4 >\}\})?|[^{]+|\{\{<\x01+|\{")
 
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
 
@@ -72,15 +80,68 @@ def shortcode_attrs(raw: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, last))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _cut_after_last(text: Column, end: str | Column,
+                    use: Callable[[Column, Column], Column]) -> Column:
+    """``use(head, tail)``: the text up to its last ``end``, and what follows.
+
+    A pattern that must finish with ``end`` cannot begin in the tail. Searching there
+    would run to the end of the text from every possible beginning.
+    """
+    end = F.lit(end) if isinstance(end, str) else end
+    return _let(F.call_function("substring_index", text, end, F.lit(-1)), lambda tail: use(
+        F.substring(text, F.lit(1), F.length(text) - F.length(tail)), tail))
+
+
 def clean_delimiters(body: Column) -> Column:
     """Unify both shortcode delimiters and drop HTML comments."""
     body = F.replace(F.replace(body, F.lit("{{%"), F.lit("{{<")), F.lit("%}}"), F.lit(">}}"))
-    return F.regexp_replace(body, HTML_COMMENT, "")
+    return _let(body, lambda x: F.when(~F.contains(x, F.lit("<!--")), x).otherwise(
+        _cut_after_last(x, "-->", lambda head, tail: F.concat(
+            F.regexp_replace(head, HTML_COMMENT, ""), tail))))
+
+
+def _mark_alone(text: Column) -> Column:
+    """Mark the openers that no closer of their name follows.
+
+    Found once per name, so that the tokenizer never looks for a closer in vain: the
+    work grows with the length of the text, times the number of different block names.
+    """
+    doubled = F.replace(text, F.lit("{{<" + _MARK), F.lit("{{<" + 2 * _MARK))
+    opener = r"(?U)\{\{<(?=\s*+"
+
+    def mark(x: Column) -> Column:
+        closed = F.array_intersect(
+            F.regexp_extract_all(x, F.lit(_CLOSER), 1),
+            F.regexp_extract_all(x, F.lit(r"(?U)\{\{<\s*+([a-zA-Z_]+)"), 1))
+        return _let(closed, lambda names: F.aggregate(
+            names,
+            F.regexp_replace(x, F.concat(
+                F.lit(opener + "(?!(?:"), F.array_join(names, "|"),
+                F.lit(")(?![a-zA-Z_]))[a-zA-Z_])")), F.lit("{{<" + _MARK)),
+            lambda acc, name: _cut_after_last(
+                acc, F.concat(F.lit("{{< /"), name, F.lit(" >}}")),
+                lambda head, tail: F.concat(head, F.regexp_replace(
+                    tail, F.concat(F.lit(opener), name, F.lit("(?![a-zA-Z_]))")),
+                    F.lit("{{<" + _MARK))))))
+
+    return _let(doubled, mark)
 
 
 def shortcode_tokens(body: Column) -> Column:
     """The body cut into shortcodes (blocks whole) and plain text, in order."""
-    return F.regexp_extract_all(clean_delimiters(body), F.lit(_TOKEN), 0)
+    def cut(text: Column) -> Column:
+        tokens = _cut_after_last(text, ">}}", lambda head, tail: F.array_append(F.transform(
+            F.regexp_extract_all(_mark_alone(head), F.lit(_TOKEN), 0),
+            lambda token: F.regexp_replace(token, r"\{\{<\x01(\x01?)", "{{<$1")), tail))
+        plain = F.when(text.isNotNull(), F.array(text))
+        return F.when(F.contains(text, F.lit("{{<")), tokens).otherwise(plain)
+
+    return _let(clean_delimiters(body), cut)
 
 
 def _or_empty(value: Column) -> Column:
@@ -131,7 +192,9 @@ def _render_token(token: Column) -> Column:
 
 def strip_residual(text: Column) -> Column:
     """Remove shortcode fragments that malformed input leaves behind."""
-    return F.regexp_replace(text, RESIDUAL_SHORTCODE, "")
+    return _let(text, lambda x: F.when(~F.contains(x, F.lit("{{<")), x).otherwise(
+        _cut_after_last(x, ">}}", lambda head, tail: F.concat(
+            F.regexp_replace(head, RESIDUAL_SHORTCODE, ""), tail))))
 
 
 def normalize_tokens(tokens: Column) -> Column:

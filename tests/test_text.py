@@ -1,6 +1,10 @@
 """Text functions against small cases and plain-Python expectations."""
 
 import hashlib
+import math
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +44,12 @@ def test_shortcodes(spark, body, wanted):
     assert value(spark, t.normalize_shortcodes(F.col("b")), b=body) == wanted
 
 
+def test_no_body_has_no_tokens(spark):
+    body = F.lit(None).cast("string")
+    assert value(spark, t.shortcode_tokens(body)) is None
+    assert value(spark, t.normalize_shortcodes(body)) is None
+
+
 def test_references_inside_blocks_are_not_seen(spark):
     body = ('{{< glossary_tooltip term_id="a" >}}{{< note >}}{{< glossary_tooltip term_id="b" >}}'
             '{{< /note >}}{{< glossary_definition term_id="c" >}}')
@@ -53,6 +63,50 @@ def test_long_texts_do_not_overflow(spark):
     assert len(value(spark, t.normalize_shortcodes(F.col("b")), b=body)) > 2_900_000
 
 
+def tokens_by_rule(text):
+    """One pattern that looks for the closer at every opener, whether there is one or not."""
+    tail = r"((?:\s+[^>]*?)?)(?:\s*/)?\s*>\}\}"
+    inline = "|".join(t.INLINE_SHORTCODES)
+    rule = re.compile(r"\{\{<\s*(" + inline + ")" + tail + r"|\{\{<\s*([a-zA-Z_]+)" + tail
+                      + r"(?:.*?\{\{< /\3 >\}\})?|[^{]+|\{", re.DOTALL)
+    text = text.replace("{{%", "{{<").replace("%}}", ">}}")
+    return [m[0] for m in rule.finditer(re.sub("<!--.*?-->", "", text, flags=re.DOTALL))]
+
+
+def test_tokens_equal_the_plain_rule(spark):
+    rng = random.Random(7)
+    bits = ["{{< note >}}", "{{< /note >}}", "{{< tabs a=\"1\" >}}", "{{< /tabs >}}", "{{<x/>}}", "{{< /x >}}",
+            "{{< glossary_tooltip term_id=\"t\" >}}", "{{< /figure >}}", "{{< figure >}}", "{{<", ">}}", "{", "}}", " ",
+            "word", "{{<\x01note >}}", "{{<\x01\x01", "\x01", "{{% note %}}", "<!--", "-->", "{{< notes >}}", "\n", "ö",
+            "{{<note", " >}}", "{{< a {{< b >}}"]
+    bodies = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 25))) for _ in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(bodies)), "k INT, b STRING")
+    got = {r["k"]: r["v"] for r in frame.select(
+        "k", t.shortcode_tokens(F.col("b")).alias("v")).collect()}
+
+    def shortcodes(tokens):
+        return [x for x in tokens if x.startswith("{{<") and ">}}" in x]
+
+    for k, body in enumerate(bodies):
+        wanted = tokens_by_rule(body)
+        assert "".join(got[k]) == "".join(wanted)
+        assert shortcodes(got[k]) == shortcodes(wanted)
+
+
+@pytest.mark.parametrize("piece", ["{{< note >}}x ", "{{< /tabs >}}{{< note >}}{{< tabs >}}", "{{<a b ", "<!-- "])
+def test_unclosed_openers_cost_linear_time(spark, piece):
+    def seconds(n):
+        frame = spark.createDataFrame([(piece * n,)] * 8, "b STRING").coalesce(1)
+        best = math.inf
+        for _ in range(3):
+            start = time.perf_counter()
+            frame.select(F.sum(F.length(t.normalize_shortcodes(F.col("b"))))).collect()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(10_000) < 4 * seconds(2_500) + 0.5
+
+
 def test_attribute_in_a_value_is_no_attribute(spark):
     raw = 'alt="text=" text = "real"'
     assert value(spark, t.shortcode_attr(F.col("r"), "text"), r=raw) == "real"
