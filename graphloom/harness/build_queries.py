@@ -122,11 +122,12 @@ def dangling_links(spark, sf_dir) -> DataFrame:
 
 HEADINGS_SQL = r"""
 h AS (
-  SELECT page_id, url, 0 AS pos, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading,
-         1 AS line FROM pages
-  UNION ALL SELECT page_id, url, 1, 'Notes ' || (page_id % 10), 5 FROM pages
-  UNION ALL SELECT page_id, url, 2, 'Lang ' || regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1),
-         3 FROM pages
+  SELECT page_id, regexp_replace(unnest(found), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS heading,
+         generate_subscripts(found, 1) - 1 AS pos
+  FROM (SELECT page_id, list_concat(
+          regexp_extract_all(html, '<h1>([^<\n]*[^<\s][^<\n]*)</h1>', 1),
+          regexp_extract_all(html, '<a href="[^"]*">([^<\n]*[^<\s][^<\n]*)</a>', 1)) AS found
+        FROM pages)
 ),
 hs AS (
   SELECT *, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (
@@ -136,13 +137,14 @@ hs AS (
 
 
 def _heading_docs(spark, sf_dir):
-    section = F.regexp_extract("url", "^https?://[^/]+/([^/?#]*)", 1)
-    body = F.concat(
-        F.lit("## "), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit("\n\n### Lang "),
-        section, F.lit("\n\n## Notes "), (F.col("page_id") % 10).cast("string"), F.lit(" \n"))
-    return Tables(spark, sf_dir).pages.select(
+    """Whole pages, their headings and link texts written as Markdown headings."""
+    text = r"([^<\n]*[^<\s][^<\n]*)"
+    body = F.regexp_replace("html", f"<h1>{text}</h1>", "\n## $1\n")
+    body = F.regexp_replace(body, f'<a href="[^"]*">{text}</a>', "\n### $1\n")
+    return Tables(spark, sf_dir).spread("pages").select(
         F.concat(padded("page_id"), F.lit(".md")).alias("rel_path"), "url",
-        section.alias("section"), body.alias("body_raw"))
+        F.regexp_extract("url", "^https?://[^/]+/([^/?#]*)", 1).alias("section"),
+        body.alias("body_raw"))
 
 
 @query("concepts", f"""
@@ -260,13 +262,13 @@ WITH {OPERATIONS_SQL}
 SELECT 'apipath:' || lower(raw) || ' ' || path AS from_id, 'api:' || kind AS to_id,
        'exposes API object' AS label
 FROM o WHERE raw <> 'parameters' AND kind IN (
-  SELECT upper(split_part(p_name, ' ', 2)[1:1]) || split_part(p_name, ' ', 2)[2:]
-  FROM part WHERE p_name LIKE 'red %')""")
+  SELECT upper(word[1:1]) || word[2:]
+  FROM (SELECT split_part(p_name, ' ', 1 + p_size % 2) AS word FROM part))""")
 def path_exposes(spark, sf_dir) -> DataFrame:
-    red = Tables(spark, sf_dir).part.filter(F.startswith(F.col("p_name"), F.lit("red ")))
-    definitions = red.select(
+    word = F.split_part("p_name", F.lit(" "), 1 + F.col("p_size") % 2)
+    definitions = Tables(spark, sf_dir).part.select(
         F.col("p_partkey").alias("def_ord"),
-        F.concat(F.lit("io.x.v1."), F.initcap(F.substring_index("p_name", " ", -1))).alias("name"))
+        F.concat(F.lit("io.x.v1."), F.initcap(word)).alias("name"))
     paths = b.api_paths(_operations(spark, sf_dir))
     edges = b.path_exposes_edges(paths, b.api_kinds(definitions))
     return edges.select("from_id", "to_id", "label")
@@ -598,10 +600,11 @@ def orphans(spark, sf_dir) -> DataFrame:
 # -- the whole job -----------------------------------------------------------
 
 
-def document_corpus(spark, sf_dir) -> DataFrame:
+def document_corpus(spark, sf_dir, topic=None) -> DataFrame:
     """Documents as a Markdown corpus with front matter, shortcodes and links.
 
-    Every source gets one glossary document, its first; the others are pages.
+    Every source gets one glossary document, its first; the others are pages. ``topic``
+    is put behind the titles of pages.
     """
     docs = Tables(spark, sf_dir).spread("documents")
     first = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id")).withColumn(
@@ -613,7 +616,7 @@ def document_corpus(spark, sf_dir) -> DataFrame:
         F.concat("lang", F.lit("/"), key, F.lit(".md")))
     front = F.concat(
         F.lit('---\ntitle: "'), F.when(term, F.col("source")).otherwise(
-            F.concat(F.lit("Doc "), key)), F.lit('"\ndescription: about '), "source",
+            F.concat(F.lit("Doc "), key, F.lit("") if topic is None else topic)), F.lit('"\ndescription: about '), "source",
         F.lit("\nshort_description: term "), "source", F.lit("\ntags:\n- "), "lang",
         F.lit("\n---\n"))
     body = F.concat(
@@ -652,3 +655,86 @@ def compile_documents(spark, sf_dir) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+
+
+def _nation_spec(spark, sf_dir):
+    """An API description of one file per nation: the nation, its region, and a path."""
+    name = F.replace(F.lower("n_name"), F.lit(" "), F.lit(""))
+    kind = F.initcap(name)
+    region = F.concat(F.lit("io.geo.v1.Region"), F.col("n_regionkey").cast("string"))
+    nation = F.concat(
+        F.lit('{"description":"'), F.col("n_name"),
+        F.lit('","properties":{"region":{"$ref":"#/definitions/'), region, F.lit('"}}}'))
+    operations = F.concat(
+        F.lit('{"get":{"operationId":"read'), kind, F.lit('","description":"reads '), name,
+        F.lit('"},"delete":{"description":"drops '), name, F.lit('"},"parameters":[]}'))
+    return Tables(spark, sf_dir).nation.select(
+        F.concat("n_name", F.lit(".json")).alias("spec_file"),
+        F.create_map(F.concat(F.lit("io.geo.v1."), kind), nation,
+                     region, F.lit('{"description":"region"}')).alias("definitions"),
+        F.create_map(F.concat(F.lit("/apis/geo/v1/"), name, F.lit("/{name}")),
+                     operations).alias("paths"))
+
+
+def _compiled(spark, sf_dir):
+    """Documents about regions and the description of the regions' API, compiled."""
+    topic = F.concat(F.lit(" on Region"), (F.col("doc_id") % 5).cast("string"))
+    return compile_graph(spark, document_corpus(spark, sf_dir, topic), _nation_spec(spark, sf_dir),
+                         CompileOptions(version="harness"))
+
+
+COMPILED_SQL = r"""
+terms AS (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source),
+pages AS (SELECT d.*, lang || '/' || d.doc_id AS path FROM documents d ANTI JOIN terms USING (doc_id)),
+found AS (
+  SELECT path, list_concat(regexp_extract_all(body, '(?m)^##[\s\p{Z}]+(.+?)[\s\p{Z}]*$', 1),
+                           regexp_extract_all(body, '(?m)^###[\s\p{Z}]+(.+?)[\s\p{Z}]*$', 1)) AS found
+  FROM (SELECT path, '## About ' || source || chr(10) || text AS body FROM pages)),
+h AS (SELECT path, unnest(found) AS heading, generate_subscripts(found, 1) AS pos FROM found),
+hs AS (
+  SELECT *, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug
+  FROM (SELECT *, trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM h)),
+api AS (SELECT n_name, n_regionkey, replace(lower(n_name), ' ', '') AS name,
+               upper(n_name[1:1]) || replace(lower(n_name), ' ', '')[2:] AS kind FROM nation),
+ops AS (SELECT name, kind, unnest(['get', 'delete']) AS method FROM api)"""
+
+
+@query("compile_nodes", f"""
+WITH {COMPILED_SQL}
+SELECT 'page:' || path AS id, 'page' AS type, 'Doc ' || doc_id || ' on Region' || doc_id % 5 AS title,
+       'about ' || source AS summary, 1::BIGINT AS n_prov FROM pages
+UNION ALL SELECT 'gloss:' || source, 'glossary', source, 'term ' || source, 1 FROM terms
+UNION ALL SELECT 'concept:' || slug, 'concept', arg_min(heading, row(path || '.md', pos)), '', 1
+FROM hs GROUP BY slug
+UNION ALL SELECT 'api:' || kind, 'api_object', kind, n_name, 1 FROM api
+UNION ALL SELECT 'api:Region' || n_regionkey, 'api_object', 'Region' || n_regionkey, 'region', count(*)
+FROM api GROUP BY n_regionkey
+UNION ALL SELECT 'apipath:' || method || ' /apis/geo/v1/' || name || '/{{name}}', 'api_path',
+       CASE method WHEN 'get' THEN 'read' || kind ELSE 'delete /apis/geo/v1/' || name || '/{{name}}' END,
+       CASE method WHEN 'get' THEN 'reads ' ELSE 'drops ' END || name, 1 FROM ops""")
+def compile_nodes(spark, sf_dir) -> DataFrame:
+    """All nodes that documents and the API description give; rule tables have queries of their own."""
+    nodes = _compiled(spark, sf_dir).nodes.filter(
+        ~F.col("type").isin("role", "controller") & ~F.startswith(F.col("id"), F.lit("flow:")))
+    return nodes.select("id", "type", "title", "summary", "n_prov")
+
+
+@query("compile_edges", f"""
+WITH {COMPILED_SQL}
+SELECT 'page:' || path AS from_id, 'gloss:' || source AS to_id, 'references' AS type, 'it' AS label,
+       1::BIGINT AS n_prov FROM pages
+UNION ALL SELECT 'page:' || p.path, 'page:' || q.path, 'links_to', '/docs/' || q.path || '/', 1
+FROM pages p JOIN pages q ON q.doc_id = p.doc_id // 2 AND q.lang = p.lang
+UNION ALL SELECT 'page:' || path, 'concept:' || slug, 'part_of', 'describes', count(*)
+FROM hs GROUP BY path, slug
+UNION ALL SELECT 'page:' || path, 'api:Region' || doc_id % 5, 'api_for', 'documents API object', 1
+FROM pages WHERE doc_id % 5 IN (SELECT n_regionkey FROM api)
+UNION ALL SELECT 'api:' || kind, 'api:Region' || n_regionkey, 'related_to', 'references type', 1 FROM api
+UNION ALL SELECT 'apipath:' || method || ' /apis/geo/v1/' || name || '/{{name}}', 'api:' || kind,
+       'related_to', 'exposes API object', 1 FROM ops""")
+def compile_edges(spark, sf_dir) -> DataFrame:
+    """All edges from documents and the API description, not those among rule tables' nodes."""
+    kinds = ("page", "api", "apipath")
+    edges = _compiled(spark, sf_dir).edges.filter(
+        F.substring_index("from_id", ":", 1).isin(*kinds))
+    return edges.select("from_id", "to_id", "type", "label", "n_prov")

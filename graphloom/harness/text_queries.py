@@ -88,15 +88,15 @@ SELECT doc_id,
     WHEN 1 THEN chr(10) || '<details><summary>' || source || '</summary>' || chr(10) || chr(10)
                 || inside || chr(10) || '</details>' || chr(10)
     WHEN 2 THEN chr(10) || '> **Warning:** ' || inside || chr(10)
-    ELSE ' ' || inside || ' ' END || '|' AS body
-FROM (SELECT doc_id, source, lang || ' ' || n_chars AS inside FROM documents)""")
+    ELSE ' ' || text || ' ' END || '|' AS body
+FROM (SELECT doc_id, source, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS inside FROM documents)""")
 def shortcode_blocks(spark, sf_dir) -> DataFrame:
-    docs = Tables(spark, sf_dir).documents
+    docs = Tables(spark, sf_dir).spread("documents")
     names = F.array(*[F.lit(n) for n in ("mermaid", "details", "warning", "tabs")])
     name = F.get(names, (F.col("doc_id") % 4).cast("int"))
     body = F.concat(
         F.lit("{{< "), name, F.lit(' summary="old" summary="'), F.col("source"), F.lit('" >}} '),
-        F.concat_ws(" ", "lang", F.col("n_chars").cast("string")), F.lit(" {{< /"), name,
+        F.col("text"), F.lit(" {{< /"), name,
         F.lit(" >}}|{{< /gone >}}"))
     return docs.select("doc_id", t.normalize_shortcodes(body).alias("body"))
 
