@@ -22,7 +22,7 @@ from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.mixing import with_copies
 from graphloom.llm.near_dedup import near_groups
 from graphloom.llm.prefix_trie import paths, prefix_trie, rebuilt, turn_lists
-from graphloom.llm.secrets import secrets_of
+from graphloom.llm.secrets import common_words, secrets_of
 from graphloom.llm.sharding import SHARDS, places
 from graphloom.llm.token_files import read_tokens, token_folder, write_tokens
 from graphloom.llm.whitening import whitened_rows
@@ -83,7 +83,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir)
-    return docs.select("doc_id", secrets_of(F.col("text")).alias("found")).select(
+    ranks = common_words(F.col("text"), docs)
+    return docs.select("doc_id", secrets_of(F.col("text"), ranks=ranks).alias("found")).select(
         "doc_id", "found.*")
 
 
