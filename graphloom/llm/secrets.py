@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import blocks
+from graphloom.operators.skew import top_per_group
 
 # Fixed patterns; letters of the assignment count in either case, ASCII only.
 ASSIGN = re.compile(
@@ -78,6 +79,7 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|
 SEGMENT = math.log10(2)  # each further segment
 UNLISTED = math.log10(200_000)  # a word that is on no list
 MOST_WORDS, LEAST_DOCUMENTS = 20_000, 20
+PIECES = 32
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 _NEXT |= {(b, a) for a, b in _NEXT}
 RANKS = {w: k + 2 for k, w in enumerate(WORDS)}
@@ -98,7 +100,9 @@ def common_words(texts: Column, docs: DataFrame, most: int = MOST_WORDS,
         F.lower(texts), F.lit(r"(?<!\p{L})\p{L}{4," + str(LONGEST) + r"}(?!\p{L})"), 0))
     counted = docs.select(F.explode(words).alias("w")).groupBy("w").agg(
         F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    ranked = counted.orderBy(F.desc("n"), "w").limit(most).collect()
+    # Ranked in pieces first: the driver receives the list alone, however many tasks count.
+    first = top_per_group(counted, [], [F.desc("n"), F.asc("w")], most, salts=PIECES)
+    ranked = first.orderBy("rank").collect()
     new = [r["w"] for r in ranked if r["w"] not in RANKS]
     return {**RANKS, **{w: k + 2 for k, w in enumerate(new, len(RANKS))}}
 
