@@ -53,6 +53,15 @@ def diff_changed(spark, sf_dir) -> DataFrame:
     return check.diff(*_versions(spark, sf_dir), compare=["title", "type"])
 
 
+@query("diff_bucketed", f"WITH {VERSIONS_SQL} SELECT id, status FROM d WHERE status IS NOT NULL")
+def diff_bucketed(spark, sf_dir) -> DataFrame:
+    """The changes of both versions, found by the sums of their buckets."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/digests-{uuid.uuid4().hex}"
+    for name, rows in zip(("old", "new"), _versions(spark, sf_dir), strict=True):
+        check.write_digests(rows, f"{root}/{name}", compare=["title", "type"], folders=16)
+    return check.diff_digests(spark, f"{root}/old", f"{root}/new")
+
+
 @query("diff_counts", f"""
 WITH {VERSIONS_SQL}
 SELECT (SELECT count(*) FROM o)::BIGINT AS old_rows, (SELECT count(*) FROM v)::BIGINT AS new_rows,

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import schema as s
 from graphloom.functions.text import row_hash
 from graphloom.operators.skew import skewed_join, top_per_group
+from graphloom.session import checkpoint
 
 
 def _edge_key() -> Column:
@@ -77,6 +78,74 @@ def diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("id",),
     return joined.filter(F.col("status").isNotNull())
 
 
+#: Buckets of all folders together: their sums, a few bytes each, may be broadcast.
+MOST_BUCKETS = 1 << 20
+
+
+def write_digests(facts: DataFrame, path: str, keys: Sequence[str] = ("id",),
+                  compare: Sequence[str] = (), folders: int = 64, buckets: int = 4096) -> None:
+    """A version of a fact table as row digests, for :func:`diff_digests`.
+
+    ``rows`` holds (keys, digest), in ``folders`` by a hash of the keys, each in the order
+    of its ``buckets``; ``sums`` holds the number and the sums of the digests of every
+    bucket. Facts are unique by key. Versions are comparable when they were written with
+    the same arguments.
+    """
+    if folders * buckets > MOST_BUCKETS:
+        raise ValueError(f"at most {MOST_BUCKETS} buckets in all folders")
+    place = F.pmod(F.xxhash64(*keys), F.lit(folders * buckets))
+    rows = facts.select(
+        *keys, (row_hash(*compare) if compare else F.lit("")).alias("_digest"),
+        F.floor(place / buckets).cast("int").alias("_folder"),
+        F.pmod(place, F.lit(buckets)).cast("int").alias("_bucket"))
+    rows.repartitionByRange("_folder", "_bucket").sortWithinPartitions(
+        "_folder", "_bucket").write.mode("overwrite").partitionBy("_folder").parquet(f"{path}/rows")
+    # An empty version has no files to tell its columns.
+    rows.limit(0).write.mode("overwrite").parquet(f"{path}/layout")
+    # Read again, so that the sums are those of the rows that were written.
+    stored = facts.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+
+    def total(seed: int) -> Column:
+        return F.sum(F.xxhash64(F.lit(seed), *keys, "_digest").cast("decimal(38,0)"))
+
+    stored.groupBy("_folder", "_bucket").agg(
+        F.count(F.lit(1)).alias("n"), total(1).alias("a"), total(2).alias("b"),
+    ).write.mode("overwrite").parquet(f"{path}/sums")
+
+
+def differing_buckets(spark: SparkSession, old_path: str, new_path: str) -> DataFrame:
+    """(_folder, _bucket) whose rows are not the same in both versions."""
+    place = ["_folder", "_bucket"]
+    old, new = (spark.read.parquet(f"{path}/sums").select(
+        *place, F.struct("n", "a", "b").alias(name))
+        for path, name in ((old_path, "_old"), (new_path, "_new")))
+    return old.join(new, place, "full_outer").filter(
+        ~F.col("_old").eqNullSafe(F.col("_new"))).select(*place)
+
+
+def rows_to_compare(spark: SparkSession, path: str, differing: DataFrame) -> DataFrame:
+    """The rows of one version that lie in differing buckets; other folders are not read."""
+    folders = [r["_folder"] for r in differing.select("_folder").distinct().collect()]
+    layout = spark.read.parquet(f"{path}/layout").schema
+    rows = spark.read.schema(layout).parquet(f"{path}/rows").filter(
+        F.col("_folder").isin(folders))
+    # At most MOST_BUCKETS pairs of integers.
+    return rows.join(F.broadcast(differing), ["_folder", "_bucket"], "left_semi")
+
+
+def diff_digests(spark: SparkSession, old_path: str, new_path: str,
+                 keys: Sequence[str] = ("id",)) -> DataFrame:
+    """:func:`diff` of two versions written by :func:`write_digests`.
+
+    Sums are compared first. Only folders with a differing bucket are read, and only the
+    rows of differing buckets are shuffled, so the cost follows the changes once these are
+    fewer than the buckets.
+    """
+    differing = checkpoint(differing_buckets(spark, old_path, new_path))
+    old, new = (rows_to_compare(spark, path, differing) for path in (old_path, new_path))
+    return diff(old, new, keys, ["_digest"])
+
+
 def diff_report(old: DataFrame, new: DataFrame, changes: DataFrame, n: int = 40) -> DataFrame:
     """The first ``n`` added and removed nodes: (status, id, type, title)."""
     listed = changes.filter(F.col("status").isin("added", "removed"))

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -311,3 +312,34 @@ def test_dangling_edges_are_dropped_in_one_scan_of_each_side(spark):
 def test_unknown_columns_are_refused(spark):
     with pytest.raises(ValueError):
         s.edge_candidates(spark.range(1), from_to=F.lit("x"))
+
+
+def test_diff_digests_reads_what_differs(spark, tmp_path):
+    n = 20_000
+    old = spark.range(n).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).alias("t"))
+    changed = F.col("id").isin([str(k) for k in range(0, n, 200)])
+    new = old.withColumn("t", F.when(changed, F.lit(None)).otherwise(F.col("t"))).filter("id <> '77'").unionByName(
+        spark.createDataFrame([("new", 1)], old.schema))
+    one = old.withColumn("t", F.when(F.col("id") == "5", F.lit(99)).otherwise(F.col("t")))
+    versions = {"old": old, "new": new, "one": one, "none": old.filter("false")}
+    for name, rows in versions.items():
+        check.write_digests(rows, f"{tmp_path}/{name}", compare=["t"], folders=16)
+
+    def answers(df):
+        return sorted((r["id"], r["status"]) for r in df.collect())
+
+    for a, b in (("old", "new"), ("new", "old"), ("old", "old"), ("old", "none"), ("none", "old"), ("none", "none")):
+        got = check.diff_digests(spark, f"{tmp_path}/{a}", f"{tmp_path}/{b}")
+        assert answers(got) == answers(check.diff(versions[a], versions[b], compare=["t"]))
+
+    def rows_of(other):
+        differing = check.differing_buckets(spark, f"{tmp_path}/old", f"{tmp_path}/{other}")
+        return check.rows_to_compare(spark, f"{tmp_path}/old", differing)
+
+    assert rows_of("old").count() == 0
+    assert 101 <= rows_of("new").count() <= 300
+    assert rows_of("one").count() < 10
+    plan = rows_of("one")._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*_folder", plan)
+    with pytest.raises(ValueError, match="buckets"):
+        check.write_digests(old, f"{tmp_path}/many", folders=1 << 10, buckets=1 << 11)
