@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import os
+import zlib
 
 import pytest
 
@@ -33,6 +34,54 @@ def test_one_query_per_operator():
     assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 14))
 
 
+def answers(spark, name, types):
+    """(documents, answers) by id, one each; the answers' columns have these types."""
+    found = QUERIES[name](spark, SF_DIR)
+    kinds = dict(found.dtypes)
+    assert {c: kinds.get(c) for c in types} == types
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    rows = found.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    return docs, {r["doc_id"]: r for r in rows}
+
+
+def crc(text):
+    return zlib.crc32(text.encode())
+
+
+def test_op3_contract(spark):
+    docs, found = answers(spark, "op3_language_id", {
+        "doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"})
+    known = {d["lang"] for d in docs.values() if d["lang"] and crc(str(d["doc_id"])) % 4 != 2}
+    for i, r in found.items():
+        assert r["held_out"] == (crc(str(i)) % 4 == 2) and 0 <= r["score"] <= 1
+        lettered = any(c.isalpha() for c in docs[i]["text"] or "")
+        assert r["lang_pred"] in known if lettered else r["lang_pred"] == "und"
+
+
+def test_op7_contract(spark):
+    _, found = answers(spark, "op7_quality_pu", {
+        "doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"})
+    for i, r in found.items():
+        assert r["held_out"] == (crc(str(i)) % 4 == 2) and 0 <= r["score"] <= 1
+        assert r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_op8_contract(spark):
+    docs, found = answers(spark, "op8_sharding", {
+        "doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int",
+        "slot": "bigint", "grown_shard": "int"})
+    slots = collections.defaultdict(list)
+    for i, r in found.items():
+        text = docs[i]["text"] or ""
+        assert (r["size"], r["text_crc32"]) == (len(text.encode()) + 1, crc(text))
+        assert (r["law"], r["grown_shard"]) == ("rows", None)
+        slots[r["shard"]].append(r["slot"])
+    assert set(slots) == set(range(8))
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert all(sorted(s) == list(range(min(s), min(s) + len(s))) for s in slots.values())
+
+
 def kept_by_brute_force(docs, items):
     """What each stage keeps, by plain Python: ids after the first three, copies after mixing."""
     letters = [r for r in docs if any(c.isalpha() for c in r["text"] or "")]
