@@ -34,6 +34,8 @@ _CLOSER = r"\{\{< /([a-zA-Z_]+) >\}\}"
 # Put behind the ``{{<`` of an opener that no closer follows. ``\\s`` does not match it,
 # and one that a text brings along is doubled first.
 _MARK = "\x01"
+# So few openers are searched for their closers without marks: a bounded number of scans.
+FEW_OPENERS = 32
 _ALONE = r"\{\{<\x01\s*[a-zA-Z_]+" + _TAIL
 # One token: a standalone shortcode, an opener known to have no closer, an opener with its
 # block, a run of plain text, a mark or a lone brace. Group 4 names the block being closed.
@@ -129,7 +131,8 @@ def _mark_alone(text: Column) -> Column:
                     tail, F.concat(F.lit(opener), name, F.lit("(?![a-zA-Z_]))")),
                     F.lit("{{<" + _MARK))))))
 
-    return _let(doubled, mark)
+    openers = F.length(text) - F.length(F.replace(text, F.lit("{{<"), F.lit("{{")))
+    return F.when(openers > FEW_OPENERS, _let(doubled, mark)).otherwise(doubled)
 
 
 def shortcode_tokens(body: Column) -> Column:

@@ -73,7 +73,9 @@ def tokens_by_rule(text):
     return [m[0] for m in rule.finditer(re.sub("<!--.*?-->", "", text, flags=re.DOTALL))]
 
 
-def test_tokens_equal_the_plain_rule(spark):
+@pytest.mark.parametrize("few", [0, 4, t.FEW_OPENERS])
+def test_tokens_equal_the_plain_rule(spark, monkeypatch, few):
+    monkeypatch.setattr(t, "FEW_OPENERS", few)
     rng = random.Random(7)
     bits = ["{{< note >}}", "{{< /note >}}", "{{< tabs a=\"1\" >}}", "{{< /tabs >}}", "{{<x/>}}", "{{< /x >}}",
             "{{< glossary_tooltip term_id=\"t\" >}}", "{{< /figure >}}", "{{< figure >}}", "{{<", ">}}", "{", "}}", " ",
