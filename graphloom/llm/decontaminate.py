@@ -4,8 +4,10 @@ A window of a document is as long as a benchmark item and begins where the item
 judging by a shingle that both have: a window that is similar to an item shares one, so no
 other window can matter. Windows and items get 64-bit SimHash fingerprints of their
 shingles. A multi-index finds all items within ``RADIUS`` bits of a window: fingerprints are
-cut into ``RADIUS + 1`` blocks, of which at least one must be equal, and equal blocks of
-windows and items of equal length are joined. Candidates are verified by the larger of the exact
+cut into four blocks of 16 bits, of which at least one differs in at most ``RADIUS // 4`` bits.
+The index holds every block of every item with all its neighbours at that distance (697 keys a
+block for radius 15), so a window probes four keys, and about 4 % of unrelated items of its
+length come with them. Candidates are verified by the larger of the exact
 weighted and plain Jaccard similarities of their shingle sets. In the weighted one a shingle of
 an item weighs one over the number of items that have it, a shingle the item lacks weighs one;
 so it finds what is particular to an item, and the plain one edited copies of items that repeat.
@@ -25,6 +27,7 @@ without a benchmark or documents there are no rows; other columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ from graphloom.session import configure, stage
 SHINGLE = 5
 SIMILARITY = 0.8
 BITS = 64
+BLOCKS = 4
+BLOCK_BITS = BITS // BLOCKS
 #: At similarity 0.8 fingerprints differ in 9.7 bits on average, with deviation 2.9.
 RADIUS = 15
 
@@ -73,13 +78,26 @@ def simhash(hashes: Column) -> Column:
     return reduce(Column.bitwiseOR, [bit(b) for b in range(BITS)])
 
 
-def index_blocks(fingerprint: Column, radius: int) -> Column:
-    """The blocks of a fingerprint as (number, bits)."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
+def blocks_of(fingerprint: Column) -> Column:
+    """The blocks of a fingerprint, each with its number in the bits above."""
+    mask = F.lit((1 << BLOCK_BITS) - 1).cast("bigint")
     return F.array(*[
-        F.struct(F.lit(i).alias("number"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(
-            F.lit((1 << (b - a)) - 1).cast("bigint")).alias("bits"))
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+        (F.shiftrightunsigned(fingerprint, i * BLOCK_BITS).bitwiseAND(mask)
+         + F.lit(i << BLOCK_BITS)).cast("int") for i in range(BLOCKS)])
+
+
+def neighbour_blocks(fingerprint: Column, radius: int) -> Column:
+    """All blocks of which a fingerprint within ``radius`` bits has at least one.
+
+    Were all blocks to differ in more than ``radius // BLOCKS`` bits, the fingerprints would
+    differ in more than ``radius``.
+    """
+    flips = [sum(1 << b for b in bits) for n in range(radius // BLOCKS + 1)
+             for bits in combinations(range(BLOCK_BITS), n)]
+    # one literal that is folded, in place of hundreds that every later step would analyse
+    flips = F.split(F.lit(" ".join(map(str, flips))), " ").cast("array<int>")
+    return F.flatten(F.transform(blocks_of(fingerprint), lambda block: F.transform(
+        flips, lambda flip: block.bitwiseXOR(flip))))
 
 
 def benchmark_items(benchmark: DataFrame, item_id: str, text: str, shingle: int,
@@ -129,13 +147,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         shingle_words(F.col("words"), shingle), lambda s: shingle_hash(s, shingle)))
     windowed = stage(cut.select("doc_id", "start", "size", hashes.alias("hashes")), "window-shingles")
     keyed = windowed.withColumn("fingerprint", simhash(F.col("hashes"))).withColumn(
-        "block", F.explode(index_blocks(F.col("fingerprint"), radius)))
+        "block", F.explode(blocks_of(F.col("fingerprint"))))
     index = items.select(
-        "item_id", "size", "shingles", F.col("fingerprint").alias("item_fingerprint"),
-        F.explode(index_blocks(F.col("fingerprint"), radius)).alias("block"))
+        "item_id", "size", F.col("fingerprint").alias("item_fingerprint"),
+        F.explode(neighbour_blocks(F.col("fingerprint"), radius)).alias("block"))
     near = keyed.join(index, ["size", "block"]).withColumn(
         "distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))))
     near = near.filter(F.col("distance") <= radius).dropDuplicates(["doc_id", "start", "size", "item_id"])
+    sets = items.select(F.col("item_id").alias("_item"), F.col("size").alias("_size"), "shingles")
+    near = near.join(sets, F.col("item_id").eqNullSafe(F.col("_item"))
+                     & (F.col("size") == F.col("_size")))
 
     def total(column: Column) -> Column:
         return F.aggregate(column, F.lit(0.0), lambda a, s: a + s["weight"])
