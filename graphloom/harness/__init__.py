@@ -6,6 +6,7 @@ from graphloom.harness import (  # noqa: F401  (importing registers the queries)
     graph_queries,
     model_queries,
     search_queries,
+    storage_queries,
     text_queries,
     version_queries,
 )
